@@ -12,9 +12,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_batch(texts: pd.Series) -> pd.Series:
     def fold(t: str) -> str:
         return unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii")

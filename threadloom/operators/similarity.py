@@ -222,4 +222,6 @@ def top_threads(
     )
     total = k * sum(len(ids) for ids, _ in blocks)
     found = _with_rows(df, chosen, key, [thread_col, *columns], total)
+    # rows that are copies of each other in everything may share a key
+    found = found.dropDuplicates(["query_id", key])
     return found if isinstance(queries, DataFrame) else found.drop("query_id")

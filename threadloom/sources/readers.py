@@ -19,6 +19,14 @@ from threadloom.operators.filters import rename_positionally
 
 #: post text holds line breaks and doubled quotes
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+#: the default would cut times to milliseconds
+CSV_WRITE_OPTIONS = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+}
 HEADER_READERS = 32
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.sources.readers import CSV_OPTIONS, _path_exists, list_files
+from threadloom.sources.readers import CSV_WRITE_OPTIONS, _path_exists, list_files
 
 SUBSET_FORMATS = ("csv", "parquet", "json")
 
@@ -17,8 +17,7 @@ def _writer(df: DataFrame, file_format: str, mode: str):
         raise ValueError(f"unsupported file format: {file_format}")
     writer = df.write.mode(mode).format(file_format)
     if file_format == "csv":
-        options = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}
-        writer = writer.options(**options)
+        writer = writer.options(**CSV_WRITE_OPTIONS)
     return writer
 
 
