@@ -1,6 +1,6 @@
-"""Token counts, as functions from an array of strings to an array of counts.
+"""Token counts, as functions from lists of lists of strings to their counts.
 
-The array form lets one chunking plan serve a native estimate, which stays in
+The nested form lets one chunking plan serve a native estimate, which stays in
 the JVM, and a real tokenizer, which takes whole Arrow batches.
 """
 
@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TokenCounter = Callable[[Column], Column]
 
@@ -20,8 +21,8 @@ def estimate(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(c) / 4).cast("int"))
 
 
-def estimate_counts(texts: Column) -> Column:
-    return F.transform(texts, estimate)
+def estimate_counts(lists: Column) -> Column:
+    return F.transform(lists, lambda texts: F.transform(texts, estimate))
 
 
 def tokenizer_counts(load: Callable[[], Callable[[list[str]], Iterable[list[int]]]]) -> TokenCounter:
@@ -32,15 +33,14 @@ def tokenizer_counts(load: Callable[[], Callable[[list[str]], Iterable[list[int]
     """
     held: list = []
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
     def count(batch: pd.Series) -> pd.Series:
         if not held:
             held.append(load())
-        encode = held[0]
-        flat = [t for texts in batch if texts is not None for t in texts]
-        sizes = iter([len(ids) for ids in encode(flat)] if flat else [])
+        flat = [t for lists in batch if lists is not None for texts in lists for t in texts]
+        sizes = iter([len(ids) for ids in held[0](flat)] if flat else [])
         return batch.map(
-            lambda texts: [next(sizes) for _ in texts], na_action="ignore"
+            lambda lists: [[next(sizes) for _ in texts] for texts in lists], na_action="ignore"
         )
 
     return count

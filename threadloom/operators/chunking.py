@@ -29,33 +29,45 @@ def sentences(c: Column) -> Column:
     return F.transform(kept, lambda s: F.concat(s, F.lit(".")))
 
 
+def _probes(c: Column, limit: int) -> Column:
+    """What is counted: per sentence itself, then its words if it may be too long.
+
+    A text has no more tokens than bytes, so most sentences need no words, and
+    one call counts everything.
+    """
+
+    def probe(s: Column) -> Column:
+        each = F.transform(words(s), lambda w: F.concat(w, F.lit(" ")))
+        none = F.array().cast("array<string>")
+        return F.concat(F.array(s), F.when(F.octet_length(s) > limit, each).otherwise(none))
+
+    return F.transform(sentences(c), probe)
+
+
 def _units(limit: int) -> Column:
-    """Sentences as packing units; one over the limit becomes its words.
+    """Sentences as packing units (text, tokens, part); one over the limit becomes
+    its words.
 
     ``part`` is -1 for whole sentences and the sentence's number for words, so
-    a change of part marks where a chunk must end. ``probe`` is what counts.
+    a change of part marks where a chunk must end.
     """
 
-    def whole(s: Column) -> Column:
-        return F.array(
-            F.struct(s.alias("text"), s.alias("probe"), F.lit(-1).alias("part"))
-        )
+    def unit(text: Column, tokens: Column, part: Column) -> Column:
+        return F.struct(text.alias("text"), tokens.alias("tokens"), part.alias("part"))
 
-    def split(s: Column, i: Column) -> Column:
-        return F.transform(
-            words(s),
-            lambda w: F.struct(
-                w.alias("text"), F.concat(w, F.lit(" ")).alias("probe"), i.alias("part")
-            ),
+    def units(x: Column, i: Column) -> Column:
+        probes, counts = x["_probes"], x["_counts"]
+        rest = F.slice(F.arrays_zip(probes, counts), F.lit(2), F.size(probes))
+        split = F.transform(
+            rest, lambda p: unit(F.rtrim(p["_probes"]), p["_counts"], i)
         )
-
-    def unit(x: Column, i: Column) -> Column:
-        text = x["_sentences"]
-        return F.when(x["_counts"] > limit, split(text, i)).otherwise(whole(text))
+        first = F.get(counts, F.lit(0))
+        whole = F.array(unit(F.get(probes, F.lit(0)), first, F.lit(-1)))
+        return F.when(first > limit, split).otherwise(whole)
 
     # zipped, as an array looked up inside the lambda may be computed anew each time
-    counted = F.arrays_zip(F.col("_sentences"), F.col("_counts"))
-    return F.flatten(F.transform(counted, unit))
+    counted = F.arrays_zip(F.col("_probes"), F.col("_counts"))
+    return F.flatten(F.transform(counted, units))
 
 
 def _spans(limit: int) -> Column:
@@ -91,7 +103,7 @@ def _spans(limit: int) -> Column:
     def last(state: Column) -> Column:
         return F.when(state["at"] > state["first"], finished(state)).otherwise(state["done"])
 
-    return F.aggregate(F.col("_folding"), empty, step, last)
+    return F.aggregate(F.col("_units"), empty, step, last)
 
 
 def create_chunks(
@@ -116,16 +128,10 @@ def create_chunks(
         ),
         lambda x: F.length(x["text"]) >= MIN_CHUNK_CHARS,
     )
-    folding = F.arrays_zip(
-        F.transform(F.col("_units"), lambda u: u["part"]).alias("part"),
-        F.col("_sizes").alias("tokens"),
-    )
     return (
-        df.withColumn("_sentences", sentences(F.col(text_col)))
-        .withColumn("_counts", counter(F.col("_sentences")))
+        df.withColumn("_probes", _probes(F.col(text_col), limit))
+        .withColumn("_counts", counter(F.col("_probes")))
         .withColumn("_units", _units(limit))
-        .withColumn("_sizes", counter(F.transform(F.col("_units"), lambda u: u["probe"])))
-        .withColumn("_folding", folding)
         .withColumn("_spans", _spans(limit))
         .select(*rest, F.posexplode(chunks).alias("seq", "_chunk"))
         .select(*rest, "seq", F.col("_chunk.text"), F.col("_chunk.token_count"))

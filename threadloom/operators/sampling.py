@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import dates
 from threadloom.functions.hashing import hash_bin, row_hash
 from threadloom.operators.times import standardize_time
-from threadloom.sizing import broadcast_bounded, broadcast_measured
+from threadloom.sizing import BROADCAST_ROWS, measure
 
 Key = str | list[str]
 #: adds ``quota`` to a frame of (group columns, bin, rows, group_rows)
@@ -38,8 +38,14 @@ def _hashes(df: DataFrame, by: list[str], digest: Column) -> DataFrame:
     return hashes.withColumn("bin", hash_bin(F.col("digest")))
 
 
-def _cutoffs(df: DataFrame, by: list[str], digest: Column, quota: Quota) -> DataFrame:
-    """Largest hash to keep per group; groups with nothing to keep are absent."""
+def _cutoffs(
+    df: DataFrame, by: list[str], digest: Column, quota: Quota, max_groups: int | None
+) -> DataFrame:
+    """Largest hash to keep per group; groups with nothing to keep are absent.
+
+    ``max_groups`` is a proven bound on the groups that keep rows. Where there
+    is none the groups are measured. Small results are marked for broadcast.
+    """
     hashes = _hashes(df, by, digest)
     bins = hashes.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("rows"))
     # a group has under two thousand bins, so windows over them stay small
@@ -51,12 +57,17 @@ def _cutoffs(df: DataFrame, by: list[str], digest: Column, quota: Quota) -> Data
         .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("rows") < F.col("quota")))
         .select(*by, "bin", (F.col("quota") - F.col("upto") + F.col("rows")).alias("need"))
     )
-    return (
-        hashes.join(edge, [*by, "bin"])
+    if max_groups is None:
+        edge, fits = measure(edge)
+    else:
+        fits = max_groups <= BROADCAST_ROWS
+    cut = (
+        hashes.join(F.broadcast(edge) if fits else edge, [*by, "bin"])
         .withColumn("rank", F.row_number().over(group.orderBy("digest")))
         .filter(F.col("rank") == F.col("need"))
         .select(*by, F.col("digest").alias("cutoff"))
     )
+    return F.broadcast(cut) if fits else cut
 
 
 def _keep(
@@ -66,9 +77,8 @@ def _keep(
     quota: Quota,
     max_groups: int | None,
 ) -> DataFrame:
-    """Rows up to their group's cutoff. ``max_groups`` is a proven bound, if any."""
-    cut = _cutoffs(df, by, digest, quota)
-    cut = broadcast_measured(cut) if max_groups is None else broadcast_bounded(cut, max_groups)
+    """Rows up to their group's cutoff."""
+    cut = _cutoffs(df, by, digest, quota, max_groups)
     return df.join(cut, by).filter(digest <= F.col("cutoff")).drop("cutoff")
 
 
@@ -79,7 +89,7 @@ def reservoir_sample(df: DataFrame, k: int, key: Key, seed: int = 42) -> DataFra
     digest = row_hash(key, seed)
     everything = df.withColumn("_all", F.lit(0))
     quota: Quota = lambda g: g.withColumn("quota", F.least(F.lit(k), F.col("group_rows")))
-    cutoff = _cutoffs(everything, ["_all"], digest, quota).select("cutoff").scalar()
+    cutoff = _cutoffs(everything, ["_all"], digest, quota, 1).select("cutoff").scalar()
     return df.filter(digest <= cutoff)
 
 

@@ -13,6 +13,7 @@ copies of a vector tie whichever batch they sit in; ties go to the smaller key.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions import vectors
+from threadloom.session import scratch_path
 from threadloom.sizing import broadcast_bounded
 
 DIGITS = 9
@@ -32,6 +34,8 @@ BLOCK_NUMBERS = 8_000_000
 CELLS = 4_000_000
 #: first merge step: groups of tasks
 MERGE_GROUPS = 64
+#: query blocks that one plan holds
+PLAN_BLOCKS = 4
 
 
 def score(df: DataFrame, query: Sequence[float], embedding_col: str = "embedding") -> DataFrame:
@@ -182,6 +186,19 @@ def top_similar(
     return _with_rows(df, top, key, list(columns), n)
 
 
+def _best_threads(top: DataFrame, k: int) -> DataFrame:
+    """First row of each thread, and of these the first k per query."""
+    first = W.partitionBy("query_id", "thread").orderBy("rank")
+    threads = W.partitionBy("query_id").orderBy("rank")
+    return (
+        top.withColumn("_first", F.row_number().over(first))
+        .filter(F.col("_first") == 1)
+        .withColumn("rank", F.row_number().over(threads))
+        .filter(F.col("rank") <= k)
+        .drop("_first")
+    )
+
+
 def top_threads(
     df: DataFrame,
     queries: DataFrame | Sequence[float],
@@ -198,30 +215,26 @@ def top_threads(
     Threads are looked for among the 4k most similar rows, so a query may get
     fewer than k. ``queries`` is one vector, or a table of ids and vectors.
     """
-    pool = 4 * k
-    if isinstance(queries, DataFrame):
-        blocks = list(_blocks(queries, query_id, query_col))
-    else:
-        blocks = [([0], np.asarray([queries], dtype="float64"))]
-    if not blocks:
-        raise ValueError("no query has a vector")
-    parts = [
-        _top_rows(df, ids, matrix, pool, key, thread_col, embedding_col) for ids, matrix in blocks
-    ]
-    top = parts[0]
-    for part in parts[1:]:
-        top = top.unionByName(part)
-    first = W.partitionBy("query_id", "thread").orderBy("rank")
-    threads = W.partitionBy("query_id").orderBy("rank")
-    chosen = (
-        top.withColumn("_first", F.row_number().over(first))
-        .filter(F.col("_first") == 1)
-        .withColumn("rank", F.row_number().over(threads))
-        .filter(F.col("rank") <= k)
-        .drop("_first")
+    given = isinstance(queries, DataFrame)
+    blocks = _blocks(queries, query_id, query_col) if given else iter(
+        [([0], np.asarray([queries], dtype="float64"))]
     )
-    total = k * sum(len(ids) for ids, _ in blocks)
-    found = _with_rows(df, chosen, key, [thread_col, *columns], total)
+    parts, asked, stored = [], 0, None
+    for at, (ids, matrix) in enumerate(blocks):
+        top = _top_rows(df, ids, matrix, 4 * k, key, thread_col, embedding_col)
+        parts.append(_best_threads(top, k))
+        asked += len(ids)
+        if len(parts) == PLAN_BLOCKS:
+            # many blocks: store their results rather than hold all their queries
+            stored = stored or scratch_path(df.sparkSession, "threads")
+            reduce(DataFrame.unionByName, parts).write.parquet(f"{stored}/block={at}")
+            parts = []
+    if stored:
+        parts.append(df.sparkSession.read.parquet(stored).drop("block"))
+    if not parts:
+        raise ValueError("no query has a vector")
+    chosen = reduce(DataFrame.unionByName, parts)
+    found = _with_rows(df, chosen, key, [thread_col, *columns], k * asked)
     # rows that are copies of each other in everything may share a key
     found = found.dropDuplicates(["query_id", key])
-    return found if isinstance(queries, DataFrame) else found.drop("query_id")
+    return found if given else found.drop("query_id")

@@ -16,14 +16,19 @@ def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df
 
 
+def measure(df: DataFrame) -> tuple[DataFrame, bool]:
+    """``df`` stored, and whether it is small enough to broadcast."""
+    stored = materialise(df)
+    width = F.sum(F.octet_length(F.to_json(F.struct(*stored.columns))))
+    rows, size = stored.agg(F.count(F.lit(1)), F.coalesce(width, F.lit(0))).first()
+    return stored, rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
 def broadcast_measured(df: DataFrame) -> DataFrame:
-    """Materialise ``df``, measure it, and broadcast it only if it is small.
+    """Broadcast ``df`` if it turns out small.
 
     A larger frame is returned without a hint, so the join is a shuffled one
     in which adaptive execution splits skewed partitions.
     """
-    stored = materialise(df)
-    width = F.sum(F.octet_length(F.to_json(F.struct(*stored.columns))))
-    rows, size = stored.agg(F.count(F.lit(1)), F.coalesce(width, F.lit(0))).first()
-    small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
-    return F.broadcast(stored) if small else stored
+    stored, fits = measure(df)
+    return F.broadcast(stored) if fits else stored

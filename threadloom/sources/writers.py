@@ -12,9 +12,13 @@ from threadloom.sources.readers import CSV_WRITE_OPTIONS, _path_exists, list_fil
 SUBSET_FORMATS = ("csv", "parquet", "json")
 
 
-def _writer(df: DataFrame, file_format: str, mode: str):
+def _check_format(file_format: str) -> None:
     if file_format not in SUBSET_FORMATS:
         raise ValueError(f"unsupported file format: {file_format}")
+
+
+def _writer(df: DataFrame, file_format: str, mode: str):
+    _check_format(file_format)
     writer = df.write.mode(mode).format(file_format)
     if file_format == "csv":
         writer = writer.options(**CSV_WRITE_OPTIONS)
@@ -30,6 +34,7 @@ def write_subsets(
     df: DataFrame, path: str, file_format: str = "csv", split_col: str = "split_id"
 ) -> None:
     """One folder ``subset=dataset_{i}_subset.{format}`` per split, i from 1."""
+    _check_format(file_format)
     name = F.format_string(f"dataset_%d_subset.{file_format}", F.col(split_col) + 1)
     named = df.withColumn("subset", name).drop(split_col)
     _writer(named, file_format, "overwrite").partitionBy("subset").save(path)
