@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.strings import SPACES
 from threadloom.session import pin_utc
+from threadloom.sizing import spread
 
 #: white space as the library knows it, for DuckDB's regular expressions
 W_RANGES = (
@@ -47,7 +48,7 @@ def ntz(c: str | Column) -> Column:
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as posts: the event of the same number gives thread and time."""
-    d, e = read(spark, sf, "documents"), read(spark, sf, "events")
+    d, e = spread(read(spark, sf, "documents")), read(spark, sf, "events")
     return d.join(e, d.doc_id == e.event_id).select(
         "doc_id",
         F.col("user_id").cast("string").alias("thread_id"),
@@ -118,7 +119,7 @@ END
 
 
 def replies(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", "lang", F.expr(REPLY).alias("reply"))
+    return spread(read(spark, sf, "documents")).select("doc_id", "lang", F.expr(REPLY).alias("reply"))
 
 
 REPLIES = f"replies AS (SELECT doc_id, lang, {REPLY} AS reply FROM documents)"

@@ -13,6 +13,7 @@ from threadloom.functions.strings import (
     NON_SPACE,
     SPACE_CLASS,
     UNICODE,
+    let,
     squeeze,
     strip,
     words,
@@ -161,10 +162,13 @@ def is_valid_chunk(c: Column, min_words: int = 5, min_chars: int = 20) -> Column
     ``</content>`` that follows.
     """
     opened = F.substring_index(c, "<content>", -1)
-    content = strip(F.substring_index(opened, "</content>", 1))
-    long_words = F.filter(words(content), lambda w: F.length(w) > 2)
-    ok = (F.size(long_words) >= min_words) & (F.length(content) >= min_chars)
-    return F.coalesce(ok, F.lit(False))
+
+    def enough(content: Column) -> Column:
+        long_words = F.regexp_count(content, F.lit(f"{UNICODE}{NON_SPACE}{{3,}}"))
+        return (long_words >= min_words) & (F.length(content) >= min_chars)
+
+    found = let(strip(F.substring_index(opened, "</content>", 1)), enough)
+    return F.coalesce(found, F.lit(False))
 
 
 def temporal_wrap(text: Column, posted: Column, thread: Column) -> Column:

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import dates, text
-from threadloom.functions.strings import is_blank, strip, words
+from threadloom.functions.strings import strip, words
 from threadloom.functions.tokens import TokenCounter, estimate_counts
 from threadloom.operators.filters import long_enough
+from threadloom.sizing import spread
 
 MIN_CHUNK_CHARS = 20
 
@@ -129,7 +130,8 @@ def create_chunks(
         lambda x: F.length(x["text"]) >= MIN_CHUNK_CHARS,
     )
     return (
-        df.withColumn("_probes", _probes(F.col(text_col), limit))
+        spread(df)
+        .withColumn("_probes", _probes(F.col(text_col), limit))
         .withColumn("_counts", counter(F.col("_probes")))
         .withColumn("_units", _units(limit))
         .withColumn("_spans", _spans(limit))
@@ -151,7 +153,6 @@ def chunk_posts(
     if df.schema[time_col].dataType.typeName() != "string":
         posted = dates.time_text(posted)
     kept = long_enough(df, text_col, MIN_CHUNK_CHARS, trimmed=True)
-    kept = kept.filter(~is_blank(F.col(text_col)))
     framed = text.temporal_wrap(F.col(text_col), posted, F.col(thread_col).cast("string"))
     tidy = kept.withColumn(text_col, text.clean_chunk_text(framed))
     chunks = create_chunks(tidy, text_col, limit, counter)

@@ -11,13 +11,13 @@ from threadloom.functions import text
 from threadloom.functions.strings import chain, is_blank, let, squeeze, words
 from threadloom.functions.text import CleanOptions
 from threadloom.functions.unicode import fold_ascii
-from threadloom.sizing import broadcast_measured
+from threadloom.sizing import broadcast_measured, spread
 
 
 def _folded(df: DataFrame, input_col: str) -> DataFrame:
     """Add ``_raw``, the text, and ``_folded``, with links cut and ASCII only."""
     raw = F.col(input_col).cast("string")
-    linked = df.withColumn("_raw", raw).withColumn("_linked", let(raw, text.links_to_hosts))
+    linked = spread(df).withColumn("_raw", raw).withColumn("_linked", let(raw, text.links_to_hosts))
     return linked.withColumn("_folded", fold_ascii(F.col("_linked"))).drop("_linked")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.sizing import spread
+
 Embed = Callable[[list[str]], Sequence[Sequence[float]]]
 Complete = Callable[[str, str], str]
 
@@ -81,7 +83,7 @@ def embed_texts(
                     embedding_usage=usage,
                 )
 
-    return df.mapInPandas(run, schema)
+    return spread(df).mapInPandas(run, schema)
 
 
 def complete_prompts(
@@ -118,7 +120,7 @@ def complete_prompts(
                 reply=list(replies), reply_model=list(names), error=list(errors)
             )
 
-    return df.mapInPandas(run, schema)
+    return spread(df).mapInPandas(run, schema)
 
 
 def render(template: str, **values: Column) -> Column:

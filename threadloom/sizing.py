@@ -11,6 +11,22 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+#: up to this estimate, an input may sit in fewer pieces than there are cores
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input out to all cores before costly row work.
+
+    A small table is often one file with one row group, which is one task. A
+    large one has pieces enough, and is not shuffled.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` when the caller can prove it has at most ``max_rows`` rows."""
     return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df
