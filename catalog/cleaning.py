@@ -211,7 +211,7 @@ def _mask(x: str) -> str:
     )
 
 
-def _clean_chunk(x: str) -> str:
+def clean_chunk_sql(x: str) -> str:
     return (
         f"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), "
         f"lambda s: {sql_strip('s')}), lambda s: s <> ''), chr(10))"
@@ -223,7 +223,7 @@ def _sentences(x: str) -> str:
     return f"list_transform(list_filter({stripped}, lambda s: s <> ''), lambda s: s || '.')"
 
 
-def _packed(source: str, keys: str, limit: int) -> str:
+def packed_sql(source: str, keys: str, limit: int) -> str:
     """Greedy packing as a recursion over the units of each text.
 
     ``source`` is a query of (keys, doc_id, x).
@@ -256,7 +256,7 @@ def _packed(source: str, keys: str, limit: int) -> str:
                FROM chunks JOIN texts USING (doc_id) WHERE length(chunks.text) >= 20)"""
 
 
-_FRAMED = (
+framed_sql = (
     f"concat_ws(chr(10), '<temporal_context>', 'Posted: ' || {SQL_TIME_TEXT}, "
     "'Thread: ' || thread_id, '</temporal_context>', "
     "'<content>', text, '</content>')"
@@ -264,9 +264,13 @@ _FRAMED = (
 _CONTENT = sql_strip(
     "split_part(list_extract(string_split(text, '<content>'), -1), '</content>', 1)"
 )
+VALID_SQL = (
+    f"len(list_filter(regexp_split_to_array({_CONTENT}, '{W}+'), lambda w: length(w) > 2)) >= 5 "
+    f"AND length({_CONTENT}) >= 20"
+)
 _PLAIN = "SELECT doc_id, text AS x FROM documents"
 _POST_TEXTS = (
-    f"SELECT doc_id, thread_id, posted_date_time, {_clean_chunk(_FRAMED)} AS x FROM posts "
+    f"SELECT doc_id, thread_id, posted_date_time, {clean_chunk_sql(framed_sql)} AS x FROM posts "
     f"WHERE length({sql_strip('text')}) >= 20"
 )
 
@@ -291,14 +295,13 @@ ORACLES = {
     "txt_mask_words": f"SELECT doc_id, {_mask('text')} AS joined, {_mask('text')} AS listed FROM documents",
     "txt_string_to_bool": f"""SELECT doc_id, lower({FLAGS}) IN ('true', '1', 't', 'y', 'yes', 'on') AS flag
         FROM documents""",
-    "txt_clean_chunk": _sql(_clean_chunk("x"), CHUNKY),
+    "txt_clean_chunk": _sql(clean_chunk_sql("x"), CHUNKY),
     "chk_sentences": f"""SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS seq, unnest(l) AS sentence
         FROM (SELECT doc_id, {_sentences('text')} AS l FROM documents)""",
     "chk_token_counts": "SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INT) AS tokens FROM documents",
-    "chk_pack": f"WITH RECURSIVE {_packed(_PLAIN, '', 1000)} SELECT * FROM packed",
-    "chk_pack_words": f"WITH RECURSIVE {_packed(_PLAIN, '', 60)} SELECT * FROM packed",
-    "chk_posts": f"""WITH RECURSIVE {POSTS}, {_packed(_POST_TEXTS, 'thread_id, posted_date_time,', 300)}
+    "chk_pack": f"WITH RECURSIVE {packed_sql(_PLAIN, '', 1000)} SELECT * FROM packed",
+    "chk_pack_words": f"WITH RECURSIVE {packed_sql(_PLAIN, '', 60)} SELECT * FROM packed",
+    "chk_posts": f"""WITH RECURSIVE {POSTS}, {packed_sql(_POST_TEXTS, 'thread_id, posted_date_time,', 300)}
         SELECT * FROM packed
-        WHERE len(list_filter(regexp_split_to_array({_CONTENT}, '{W}+'), lambda w: length(w) > 2)) >= 5
-          AND length({_CONTENT}) >= 20""",
+        WHERE {VALID_SQL}""",
 }

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import REPLIES, read, replies, sql_embed, sql_strip, stub_complete, stub_embed
-from threadloom.functions.strings import strip
+from catalog.base import (
+    REPLIES, read, replies, sql_embed, sql_strip, stub_complete, stub_embed,
+)
+from catalog.cleaning import VALID_SQL, clean_chunk_sql, framed_sql, packed_sql
+from catalog.retrieval import threads_sql
 from threadloom.operators import models, replies as R, summary as S
-from threadloom.plans.knowledge import CHUNK_PROMPT, SYSTEM_PROMPT, Models, run_queries
+from threadloom.plans.knowledge import (
+    CHUNK_PROMPT, SUMMARY_SYSTEM_PROMPT, SYSTEM_PROMPT, Models, run_queries,
+)
 
 NAMES = ["key_claims", "supporting_text", "risk_assessment", "viral_potential"]
 
@@ -191,6 +196,40 @@ _FALLBACK = (
     "Thread Distribution: See detailed metrics below\n\n### 2. Thread Analysis\n'"
 )
 
+_NN = "chr(10) || chr(10)"
+_CTX = f"'Key claims detected:' || chr(10) || '- {len(SYSTEM_PROMPT)} characters of system prompt'"
+_BLOCK = f"'Key Claims:' || chr(10) || '- {len(SYSTEM_PROMPT)} characters of system prompt'"
+_DAY = "2024-01-01 00:00:00"
+_DATED = f"(SELECT doc_id, source AS thread_id, TIMESTAMP '{_DAY}' AS posted_date_time, text FROM documents)"
+_TEXTS = f"SELECT doc_id, {clean_chunk_sql(framed_sql)} AS x FROM {_DATED} WHERE length({_S('text')}) >= 20"
+_SUMMARY_PROMPT = (
+    f"'Question: ' || query || {_NN} || 'Time Range: {_DAY} to {_DAY}' || {_NN} || 'Context:' || chr(10) "
+    f"|| cc || {_NN} || '<event_mapping>' || chr(10) || em || chr(10) || '</event_mapping>' || {_NN} "
+    f"|| 'Analyses:' || chr(10) || sr || {_NN} || 'Write one summary for the time from {_DAY} to {_DAY}.'"
+)
+_RUN = f"""WITH RECURSIVE
+  emb AS (SELECT doc_id, source, {sql_embed('text')}::DOUBLE[] AS v FROM documents),
+  q AS (SELECT item_id AS query_id, text AS query, {sql_embed('text')}::DOUBLE[] AS v FROM benchmark),
+  pairs AS (SELECT query_id, doc_id AS vec_id, source AS label, list_cosine_similarity(emb.v, q.v) AS s
+            FROM emb, q),
+  {threads_sql(3, 'query_id', 'pairs')},
+  {packed_sql(_TEXTS, '', 1000)},
+  valid AS (SELECT * FROM packed WHERE {VALID_SQL}),
+  replies_ AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, seq) AS n,
+      '(t, prompt_length, ' || ({len(CHUNK_PROMPT) - len('{content}')} + length(text)) || ', 0.9)' AS analysis
+    FROM ranked JOIN valid ON vec_id = doc_id WHERE rank <= 3),
+  joined AS (SELECT query_id, string_agg({_BLOCK}, {_NN}) AS cc,
+      string_agg('<analysis_section>' || chr(10) || analysis || chr(10) || {_CTX} || chr(10)
+        || '</analysis_section>', {_NN} ORDER BY n) AS sr,
+      '{{' || string_agg('"event' || n || '":""', ',' ORDER BY n) || '}}' AS em
+    FROM replies_ GROUP BY query_id)
+SELECT query_id, CASE WHEN sr IS NOT NULL THEN '{_DAY}' END AS start_date,
+       CASE WHEN sr IS NOT NULL THEN '{_DAY}' END AS end_date, coalesce(em, '{{}}') AS event_map,
+       CASE WHEN sr IS NULL THEN '' ELSE '(t, prompt_length, ' || length({_SUMMARY_PROMPT}) || ', 0.9)' || chr(10)
+         || '<signal_context>' || chr(10) || 'Key claims detected:' || chr(10)
+         || '- {len(SUMMARY_SYSTEM_PROMPT)} characters of system prompt' END AS summary
+FROM q LEFT JOIN joined USING (query_id)"""
+
 ORACLES = {
     "llm_complete": """SELECT doc_id, CASE WHEN lang <> 'de' THEN '(t, prompt_length, '
           || (length(text) + length(lang) + 1) || ', 0.9)' || chr(10) || '<signal_context>' || chr(10)
@@ -230,4 +269,5 @@ ORACLES = {
     "sum_fallback": f"""SELECT doc_id, CASE WHEN source = 'src3' THEN '' WHEN lang = 'en' THEN 'fine'
         WHEN lang = 'fr' THEN {_FALLBACK} || source
         ELSE {_FALLBACK} || substr(text, 1, 3000) END AS summary FROM documents""",
+    "sum_run_queries": _RUN,
 }

@@ -68,7 +68,7 @@ _SCORED = f"""scored AS (SELECT e.vec_id, e.label, {_COS} AS s
   FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
 
 
-def _threads(k: int, by: str, source: str) -> str:
+def threads_sql(k: int, by: str, source: str) -> str:
     return f"""pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}
             ORDER BY round(s, 9) DESC, vec_id) AS r FROM {source}) WHERE r <= {4 * k}),
         firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}, label ORDER BY r) AS f
@@ -81,10 +81,10 @@ ORACLES = {
     "sim_top": f"""WITH {_SCORED} SELECT vec_id, label, round(round(s, 9), 6) AS similarity,
         CAST(row_number() OVER (ORDER BY round(s, 9) DESC, vec_id) AS INT) AS rank
         FROM scored ORDER BY rank LIMIT 100""",
-    "sim_top_threads": f"""WITH {_SCORED}, one AS (SELECT *, 0 AS q FROM scored), {_threads(8, 'q', 'one')}
+    "sim_top_threads": f"""WITH {_SCORED}, one AS (SELECT *, 0 AS q FROM scored), {threads_sql(8, 'q', 'one')}
         SELECT vec_id, label, round(round(s, 9), 6) AS similarity, rank FROM ranked WHERE rank <= 8""",
     "sim_many_queries": f"""WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_COS} AS s
-          FROM embeddings e, embeddings q), {_threads(5, 'query_id', 'pairs')}
+          FROM embeddings e, embeddings q), {threads_sql(5, 'query_id', 'pairs')}
         SELECT query_id, vec_id, label, round(round(s, 9), 6) AS similarity, rank FROM ranked WHERE rank <= 5""",
     "emb_texts": f"""SELECT doc_id, 8 AS width,
         round(CAST({sql_embed('text')}[4] AS DOUBLE), 5) AS fourth, 'stub' AS model,

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions.hashing import row_hash
 from threadloom.functions.tokens import TokenCounter, estimate_counts
 from threadloom.operators import summary as S
 from threadloom.operators.chunking import chunk_posts
@@ -16,7 +17,7 @@ from threadloom.operators.replies import parse_replies
 from threadloom.operators.similarity import top_threads
 from threadloom.operators.times import temporal_extent
 from threadloom.session import materialise
-from threadloom.sources.readers import read_subsets
+from threadloom.sources.readers import read_knowledge_base, read_subsets
 from threadloom.sources.writers import build_if_absent
 
 SYSTEM_PROMPT = (
@@ -25,6 +26,7 @@ SYSTEM_PROMPT = (
     "bullet lists: key claims detected, supporting text, risk assessment, viral potential."
 )
 CHUNK_PROMPT = "Report on this content:\n\n<content>\n{content}\n</content>"
+SUMMARY_SYSTEM_PROMPT = "You summarise analyses of message-board posts."
 SUMMARY_PROMPT = (
     "Question: {query}\n\n{temporal_context}\n\nContext:\n{context}\n\nAnalyses:\n{results}\n\n"
     "Write one summary for the time from {start_date} to {end_date}."
@@ -40,7 +42,7 @@ class Models:
     summarize: Sequence[tuple[str, Complete]] = field(default=())
     system_prompt: str = SYSTEM_PROMPT
     chunk_prompt: str = CHUNK_PROMPT
-    summary_system_prompt: str = "You summarise analyses of message-board posts."
+    summary_system_prompt: str = SUMMARY_SYSTEM_PROMPT
     summary_prompt: str = SUMMARY_PROMPT
 
 
@@ -128,9 +130,6 @@ def run_knowledge(
     batch_size: int = 100,
 ) -> tuple[DataFrame, DataFrame]:
     """Build the knowledge base where needed, then answer one query from it."""
-    from threadloom.functions.hashing import row_hash
-    from threadloom.sources.readers import read_knowledge_base
-
     build_knowledge_base(spark, subsets, knowledge_base, models.embed, batch_size)
     kb = read_knowledge_base(spark, knowledge_base)
     kb = kb.withColumn("id", row_hash(["thread_id", "posted_date_time", "text"], 0))
