@@ -17,41 +17,65 @@ def hours(spark, sizes):
     )
 
 
-def test_half_even(spark):
+def test_half_even(spark, size):
     df = hours(spark, [5, 3])
     sample = sampling.sample_by_time(df, "t", 4, "id")
     counts = {r.h: r.n for r in sample.groupBy(F.hour("t").alias("h")).agg(F.count("*").alias("n")).collect()}
     assert counts == {0: 2, 1: 2}
 
 
-def test_null_times_count_but_are_not_taken(spark):
+def test_null_times_count_but_are_not_taken(spark, size):
     df = hours(spark, [10]).unionByName(
         spark.createDataFrame([(100 + i, None) for i in range(10)], "id int, t timestamp")
     )
     assert sampling.sample_by_time(df, "t", 10, "id").count() == 5
 
 
-def test_fewer_rows_than_strata(spark):
+def test_fewer_rows_than_strata(spark, size):
     df = spark.createDataFrame([(i, str(i)) for i in range(10)], "id int, s string")
     assert sampling.sample_by_strata(df, "s", 5, "id").count() == 0
 
 
-def test_null_stratum_counts_but_gives_nothing(spark):
+def test_null_stratum_counts_but_gives_nothing(spark, size):
     rows = [(i, "a" if i % 3 else None) for i in range(30)]
     df = spark.createDataFrame(rows, "id int, s string")
     sample = sampling.sample_by_strata(df, "s", 10, "id").collect()
     assert len(sample) == 5 and {r.s for r in sample} == {"a"}
 
 
+@pytest.fixture(params=[0, 2_000_000], ids=["large", "small"])
+def size(request, monkeypatch):
+    """Both ways to rank: as for large tables and as for small ones."""
+    monkeypatch.setattr(sampling, "ONE_PASS_ROWS", request.param)
+
+
+def test_both_ways_agree(spark, monkeypatch):
+    df = spark.range(3000).withColumns(
+        {
+            "t": F.timestamp_seconds(F.col("id") * 97 % 90000),
+            "s": F.when(F.col("id") % 11 > 0, (F.col("id") % 4).cast("string")),
+        }
+    )
+    ways = [
+        lambda: sampling.sample_by_time(df, "t", 100, "id"),
+        lambda: sampling.sample_by_strata(df, "s", 103, "id"),
+        lambda: sampling.sample_by_time_and_strata(df, "t", "s", 9, "id", "D"),
+        lambda: sampling.reservoir_sample(df, 77, "id"),
+    ]
+    small = [sorted(way().collect()) for way in ways]
+    monkeypatch.setattr(sampling, "ONE_PASS_ROWS", 0)
+    assert [sorted(way().collect()) for way in ways] == small
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("k", [0, 1, 100, 1000, 2000])
-def test_reservoir(spark, k, seed):
+def test_reservoir(spark, size, k, seed):
     df = spark.range(1000)
     ids = [r.id for r in sampling.reservoir_sample(df, k, "id", seed).collect()]
     assert len(ids) == len(set(ids)) == min(k, 1000)
 
 
-def test_one_hot_bucket(spark):
+def test_one_hot_bucket(spark, size):
     """A bucket with most rows: its candidates are a small part of it."""
     df = spark.range(60000).withColumn(
         "t", F.when(F.col("id") % 3 > 0, F.lit("2024-01-01 00:00:00")).otherwise(

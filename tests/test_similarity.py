@@ -55,6 +55,7 @@ def test_query_blocks(spark, monkeypatch):
     whole = similarity.top_threads(df, queries, 3, "id", "thread", ["thread"]).collect()
     monkeypatch.setattr(similarity, "BLOCK_NUMBERS", 12)
     monkeypatch.setattr(similarity, "CELLS", 20)
+    monkeypatch.setattr(similarity, "PLAN_BLOCKS", 3)
     parts = similarity.top_threads(df, queries, 3, "id", "thread", ["thread"]).collect()
     key = lambda r: (r.query_id, r["rank"])
     assert sorted(whole, key=key) == sorted(parts, key=key)

@@ -8,6 +8,9 @@ itself; the last pass keeps rows up to that hash, with no shuffle of the rows.
 A group that holds a third of all rows costs no task more than its bin, about
 m/16 hashes.
 
+A table of up to two million rows is ranked by one window per group instead,
+which is one pass and gives the same rows.
+
 ``key`` names the column, or columns, that identify a row.
 """
 
@@ -28,6 +31,8 @@ Key = str | list[str]
 #: adds ``quota`` to a frame of (group columns, bin, rows, group_rows)
 Quota = Callable[[DataFrame], DataFrame]
 
+#: tables up to this size are ranked in one pass
+ONE_PASS_ROWS = 2_000_000
 #: a sample of at most this size is cut to k by one ordered limit
 LIMIT_ROWS = 100_000
 
@@ -70,16 +75,28 @@ def _cutoffs(
     return F.broadcast(cut) if fits else cut
 
 
+def _ranked(df: DataFrame, by: list[str], digest: Column, quota: Quota) -> DataFrame:
+    """The same rows for a small table: rank every row in its group."""
+    group = W.partitionBy(*by)
+    ranked = df.withColumns({"_digest": digest, "group_rows": F.count(F.lit(1)).over(group)})
+    ranked = ranked.withColumn("_rank", F.row_number().over(group.orderBy("_digest")))
+    kept = quota(ranked).filter(F.col("_rank") <= F.col("quota"))
+    return kept.select(*df.columns)
+
+
 def _keep(
     df: DataFrame,
     by: list[str],
     digest: Column,
     quota: Quota,
     max_groups: int | None,
+    rows: int,
 ) -> DataFrame:
-    """Rows up to their group's cutoff."""
+    """Rows up to their group's cutoff; rows with a null group are never kept."""
+    if rows <= ONE_PASS_ROWS:
+        return _ranked(df.dropna(subset=by), by, digest, quota)
     cut = _cutoffs(df, by, digest, quota, max_groups)
-    return df.join(cut, by).filter(digest <= F.col("cutoff")).drop("cutoff")
+    return df.join(cut, by).filter(digest <= F.col("cutoff")).select(*df.columns)
 
 
 def reservoir_sample(df: DataFrame, k: int, key: Key, seed: int = 42) -> DataFrame:
@@ -87,6 +104,8 @@ def reservoir_sample(df: DataFrame, k: int, key: Key, seed: int = 42) -> DataFra
     if k <= 0:
         return df.limit(0)
     digest = row_hash(key, seed)
+    if k <= LIMIT_ROWS and df.count() <= ONE_PASS_ROWS:
+        return df.orderBy(digest).limit(k)
     everything = df.withColumn("_all", F.lit(0))
     quota: Quota = lambda g: g.withColumn("quota", F.least(F.lit(k), F.col("group_rows")))
     cutoff = _cutoffs(everything, ["_all"], digest, quota, 1).select("cutoff").scalar()
@@ -111,14 +130,15 @@ def sample_by_time(
     """
     timed = df.withColumn("_bucket", dates.bucket(F.col(time_col), freq))
     timed = timed.filter(F.col("_bucket").isNotNull())
-    fraction = min(1.0, k / max(1, df.count()))
+    rows = df.count()
+    fraction = min(1.0, k / max(1, rows))
 
     def quota(groups: DataFrame) -> DataFrame:
         share = F.bround(F.lit(fraction) * F.col("group_rows"))
         return groups.withColumn("quota", share.cast("long"))
 
     # a bucket takes a row only if it has N/2k rows or more, so fewer than 2k do
-    kept = _keep(timed, ["_bucket"], row_hash(key, seed), quota, 2 * k)
+    kept = _keep(timed, ["_bucket"], row_hash(key, seed), quota, 2 * k, rows)
     return _cut_to(kept.drop("_bucket"), k, key, seed)
 
 
@@ -139,7 +159,7 @@ def sample_by_strata(
     quota: Quota = lambda g: g.withColumn("quota", F.least(F.col("group_rows"), F.lit(share)))
 
     # with more than k strata nothing is taken
-    kept = _keep(df, [strata_col], row_hash(key, seed), quota, k)
+    kept = _keep(df, [strata_col], row_hash(key, seed), quota, k, df.count())
     return _cut_to(kept, k, key, seed) if cut else kept
 
 
@@ -161,14 +181,16 @@ def sample_by_time_and_strata(
     timed = timed.filter(F.col("_bucket").isNotNull())
 
     def quota(groups: DataFrame) -> DataFrame:
-        strata = groups.groupBy("_bucket", strata_col).agg(F.count(F.lit(1)).alias("bins"))
-        shares = strata.groupBy("_bucket").agg(
-            F.floor(F.lit(k) / F.count(F.lit(1))).alias("share")
+        shares = (
+            timed.select("_bucket", strata_col)
+            .distinct()
+            .groupBy("_bucket")
+            .agg(F.floor(F.lit(k) / F.count(F.lit(1))).alias("share"))
         )
         shared = groups.join(shares.filter(F.col("share") > 0), "_bucket")
         return shared.withColumn("quota", F.least(F.col("group_rows"), F.col("share")))
 
-    kept = _keep(timed, ["_bucket", strata_col], row_hash(key, seed), quota, None)
+    kept = _keep(timed, ["_bucket", strata_col], row_hash(key, seed), quota, None, df.count())
     return _cut_to(kept.drop("_bucket"), k, key, seed)
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from threadloom.session import scratch_path
 from threadloom.sizing import broadcast_bounded
@@ -29,6 +31,8 @@ from threadloom.sizing import broadcast_bounded
 DIGITS = 9
 #: numbers in one block of query vectors, 64 MB of doubles
 BLOCK_NUMBERS = 8_000_000
+#: best rows a task keeps for one block of queries
+BLOCK_BEST = 2_000_000
 #: similarities a task holds at a time
 CELLS = 4_000_000
 #: first merge step: groups of tasks
@@ -83,7 +87,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.nan_to_num(whole)
 
 
-def _part_best(queries: np.ndarray, n: int):
+def _part_best(ids: pa.Array, queries: np.ndarray, n: int):
     """Task function: best rows of one partition for every query."""
     unit = _unit(queries)
     width = queries.shape[1]
@@ -117,38 +121,45 @@ def _part_best(queries: np.ndarray, n: int):
                 full = counts >= n
                 floor[full] = best["rank_by"].to_numpy()[ends[full]]
         if best is not None:
-            yield from best.combine_chunks().to_batches()
+            named = best.set_column(0, "query_id", ids.take(best["query"].combine_chunks()))
+            yield from named.combine_chunks().to_batches()
 
     return run
 
 
 def _top_rows(
-    df: DataFrame, ids: list, queries: np.ndarray, n: int, key: str, thread_col: str, vec_col: str
+    df: DataFrame,
+    ids: pa.Array,
+    id_type: T.DataType,
+    queries: np.ndarray,
+    n: int,
+    key: str,
+    thread_col: str,
+    vec_col: str,
 ) -> DataFrame:
-    """(query_id, key, thread, similarity): the best ``n`` rows per query of one block."""
-    kinds = {c: df.schema[c].dataType for c in (key, thread_col)}
+    """(query_id, key, thread, similarity, rank): best ``n`` rows per query of a block."""
     schema = T.StructType(
         [
-            T.StructField("query", T.IntegerType()),
-            T.StructField("key", kinds[key]),
-            T.StructField("thread", kinds[thread_col]),
+            T.StructField("query_id", id_type),
+            T.StructField("key", df.schema[key].dataType),
+            T.StructField("thread", df.schema[thread_col].dataType),
             T.StructField("rank_by", T.DoubleType()),
         ]
     )
     narrow = df.select(key, thread_col, vec_col)
-    parts = narrow.mapInArrow(_part_best(queries, n), schema)
+    parts = narrow.mapInArrow(_part_best(ids, queries, n), schema)
     best = [F.desc("rank_by"), F.asc("key")]
     group = F.spark_partition_id() % MERGE_GROUPS
+    grouped = W.partitionBy("query_id", "_group").orderBy(*best)
     merged = (
         parts.withColumn("_group", group)
-        .withColumn("_rn", F.row_number().over(W.partitionBy("query", "_group").orderBy(*best)))
+        .withColumn("_rn", F.row_number().over(grouped))
         .filter(F.col("_rn") <= n)
-        .withColumn("_rn", F.row_number().over(W.partitionBy("query").orderBy(*best)))
+        .withColumn("_rn", F.row_number().over(W.partitionBy("query_id").orderBy(*best)))
         .filter(F.col("_rn") <= n)
     )
-    names = F.array(*[F.lit(i) for i in ids])
     return merged.select(
-        F.get(names, F.col("query")).alias("query_id"),
+        "query_id",
         "key",
         "thread",
         F.when(F.col("rank_by") > -2.0, F.col("rank_by")).alias("similarity"),
@@ -156,22 +167,24 @@ def _top_rows(
     )
 
 
-def _blocks(queries: DataFrame, query_id: str, vec_col: str) -> Iterator[tuple[list, np.ndarray]]:
-    """Query vectors in blocks of bounded size, read one block at a time."""
-    width = queries.select(F.size(vec_col)).filter(F.col(vec_col).isNotNull()).first()
-    if width is None:
+def _one(query: Sequence[float]) -> tuple[pa.Array, np.ndarray]:
+    return pa.array([0], pa.int32()), np.asarray([query], dtype="float64")
+
+
+def _blocks(
+    queries: DataFrame, query_id: str, vec_col: str, n: int
+) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Query ids and vectors in blocks of bounded size, read one block at a time."""
+    given = queries.select(query_id, vec_col).filter(F.col(vec_col).isNotNull())
+    first = given.first()
+    if first is None:
         return
-    size = max(1, BLOCK_NUMBERS // max(1, width[0]))
-    ids: list = []
-    rows: list = []
-    for row in queries.select(query_id, vec_col).toLocalIterator():
-        ids.append(row[0])
-        rows.append(row[1])
-        if len(ids) == size:
-            yield ids, np.asarray(rows, dtype="float64")
-            ids, rows = [], []
-    if ids:
-        yield ids, np.asarray(rows, dtype="float64")
+    size = max(1, min(BLOCK_NUMBERS // max(1, len(first[1])), BLOCK_BEST // n))
+    kind = to_arrow_type(queries.schema[query_id].dataType)
+    rows = given.toLocalIterator()
+    while block := list(islice(rows, size)):
+        ids = pa.array([r[0] for r in block], kind)
+        yield ids, np.asarray([r[1] for r in block], dtype="float64")
 
 
 def _with_rows(df: DataFrame, chosen: DataFrame, key: str, columns: list[str], rows: int) -> DataFrame:
@@ -189,8 +202,9 @@ def top_similar(
     embedding_col: str = "embedding",
 ) -> DataFrame:
     """The ``n`` rows most similar to one query, with ``similarity`` and ``rank``."""
-    matrix = np.asarray([query], dtype="float64")
-    top = _top_rows(df, [0], matrix, n, key, key, embedding_col).drop("query_id")
+    ids, matrix = _one(query)
+    top = _top_rows(df, ids, T.IntegerType(), matrix, n, key, key, embedding_col)
+    top = top.drop("query_id")
     return _with_rows(df, top, key, list(columns), n)
 
 
@@ -224,12 +238,11 @@ def top_threads(
     fewer than k. ``queries`` is one vector, or a table of ids and vectors.
     """
     given = isinstance(queries, DataFrame)
-    blocks = _blocks(queries, query_id, query_col) if given else iter(
-        [([0], np.asarray([queries], dtype="float64"))]
-    )
+    id_type = queries.schema[query_id].dataType if given else T.IntegerType()
+    blocks = _blocks(queries, query_id, query_col, 4 * k) if given else [_one(queries)]
     parts, asked, stored = [], 0, None
     for at, (ids, matrix) in enumerate(blocks):
-        top = _top_rows(df, ids, matrix, 4 * k, key, thread_col, embedding_col)
+        top = _top_rows(df, ids, id_type, matrix, 4 * k, key, thread_col, embedding_col)
         parts.append(_best_threads(top, k))
         asked += len(ids)
         if len(parts) == PLAN_BLOCKS:
