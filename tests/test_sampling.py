@@ -47,6 +47,7 @@ def test_null_stratum_counts_but_gives_nothing(spark, size):
 def size(request, monkeypatch):
     """Both ways to rank: as for large tables and as for small ones."""
     monkeypatch.setattr(sampling, "ONE_PASS_ROWS", request.param)
+    monkeypatch.setattr(sampling, "HEAP_ROWS", request.param)
 
 
 def test_both_ways_agree(spark, monkeypatch):
@@ -64,6 +65,7 @@ def test_both_ways_agree(spark, monkeypatch):
     ]
     small = [sorted(way().collect()) for way in ways]
     monkeypatch.setattr(sampling, "ONE_PASS_ROWS", 0)
+    monkeypatch.setattr(sampling, "HEAP_ROWS", 0)
     assert [sorted(way().collect()) for way in ways] == small
 
 
@@ -133,9 +135,11 @@ def test_large_strata_and_many_subsets(spark, monkeypatch):
     df = spark.range(5000).withColumn("s", F.when(F.col("id") % 3 == 0, "x").otherwise((F.col("id") % 7).cast("string")))
     plain = {r.id: r.split_id for r in splitting.plain_split(df, "id", size=50).collect()}
     strat = {r.id: r.split_id for r in splitting.stratified_split(df, "s", "id", size=50).collect()}
+    monkeypatch.setattr(splitting, "ONE_PASS_ROWS", 0)
     monkeypatch.setattr(splitting, "STRATUM_ROWS", 100)
-    monkeypatch.setattr(splitting, "MANY_SUBSETS", 10)
-    assert plain == {r.id: r.split_id for r in splitting.plain_split(df, "id", size=50).collect()}
-    assert strat == {
-        r.id: r.split_id for r in splitting.stratified_split(df, "s", "id", size=50).collect()
-    }
+    for many in (10_000, 10):
+        monkeypatch.setattr(splitting, "MANY_SUBSETS", many)
+        again = splitting.plain_split(df, "id", size=50).collect()
+        assert plain == {r.id: r.split_id for r in again}
+        again = splitting.stratified_split(df, "s", "id", size=50).collect()
+        assert strat == {r.id: r.split_id for r in again}

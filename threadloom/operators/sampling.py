@@ -8,7 +8,7 @@ itself; the last pass keeps rows up to that hash, with no shuffle of the rows.
 A group that holds a third of all rows costs no task more than its bin, about
 m/16 hashes.
 
-A table of up to two million rows is ranked by one window per group instead,
+A table of up to half a million rows is ranked by one window per group instead,
 which is one pass and gives the same rows.
 
 ``key`` names the column, or columns, that identify a row.
@@ -31,8 +31,10 @@ Key = str | list[str]
 #: adds ``quota`` to a frame of (group columns, bin, rows, group_rows)
 Quota = Callable[[DataFrame], DataFrame]
 
-#: tables up to this size are ranked in one pass
-ONE_PASS_ROWS = 2_000_000
+#: tables up to this size are ranked in one pass, whole rows by group
+ONE_PASS_ROWS = 500_000
+#: tables up to this size give up their k smallest by one ordered limit
+HEAP_ROWS = 2_000_000
 #: a sample of at most this size is cut to k by one ordered limit
 LIMIT_ROWS = 100_000
 
@@ -104,7 +106,7 @@ def reservoir_sample(df: DataFrame, k: int, key: Key, seed: int = 42) -> DataFra
     if k <= 0:
         return df.limit(0)
     digest = row_hash(key, seed)
-    if k <= LIMIT_ROWS and df.count() <= ONE_PASS_ROWS:
+    if k <= LIMIT_ROWS and df.count() <= HEAP_ROWS:
         return df.orderBy(digest).limit(k)
     everything = df.withColumn("_all", F.lit(0))
     quota: Quota = lambda g: g.withColumn("quota", F.least(F.lit(k), F.col("group_rows")))

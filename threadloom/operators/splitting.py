@@ -19,6 +19,8 @@ from threadloom.sizing import broadcast_bounded
 Key = str | list[str]
 
 CELLS = 1 << 16
+#: tables up to this size have their keys ranked by one plain window
+ONE_PASS_ROWS = 2_000_000
 #: rows of a stratum that one task ranks; a larger stratum is ranked in cells
 STRATUM_ROWS = 1_000_000
 #: above this many subsets, ranking all rows beats looking up their edges
@@ -47,6 +49,9 @@ def _first_ranks(cells: DataFrame, by: list[str], cell: str) -> DataFrame:
 
 def _assign(df: DataFrame, cell: str, order: list[str], size: int, rows: int) -> DataFrame:
     """Add ``split_id``: the place in (cell, order) divided by the subset size."""
+    if rows <= ONE_PASS_ROWS:
+        place = F.row_number().over(W.orderBy(*order)) - 1
+        return df.withColumn("split_id", F.floor(place / size))
     counts = df.groupBy(cell).agg(F.count(F.lit(1)).alias("rows"))
     # the number of cells is fixed, so this window over all of them is small
     counts = _first_ranks(counts.withColumn("_one", F.lit(0)), ["_one"], cell)
@@ -87,14 +92,28 @@ def plain_split(
     rows = df.count()
     size = subset_size(rows, fraction, size)
     keys = [key] if isinstance(key, str) else list(key)
-    hashed = df.withColumn("_digest", row_hash(keys, seed))
+    small = rows <= ONE_PASS_ROWS
+    # a small table's keys are ranked and joined back; rows of a large one look
+    # their subset up where they are
+    hashed = (df.select(*keys) if small else df).withColumn("_digest", row_hash(keys, seed))
     hashed = hashed.withColumn("_cell", hash_cell(F.col("_digest")))
-    split = _assign(hashed, "_cell", ["_digest", *keys], size, rows).drop("_cell", "_digest")
+    split = _assign(hashed, "_cell", ["_digest", *keys], size, rows)
+    if small:
+        split = df.join(split.select(*keys, "split_id"), keys)
+    split = split.select(*df.columns, "split_id")
     return split.filter(F.col("split_id") < rows // size)
 
 
-def _rank_in_stratum(df: DataFrame, order: list[str]) -> DataFrame:
+def _rank_in_stratum(df: DataFrame, order: list[str], rows: int) -> DataFrame:
     """Add ``_rn``, the place in the stratum by hash, and ``_rows``, its row count."""
+    if rows <= ONE_PASS_ROWS:
+        stratum = W.partitionBy("_stratum")
+        return df.withColumns(
+            {
+                "_rn": F.row_number().over(stratum.orderBy(*order)),
+                "_rows": F.count(F.lit(1)).over(stratum),
+            }
+        )
     counts = df.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_large"))
     large = counts.filter(F.col("_large") > STRATUM_ROWS).withColumn(
         "_cells", F.ceil(F.col("_large") / STRATUM_ROWS)
@@ -161,7 +180,7 @@ def stratified_split(
     # the stratum as text with a mark, so that null is a value of its own
     stratum = F.coalesce(F.concat(F.lit("="), F.col(stratify_col).cast("string")), F.lit(""))
     narrow = df.select(*keys, stratum.alias("_stratum"), row_hash(keys, seed).alias("_digest"))
-    ranked = _rank_in_stratum(narrow, ["_digest", *keys])
+    ranked = _rank_in_stratum(narrow, ["_digest", *keys], totals["rows"])
     place = (F.col("_rn") - _phase(totals["strata"], seed)) / F.col("_rows")
     placed = ranked.withColumn("_place", place)
     cell = F.least(F.floor(F.col("_place") * CELLS), F.lit(CELLS - 1)).cast("int")
