@@ -254,7 +254,7 @@ _POST_LENGTHS = f"""{POSTS}, kept AS (SELECT CAST(doc_id AS VARCHAR) AS step_id,
   FROM posts WHERE lang <> 'de')"""
 _BUNDLE = "SELECT step_id, {name} AS name, 'AI' AS type, {value} AS value, {comment} AS comment, 'metric' AS tags FROM bundle"
 _LENGTH_NOTE = (
-    "'experiment_type: knowledge_agent_run, has_query: True, has_summary: ' || "
+    "'experiment_type: knowledge_run, has_query: True, has_summary: ' || "
     "CASE WHEN summary IS NULL THEN 'False' ELSE 'True' END"
 )
 _SECONDS = "(epoch_us({b}) - epoch_us({a})) / 1e6"

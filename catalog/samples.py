@@ -22,9 +22,17 @@ def smp_by_time_and_strata(spark, sf):
     return sampling.sample_by_time_and_strata(events, "ts", "event_type", 20, "event_id", "D")
 
 
+# no smaller set of columns names a line
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents"]
+CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
+
+
+def _lines(spark, sf):
+    return read(spark, sf, "lineitem").withColumn("cents", F.expr(CENTS))
+
+
 def smp_reservoir(spark, sf):
-    keys = ["l_orderkey", "l_linenumber"]
-    return sampling.reservoir_sample(read(spark, sf, "lineitem"), 1000, keys)
+    return sampling.reservoir_sample(_lines(spark, sf), 1000, LINE)
 
 
 def smp_dispatch(spark, sf):
@@ -57,9 +65,8 @@ def smp_split_many_strata(spark, sf):
 
 
 def smp_plain_split(spark, sf):
-    keys = ["l_orderkey", "l_linenumber"]
-    items = read(spark, sf, "lineitem").select(*keys, "l_quantity")
-    return splitting.plain_split(items, keys, fraction=0.15, seed=7)
+    items = _lines(spark, sf).select(*LINE, "l_quantity")
+    return splitting.plain_split(items, LINE, fraction=0.15, seed=7)
 
 
 def smp_prepare(spark, sf):
@@ -107,6 +114,10 @@ def _by_both(table: str, unit: str, strata: str, k: int, key: str, columns: str)
     return _cut(picked, k, key)
 
 
+def _line_key(seed: int) -> str:
+    return f"concat_ws('|', '{seed}', {', '.join(CENTS if c == 'cents' else c for c in LINE)})"
+
+
 _EVENT = "event_id, ts, user_id, event_type, value, props"
 _WAY = "event_id, event_type"
 
@@ -118,8 +129,8 @@ ORACLES = {
     ),
     "smp_by_time_and_strata": "SELECT * FROM "
     + _by_both("events", "day", "event_type", 20, "event_id", _EVENT),
-    "smp_reservoir": """SELECT * FROM lineitem
-        ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber) LIMIT 1000""",
+    "smp_reservoir": f"""SELECT *, {CENTS} AS cents FROM lineitem
+        ORDER BY md5({_line_key(42)}) LIMIT 1000""",
     "smp_dispatch": f"""WITH late AS (SELECT *, date_trunc('second', ts) AS t FROM events
           WHERE CAST(ts AS DATE) > DATE '2024-01-05')
         SELECT *, 'time' AS way FROM {_by_time('late', 't', 500, 'event_id', _WAY)}
@@ -141,11 +152,11 @@ ORACLES = {
           FROM events),
         placed AS (SELECT *, row_number() OVER (ORDER BY (rn - phase) / n, h) - 1 AS place FROM ranked)
         SELECT event_id, user_id, place // 300 AS split_id FROM placed""",
-    "smp_plain_split": """WITH size AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.15) AS BIGINT) AS s
+    "smp_plain_split": f"""WITH size AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.15) AS BIGINT) AS s
           FROM lineitem),
-        placed AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER
-          (ORDER BY md5('7|' || l_orderkey || '|' || l_linenumber)) - 1 AS place FROM lineitem)
-        SELECT l_orderkey, l_linenumber, l_quantity, place // s AS split_id
+        lines AS (SELECT *, {CENTS} AS cents FROM lineitem),
+        placed AS (SELECT *, row_number() OVER (ORDER BY md5({_line_key(7)})) - 1 AS place FROM lines)
+        SELECT {", ".join(LINE)}, l_quantity, place // s AS split_id
         FROM placed, size WHERE place // s < n // s""",
     "smp_prepare": f"""WITH {POSTS},
         late AS (SELECT * FROM posts WHERE CAST(posted_date_time AS DATE) > DATE '2024-01-01'),

@@ -264,7 +264,7 @@ def run_bundle(
     )
     flag = lambda c: F.when(c != "", F.lit("True")).otherwise(F.lit("False"))
     about = metadata_comment(
-        experiment_type=F.lit("knowledge_agent_run"),
+        experiment_type=F.lit("knowledge_run"),
         has_query=flag(query),
         has_summary=flag(summary),
     )

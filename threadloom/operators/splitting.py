@@ -19,7 +19,7 @@ from threadloom.sizing import broadcast_bounded
 Key = str | list[str]
 
 CELLS = 1 << 16
-#: tables up to this size have their keys ranked by one plain window
+#: tables up to this size have all rows ranked in their cell, and strata in one piece
 ONE_PASS_ROWS = 2_000_000
 #: rows of a stratum that one task ranks; a larger stratum is ranked in cells
 STRATUM_ROWS = 1_000_000
@@ -49,15 +49,12 @@ def _first_ranks(cells: DataFrame, by: list[str], cell: str) -> DataFrame:
 
 def _assign(df: DataFrame, cell: str, order: list[str], size: int, rows: int) -> DataFrame:
     """Add ``split_id``: the place in (cell, order) divided by the subset size."""
-    if rows <= ONE_PASS_ROWS:
-        place = F.row_number().over(W.orderBy(*order)) - 1
-        return df.withColumn("split_id", F.floor(place / size))
     counts = df.groupBy(cell).agg(F.count(F.lit(1)).alias("rows"))
     # the number of cells is fixed, so this window over all of them is small
     counts = _first_ranks(counts.withColumn("_one", F.lit(0)), ["_one"], cell)
     firsts = counts.select(cell, "before", "rows")
     local = F.row_number().over(W.partitionBy(cell).orderBy(*order))
-    if rows // size > MANY_SUBSETS:
+    if rows <= ONE_PASS_ROWS or rows // size > MANY_SUBSETS:
         ranked = df.withColumn("_rn", local).join(broadcast_bounded(firsts, CELLS), cell)
         place = F.col("before") + F.col("_rn") - 1
         return ranked.withColumn("split_id", F.floor(place / size)).drop("_rn", "before", "rows")
@@ -92,14 +89,9 @@ def plain_split(
     rows = df.count()
     size = subset_size(rows, fraction, size)
     keys = [key] if isinstance(key, str) else list(key)
-    small = rows <= ONE_PASS_ROWS
-    # a small table's keys are ranked and joined back; rows of a large one look
-    # their subset up where they are
-    hashed = (df.select(*keys) if small else df).withColumn("_digest", row_hash(keys, seed))
+    hashed = df.withColumn("_digest", row_hash(keys, seed))
     hashed = hashed.withColumn("_cell", hash_cell(F.col("_digest")))
     split = _assign(hashed, "_cell", ["_digest", *keys], size, rows)
-    if small:
-        split = df.join(split.select(*keys, "split_id"), keys)
     split = split.select(*df.columns, "split_id")
     return split.filter(F.col("split_id") < rows // size)
 
@@ -186,7 +178,8 @@ def stratified_split(
     cell = F.least(F.floor(F.col("_place") * CELLS), F.lit(CELLS - 1)).cast("int")
     placed = placed.select(*keys, "_digest", "_place", cell.alias("_cell"))
     split = _assign(placed, "_cell", ["_place", "_digest", *keys], size, totals["rows"])
-    return df.join(split.select(*keys, "split_id"), keys)
+    # a key that names several rows puts them all into one subset
+    return df.join(split.select(*keys, "split_id").dropDuplicates(keys), keys)
 
 
 def split_dataframe(
