@@ -9,7 +9,7 @@ from threadloom import schemas
 from threadloom.operators import metrics as M
 from threadloom.operators import similarity, threads as T
 from threadloom.session import scratch_path
-from threadloom.sources import readers, writers
+from threadloom.sources import writers
 from threadloom.streaming import alerts, ingest
 
 

@@ -147,8 +147,9 @@ ORACLES = {
     "smp_split_many_strata": """WITH ranked AS (
           SELECT *, md5('42|' || event_id) AS h, count(*) OVER (PARTITION BY user_id) AS n,
                  row_number() OVER (PARTITION BY user_id ORDER BY md5('42|' || event_id)) AS rn,
-                 CAST(('0x' || substr(md5('42/phase|=' || user_id), 1, 12)) AS BIGINT)::DOUBLE
-                   / 281474976710656::DOUBLE AS phase
+                 CASE WHEN (SELECT count(DISTINCT user_id) FROM events) <= 16 THEN 0.5::DOUBLE
+                   ELSE CAST(('0x' || substr(md5('42/phase|=' || user_id), 1, 12)) AS BIGINT)::DOUBLE
+                     / 281474976710656::DOUBLE END AS phase
           FROM events),
         placed AS (SELECT *, row_number() OVER (ORDER BY (rn - phase) / n, h) - 1 AS place FROM ranked)
         SELECT event_id, user_id, place // 300 AS split_id FROM placed""",

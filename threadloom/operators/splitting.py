@@ -135,13 +135,13 @@ def _rank_in_stratum(df: DataFrame, order: list[str], rows: int) -> DataFrame:
     return ranked.withColumn("_rn", rank).drop("_large", "_cells", "_part", "before")
 
 
-def _phase(strata: int, seed: int) -> Column:
+def _phase(few: bool, seed: int) -> Column:
     """Where in its share of the order a stratum's row lies.
 
     With few strata all rows take the middle. With many, small strata would
     then all fall on the same place, so each stratum gets a place of its own.
     """
-    if strata <= FEW_STRATA:
+    if few:
         return F.lit(0.5)
     return hash_fraction(row_hash("_stratum", f"{seed}/phase"))
 
@@ -163,21 +163,19 @@ def stratified_split(
     if stratify_col not in df.columns:
         raise ValueError(f"no column {stratify_col!r}")
     keys = [key] if isinstance(key, str) else list(key)
-    totals = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.approx_count_distinct(F.col(stratify_col)).alias("strata"),
-    ).first()
-    size = subset_size(totals["rows"], fraction, size)
+    rows = df.count()
+    size = subset_size(rows, fraction, size)
+    few = df.select(stratify_col).distinct().limit(FEW_STRATA + 1).count() <= FEW_STRATA
 
     # the stratum as text with a mark, so that null is a value of its own
     stratum = F.coalesce(F.concat(F.lit("="), F.col(stratify_col).cast("string")), F.lit(""))
     narrow = df.select(*keys, stratum.alias("_stratum"), row_hash(keys, seed).alias("_digest"))
-    ranked = _rank_in_stratum(narrow, ["_digest", *keys], totals["rows"])
-    place = (F.col("_rn") - _phase(totals["strata"], seed)) / F.col("_rows")
+    ranked = _rank_in_stratum(narrow, ["_digest", *keys], rows)
+    place = (F.col("_rn") - _phase(few, seed)) / F.col("_rows")
     placed = ranked.withColumn("_place", place)
     cell = F.least(F.floor(F.col("_place") * CELLS), F.lit(CELLS - 1)).cast("int")
     placed = placed.select(*keys, "_digest", "_place", cell.alias("_cell"))
-    split = _assign(placed, "_cell", ["_place", "_digest", *keys], size, totals["rows"])
+    split = _assign(placed, "_cell", ["_place", "_digest", *keys], size, rows)
     # a key that names several rows puts them all into one subset
     return df.join(split.select(*keys, "split_id").dropDuplicates(keys), keys)
 
