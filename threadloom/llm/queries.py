@@ -1,10 +1,12 @@
-"""All queries of this package, one per operator."""
+"""All queries of this package, one per operator, and the pipeline."""
 
 from __future__ import annotations
 
-from threadloom.llm import native_queries
+import corpus_pipeline
+from threadloom.llm import model_queries, native_queries, packing_queries
 
-MODULES = (native_queries,)
+MODULES = (model_queries, native_queries, packing_queries)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -1,4 +1,4 @@
-"""How the queries of this package read tables and name scratch folders."""
+"""How this package reads tables, stores intermediate ones and keeps what a worker loads."""
 
 from __future__ import annotations
 
@@ -14,3 +14,10 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share."""
     return scratch_path(spark, name)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back; a lost executor loses none of it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
