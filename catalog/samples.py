@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalog.base import POSTS, ntz, posts, read
@@ -64,6 +65,35 @@ def smp_split_many_strata(spark, sf):
     return splitting.stratified_split(events, "user_id", "event_id", size=300)
 
 
+def _repeated(spark, sf):
+    """Events under a key that repeats and may be null, each row twice."""
+    events = read(spark, sf, "events").select(
+        F.expr("CASE WHEN user_id % 5 > 0 THEN user_id END").alias("user"), "event_type"
+    )
+    return events.unionByName(events)
+
+
+def smp_split_repeated_keys(spark, sf):
+    """Rows, subsets and rows per stratum of a split whose key names no row."""
+    split = splitting.stratified_split(_repeated(spark, sf), "event_type", "user", size=300)
+    counted = split.groupBy("split_id", "event_type").agg(F.count(F.lit(1)).alias("rows"))
+    # every subset holds a stratum's share to within one row
+    size, total = F.sum("rows").over(W.partitionBy("split_id")), F.sum("rows").over(W.partitionBy())
+    share = size * F.sum("rows").over(W.partitionBy("event_type")) / total
+    return counted.select(
+        "split_id", "event_type", size.alias("size"), (F.abs(F.col("rows") - share) <= 2).alias("even")
+    )
+
+
+def smp_sample_repeated_keys(spark, sf):
+    """Sizes of samples whose key names no row."""
+    rows = _repeated(spark, sf)
+    by_strata = sampling.sample_by_strata(rows, "event_type", 500, "user", cut=False)
+    whole = sampling.reservoir_sample(rows, 777, "user").select(F.lit("all").alias("stratum"))
+    parts = by_strata.select(F.col("event_type").alias("stratum")).unionByName(whole)
+    return parts.groupBy("stratum").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def smp_plain_split(spark, sf):
     items = _lines(spark, sf).select(*LINE, "l_quantity")
     return splitting.plain_split(items, LINE, fraction=0.15, seed=7)
@@ -79,7 +109,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         smp_by_time, smp_by_strata, smp_by_time_and_strata, smp_reservoir, smp_dispatch,
-        smp_stratified_split, smp_split_many_strata, smp_plain_split, smp_prepare,
+        smp_stratified_split, smp_split_many_strata, smp_split_repeated_keys,
+        smp_sample_repeated_keys, smp_plain_split, smp_prepare,
     )
 }
 
@@ -141,18 +172,27 @@ ORACLES = {
     "smp_stratified_split": f"""WITH ranked AS (
           SELECT *, md5('42|' || event_id) AS h, count(*) OVER (PARTITION BY event_type) AS n,
                  row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_id)) AS rn FROM events),
-        placed AS (SELECT *, row_number() OVER (ORDER BY (rn - 0.5::DOUBLE) / n, h) - 1 AS place FROM ranked)
+        phased AS (SELECT *, CAST(('0x' || substr(md5('42/phase|=' || event_type), 1, 12)) AS BIGINT)::DOUBLE
+          / 281474976710656::DOUBLE AS phase FROM ranked),
+        placed AS (SELECT *, row_number() OVER (ORDER BY (rn - phase) / n, h) - 1 AS place FROM phased)
         SELECT {_EVENT}, place // (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM events) AS split_id
         FROM placed""",
     "smp_split_many_strata": """WITH ranked AS (
           SELECT *, md5('42|' || event_id) AS h, count(*) OVER (PARTITION BY user_id) AS n,
                  row_number() OVER (PARTITION BY user_id ORDER BY md5('42|' || event_id)) AS rn,
-                 CASE WHEN (SELECT count(DISTINCT user_id) FROM events) <= 16 THEN 0.5::DOUBLE
-                   ELSE CAST(('0x' || substr(md5('42/phase|=' || user_id), 1, 12)) AS BIGINT)::DOUBLE
-                     / 281474976710656::DOUBLE END AS phase
+                 CAST(('0x' || substr(md5('42/phase|=' || user_id), 1, 12)) AS BIGINT)::DOUBLE
+                   / 281474976710656::DOUBLE AS phase
           FROM events),
         placed AS (SELECT *, row_number() OVER (ORDER BY (rn - phase) / n, h) - 1 AS place FROM ranked)
         SELECT event_id, user_id, place // 300 AS split_id FROM placed""",
+    "smp_split_repeated_keys": """WITH n AS (SELECT 2 * count(*) AS n FROM events),
+        ids AS (SELECT unnest(range(0, (n + 299) // 300)) AS split_id, n FROM n),
+        t AS (SELECT event_type, 2 * count(*) AS m FROM events GROUP BY 1),
+        pairs AS (SELECT split_id, event_type, least(300, n - split_id * 300) AS size, m, n FROM ids, t)
+        SELECT split_id, event_type, CAST(size AS BIGINT) AS size, true AS even FROM pairs""",
+    "smp_sample_repeated_keys": """SELECT event_type AS stratum,
+          least(2 * count(*), 500 // (SELECT count(DISTINCT event_type) FROM events)) AS rows
+        FROM events GROUP BY 1 UNION ALL SELECT 'all', least(777, 2 * (SELECT count(*) FROM events))""",
     "smp_plain_split": f"""WITH size AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.15) AS BIGINT) AS s
           FROM lineitem),
         lines AS (SELECT *, {CENTS} AS cents FROM lineitem),

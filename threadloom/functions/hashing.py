@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def row_mark(df: DataFrame) -> Column:
+    """Sixteen hex digits of a hash of all columns, nulls included.
+
+    Behind a key's digest it makes the order of rows total: rows that still tie
+    are alike in every column, so it does not matter which of them is meant.
+    """
+    parts = []
+    for field in df.schema.fields:
+        c = F.col(f"`{field.name}`")
+        hashable = isinstance(field.dataType, T.AtomicType)
+        parts += [c.isNull(), c if hashable else c.cast("string")]
+    return F.lower(F.lpad(F.hex(F.xxhash64(*parts)), 16, "0"))
+
+
+def row_digest(df: DataFrame, key: str | list[str], seed: int | str) -> Column:
+    """The key's seeded digest, then the row's mark: a total order of rows."""
+    return F.concat(row_hash(key, seed), row_mark(df))
+
 
 def row_hash(key: str | list[str], seed: int | str) -> Column:
     """Hex digest of the seed and the row key."""
@@ -28,8 +49,3 @@ def hash_bin(digest: Column) -> Column:
     """
     zeros = F.length(digest) - F.length(F.ltrim(digest, F.lit("0")))
     return F.substring(digest, F.lit(1), zeros + 2)
-
-
-def hash_cell(digest: Column, digits: int = 4) -> Column:
-    """One of ``16 ** digits`` equal ranges of the digest."""
-    return F.substring(digest, 1, digits)

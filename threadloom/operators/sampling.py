@@ -3,15 +3,14 @@
 Every sample here is "the m smallest seeded hashes of each group", with m
 computed per group. Rows are never collected by group: one narrow pass counts
 hashes in bins per group, which tells the bin where the m-th hash lies; a
-second narrow pass ranks only the hashes inside that bin and finds the m-th
+second narrow pass counts only the hashes inside that bin and finds the m-th
 itself; the last pass keeps rows up to that hash, with no shuffle of the rows.
 A group that holds a third of all rows costs no task more than its bin, about
 m/16 hashes.
 
-A table of up to half a million rows is ranked by one window per group instead,
-which is one pass and gives the same rows.
-
-``key`` names the column, or columns, that identify a row.
+``key`` names the column, or columns, by which rows are hashed. It may repeat
+and may be null: behind its digest stands a hash of the whole row, and rows that
+are alike in every column are counted off, so a sample has exactly its size.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import dates
-from threadloom.functions.hashing import hash_bin, row_hash
+from threadloom.functions.hashing import hash_bin, row_digest
 from threadloom.operators.times import standardize_time
 from threadloom.sizing import BROADCAST_ROWS, measure
 
@@ -31,95 +30,88 @@ Key = str | list[str]
 #: adds ``quota`` to a frame of (group columns, bin, rows, group_rows)
 Quota = Callable[[DataFrame], DataFrame]
 
-#: tables up to this size are ranked in one pass, whole rows by group
-ONE_PASS_ROWS = 500_000
-#: tables up to this size give up their k smallest by one ordered limit
-HEAP_ROWS = 2_000_000
-#: a sample of at most this size is cut to k by one ordered limit
+#: samples of at most this many rows are found by one ordered limit
 LIMIT_ROWS = 100_000
 
 
-def _hashes(df: DataFrame, by: list[str], digest: Column) -> DataFrame:
-    """Group columns, digest and its bin: all that choosing needs."""
-    hashes = df.select(*by, digest.alias("digest"))
-    return hashes.withColumn("bin", hash_bin(F.col("digest")))
-
-
 def _cutoffs(
     df: DataFrame, by: list[str], digest: Column, quota: Quota, max_groups: int | None
 ) -> DataFrame:
-    """Largest hash to keep per group; groups with nothing to keep are absent.
+    """Per group the largest digest to keep, ``cutoff``, and how many rows of it, ``take``.
 
-    ``max_groups`` is a proven bound on the groups that keep rows. Where there
-    is none the groups are measured. Small results are marked for broadcast.
+    Groups with nothing to keep are absent. ``max_groups`` is a proven bound on
+    the groups that keep rows. Where there is none the groups are measured.
+    Small results are marked for broadcast.
     """
-    hashes = _hashes(df, by, digest)
+    hashes = df.select(*by, digest.alias("digest"))
+    hashes = hashes.withColumn("bin", hash_bin(F.col("digest")))
     bins = hashes.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("rows"))
     # a group has under two thousand bins, so windows over them stay small
     group = W.partitionBy(*by)
     counted = quota(bins.withColumn("group_rows", F.sum("rows").over(group)))
-    edge = (
-        counted.filter(F.col("quota") > 0)
-        .withColumn("upto", F.sum("rows").over(group.orderBy("bin")))
-        .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("rows") < F.col("quota")))
-        .select(*by, "bin", (F.col("quota") - F.col("upto") + F.col("rows")).alias("need"))
-    )
+    edge = _edge(counted.filter(F.col("quota") > 0), by, "bin", "quota")
+    edge = edge.select(*by, "bin", F.col("take").alias("need"))
     if max_groups is None:
         edge, fits = measure(edge)
     else:
         fits = max_groups <= BROADCAST_ROWS
-    cut = (
-        hashes.join(F.broadcast(edge) if fits else edge, [*by, "bin"])
-        .withColumn("rank", F.row_number().over(group.orderBy("digest")))
-        .filter(F.col("rank") == F.col("need"))
-        .select(*by, F.col("digest").alias("cutoff"))
-    )
+    inside = hashes.join(F.broadcast(edge) if fits else edge, [*by, "bin"])
+    # equal digests are counted before they meet
+    inside = inside.groupBy(*by, "need", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    cut = _edge(inside, by, "digest", "need").select(*by, F.col("digest").alias("cutoff"), "take")
     return F.broadcast(cut) if fits else cut
 
 
-def _ranked(df: DataFrame, by: list[str], digest: Column, quota: Quota) -> DataFrame:
-    """The same rows for a small table: rank every row in its group."""
-    group = W.partitionBy(*by)
-    ranked = df.withColumns({"_digest": digest, "group_rows": F.count(F.lit(1)).over(group)})
-    ranked = ranked.withColumn("_rank", F.row_number().over(group.orderBy("_digest")))
-    kept = quota(ranked).filter(F.col("_rank") <= F.col("quota"))
-    return kept.select(*df.columns)
+def _edge(counts: DataFrame, by: list[str], order: str, need: str) -> DataFrame:
+    """The place in each group's order where ``need`` rows are reached, and ``take``, its share."""
+    upto = F.sum("rows").over(W.partitionBy(*by).orderBy(order))
+    before = F.col("upto") - F.col("rows")
+    reached = counts.withColumn("upto", upto).filter(
+        (F.col("upto") >= F.col(need)) & (before < F.col(need))
+    )
+    return reached.withColumn("take", F.col(need) - before)
 
 
 def _keep(
-    df: DataFrame,
-    by: list[str],
-    digest: Column,
-    quota: Quota,
-    max_groups: int | None,
-    rows: int,
+    df: DataFrame, by: list[str], digest: Column, quota: Quota, max_groups: int | None
 ) -> DataFrame:
     """Rows up to their group's cutoff; rows with a null group are never kept."""
-    if rows <= ONE_PASS_ROWS:
-        return _ranked(df.dropna(subset=by), by, digest, quota)
     cut = _cutoffs(df, by, digest, quota, max_groups)
-    return df.join(cut, by).filter(digest <= F.col("cutoff")).select(*df.columns)
+    kept = df.withColumn("_digest", digest).join(cut, by).filter(F.col("_digest") <= F.col("cutoff"))
+    return _counted_off(kept, df.columns, by)
+
+
+def _counted_off(kept: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """The kept rows, of which those at the cutoff are as many as it takes.
+
+    Rows of one digest are alike, so they are counted and written out again;
+    only the sample is shuffled, and a much repeated row is one per task.
+    """
+    alike = kept.groupBy(*by, "_digest").agg(
+        F.first(F.struct(*columns)).alias("_row"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.first(F.when(F.col("_digest") == F.col("cutoff"), F.col("take"))).alias("_take"),
+    )
+    times = F.sequence(F.lit(1), F.coalesce("_take", "_rows"))
+    return alike.select("_row", F.explode(times)).select("_row.*")
 
 
-def reservoir_sample(df: DataFrame, k: int, key: Key, seed: int = 42) -> DataFrame:
+def reservoir_sample(df: DataFrame, k: int, key: Key, seed: int | str = 42) -> DataFrame:
     """``k`` rows, each set of k equally likely; all rows where there are fewer."""
     if k <= 0:
         return df.limit(0)
-    digest = row_hash(key, seed)
-    if k <= LIMIT_ROWS and df.count() <= HEAP_ROWS:
-        return df.orderBy(digest).limit(k)
+    if k <= LIMIT_ROWS:
+        # the same total order, a heap of k rows per task
+        ordered = df.withColumn("_digest", row_digest(df, key, seed)).orderBy("_digest")
+        return ordered.limit(k).drop("_digest")
     everything = df.withColumn("_all", F.lit(0))
     quota: Quota = lambda g: g.withColumn("quota", F.least(F.lit(k), F.col("group_rows")))
-    cutoff = _cutoffs(everything, ["_all"], digest, quota, 1).select("cutoff").scalar()
-    return df.filter(digest <= cutoff)
+    return _keep(everything, ["_all"], row_digest(df, key, seed), quota, 1).drop("_all")
 
 
 def _cut_to(df: DataFrame, k: int, key: Key, seed: int) -> DataFrame:
     """At most ``k`` rows, by an order of its own; no change to a smaller sample."""
-    if k > LIMIT_ROWS:
-        return reservoir_sample(df, k, key, f"{seed}/cut")
-    keys = [key] if isinstance(key, str) else key
-    return df.orderBy(row_hash(key, f"{seed}/cut"), *keys).limit(k)
+    return reservoir_sample(df, k, key, f"{seed}/cut")
 
 
 def sample_by_time(
@@ -140,7 +132,7 @@ def sample_by_time(
         return groups.withColumn("quota", share.cast("long"))
 
     # a bucket takes a row only if it has N/2k rows or more, so fewer than 2k do
-    kept = _keep(timed, ["_bucket"], row_hash(key, seed), quota, 2 * k, rows)
+    kept = _keep(timed, ["_bucket"], row_digest(df, key, seed), quota, 2 * k)
     return _cut_to(kept.drop("_bucket"), k, key, seed)
 
 
@@ -161,7 +153,7 @@ def sample_by_strata(
     quota: Quota = lambda g: g.withColumn("quota", F.least(F.col("group_rows"), F.lit(share)))
 
     # with more than k strata nothing is taken
-    kept = _keep(df, [strata_col], row_hash(key, seed), quota, k, df.count())
+    kept = _keep(df, [strata_col], row_digest(df, key, seed), quota, k)
     return _cut_to(kept, k, key, seed) if cut else kept
 
 
@@ -192,7 +184,7 @@ def sample_by_time_and_strata(
         shared = groups.join(shares.filter(F.col("share") > 0), "_bucket")
         return shared.withColumn("quota", F.least(F.col("group_rows"), F.col("share")))
 
-    kept = _keep(timed, ["_bucket", strata_col], row_hash(key, seed), quota, None, df.count())
+    kept = _keep(timed, ["_bucket", strata_col], row_digest(df, key, seed), quota, None)
     return _cut_to(kept.drop("_bucket"), k, key, seed)
 
 

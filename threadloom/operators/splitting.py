@@ -1,33 +1,28 @@
 """Disjoint subsets of equal size.
 
-A split needs each row's place in one global order. No task sorts the whole
-table: the order is cut into cells that every row can compute for itself,
-counts per cell give the place of a cell's first row, and only within a cell
-are rows ranked. Where subsets are large, most cells fall inside one subset
-and their rows are not ranked at all.
+A split needs each row's place in one global order. Rows are dealt out by
+ranges of that order and stored; a row's place is then its place within its
+part and the sizes of the parts before, of which there are as many as shuffle
+partitions. The order is total: a seeded digest of the key, a hash of the whole
+row, and a salt that parts rows alike in every column, so a key or a row that
+holds most of the table is still dealt out to many tasks.
+
+``key`` orders rows and need not name them: it may repeat and may be null.
+Every row is placed once, and subsets have exactly their size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.functions.hashing import hash_cell, hash_fraction, row_hash
-from threadloom.sizing import broadcast_bounded
+from threadloom.functions.hashing import hash_fraction, row_digest, row_hash
+from threadloom.operators.ordering import numbered
+from threadloom.session import materialise
+from threadloom.sizing import broadcast_measured
 
 Key = str | list[str]
 
-CELLS = 1 << 16
-#: tables up to this size have all rows ranked in their cell, and strata in one piece
-ONE_PASS_ROWS = 2_000_000
-#: rows of a stratum that one task ranks; a larger stratum is ranked in cells
-STRATUM_ROWS = 1_000_000
-#: above this many subsets, ranking all rows beats looking up their edges
-MANY_SUBSETS = 10_000
-#: up to this many strata, rows take the middle of their share of the order
-FEW_STRATA = 16
-
 
 def subset_size(rows: int, fraction: float | None, size: int | None) -> int:
     """Rows per subset from exactly one of the two ways to say it."""
@@ -41,43 +36,6 @@ def subset_size(rows: int, fraction: float | None, size: int | None) -> int:
     return size
 
 
-def _first_ranks(cells: DataFrame, by: list[str], cell: str) -> DataFrame:
-    """Rows in earlier cells (of the same group)."""
-    upto = F.sum("rows").over(W.partitionBy(*by).orderBy(cell))
-    return cells.withColumn("before", upto - F.col("rows"))
-
-
-def _assign(df: DataFrame, cell: str, order: list[str], size: int, rows: int) -> DataFrame:
-    """Add ``split_id``: the place in (cell, order) divided by the subset size."""
-    counts = df.groupBy(cell).agg(F.count(F.lit(1)).alias("rows"))
-    # the number of cells is fixed, so this window over all of them is small
-    counts = _first_ranks(counts.withColumn("_one", F.lit(0)), ["_one"], cell)
-    firsts = counts.select(cell, "before", "rows")
-    local = F.row_number().over(W.partitionBy(cell).orderBy(*order))
-    if rows <= ONE_PASS_ROWS or rows // size > MANY_SUBSETS:
-        ranked = df.withColumn("_rn", local).join(broadcast_bounded(firsts, CELLS), cell)
-        place = F.col("before") + F.col("_rn") - 1
-        return ranked.withColumn("split_id", F.floor(place / size)).drop("_rn", "before", "rows")
-
-    base = F.floor(F.col("before") / size)
-    mixed = firsts.filter(base != F.floor((F.col("before") + F.col("rows") - 1) / size))
-    inside = df.select(cell, *order).join(broadcast_bounded(mixed, CELLS), cell)
-    opening = (F.col("before") + F.col("_rn") - 1) % size == 0
-    edges = (
-        inside.withColumn("_rn", local)
-        .filter(opening & (F.col("_rn") > 1))
-        .groupBy(cell)
-        .agg(F.collect_list(F.struct(*order)).alias("_edges"))
-    )
-    lookup = firsts.select(cell, base.alias("_base")).join(edges, cell, "left")
-    passed = F.filter(F.col("_edges"), lambda e: e <= F.struct(*order))
-    split_id = F.col("_base") + F.coalesce(F.size(passed), F.lit(0))
-    placed = df.join(broadcast_bounded(lookup, CELLS), cell)
-    return placed.withColumn(
-        "split_id", F.when(F.col("_edges").isNull(), F.col("_base")).otherwise(split_id)
-    ).drop("_base", "_edges")
-
-
 def plain_split(
     df: DataFrame,
     key: Key,
@@ -88,61 +46,16 @@ def plain_split(
     """Shuffled subsets of exactly ``size`` rows, numbered from 0; the rest is dropped."""
     rows = df.count()
     size = subset_size(rows, fraction, size)
-    keys = [key] if isinstance(key, str) else list(key)
-    hashed = df.withColumn("_digest", row_hash(keys, seed))
-    hashed = hashed.withColumn("_cell", hash_cell(F.col("_digest")))
-    split = _assign(hashed, "_cell", ["_digest", *keys], size, rows)
-    split = split.select(*df.columns, "split_id")
-    return split.filter(F.col("split_id") < rows // size)
-
-
-def _rank_in_stratum(df: DataFrame, order: list[str], rows: int) -> DataFrame:
-    """Add ``_rn``, the place in the stratum by hash, and ``_rows``, its row count."""
-    if rows <= ONE_PASS_ROWS:
-        stratum = W.partitionBy("_stratum")
-        return df.withColumns(
-            {
-                "_rn": F.row_number().over(stratum.orderBy(*order)),
-                "_rows": F.count(F.lit(1)).over(stratum),
-            }
-        )
-    counts = df.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_large"))
-    large = counts.filter(F.col("_large") > STRATUM_ROWS).withColumn(
-        "_cells", F.ceil(F.col("_large") / STRATUM_ROWS)
-    )
-    # a large stratum has over STRATUM_ROWS rows, which bounds their number
-    celled = df.join(F.broadcast(large), "_stratum", "left").withColumn(
-        "_part",
-        F.when(
-            F.col("_cells").isNotNull(),
-            F.floor(hash_fraction(F.col("_digest")) * F.col("_cells")),
-        ).otherwise(F.lit(0)),
-    )
-    parts = (
-        celled.filter(F.col("_large").isNotNull())
-        .groupBy("_stratum", "_part")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-    before = _first_ranks(parts, ["_stratum"], "_part").select("_stratum", "_part", "before")
-    group = W.partitionBy("_stratum", "_part")
-    ranked = (
-        celled.join(F.broadcast(before), ["_stratum", "_part"], "left")
-        .repartition("_stratum", "_part")
-        .withColumn("_rn", F.row_number().over(group.orderBy(*order)))
-        .withColumn("_rows", F.coalesce(F.col("_large"), F.count(F.lit(1)).over(group)))
-    )
-    rank = F.col("_rn") + F.coalesce(F.col("before"), F.lit(0))
-    return ranked.withColumn("_rn", rank).drop("_large", "_cells", "_part", "before")
+    placed = numbered(df.withColumn("_digest", row_digest(df, key, seed)), ["_digest"])
+    split = placed.withColumn("split_id", F.floor(F.col("_place") / size))
+    return split.filter(F.col("split_id") < rows // size).select(*df.columns, "split_id")
 
 
-def _phase(few: bool, seed: int) -> Column:
-    """Where in its share of the order a stratum's row lies.
+def _phase(seed: int) -> Column:
+    """Where in its share of the order a stratum's row lies: a place of the stratum's own.
 
-    With few strata all rows take the middle. With many, small strata would
-    then all fall on the same place, so each stratum gets a place of its own.
+    At one place for all, small strata would crowd one subset.
     """
-    if few:
-        return F.lit(0.5)
     return hash_fraction(row_hash("_stratum", f"{seed}/phase"))
 
 
@@ -157,27 +70,33 @@ def stratified_split(
     """Disjoint subsets in which every stratum has its share; the rest is the last.
 
     Null is a stratum. Rows are spread evenly over the order by their rank in
-    their stratum. Ranking works on keys alone; full rows move once, in the
-    join that adds ``split_id``.
+    their stratum. Ranking works on digests alone; full rows are stored once
+    under a number and move once, in the join that adds ``split_id``.
     """
     if stratify_col not in df.columns:
         raise ValueError(f"no column {stratify_col!r}")
-    keys = [key] if isinstance(key, str) else list(key)
-    rows = df.count()
-    size = subset_size(rows, fraction, size)
-    few = df.select(stratify_col).distinct().limit(FEW_STRATA + 1).count() <= FEW_STRATA
+    size = subset_size(df.count(), fraction, size)
 
     # the stratum as text with a mark, so that null is a value of its own
     stratum = F.coalesce(F.concat(F.lit("="), F.col(stratify_col).cast("string")), F.lit(""))
-    narrow = df.select(*keys, stratum.alias("_stratum"), row_hash(keys, seed).alias("_digest"))
-    ranked = _rank_in_stratum(narrow, ["_digest", *keys], rows)
-    place = (F.col("_rn") - _phase(few, seed)) / F.col("_rows")
-    placed = ranked.withColumn("_place", place)
-    cell = F.least(F.floor(F.col("_place") * CELLS), F.lit(CELLS - 1)).cast("int")
-    placed = placed.select(*keys, "_digest", "_place", cell.alias("_cell"))
-    split = _assign(placed, "_cell", ["_place", "_digest", *keys], size, rows)
-    # a key that names several rows puts them all into one subset
-    return df.join(split.select(*keys, "split_id").dropDuplicates(keys), keys)
+    own = materialise(
+        df.select(
+            F.struct(*df.columns).alias("_own"),
+            stratum.alias("_stratum"),
+            row_digest(df, key, seed).alias("_digest"),
+            F.monotonically_increasing_id().alias("_id"),
+        )
+    )
+    ranked = numbered(own.select("_stratum", "_digest", "_id"), ["_stratum", "_digest"])
+    strata = ranked.groupBy("_stratum").agg(
+        F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows")
+    )
+    ranked = ranked.join(broadcast_measured(strata), "_stratum")
+    rank = F.col("_place") - F.col("_first") + 1
+    spread = ranked.select("_id", "_digest", ((rank - _phase(seed)) / F.col("_rows")).alias("_share"))
+    placed = numbered(spread, ["_share", "_digest"])
+    split = placed.select("_id", F.floor(F.col("_place") / size).alias("split_id"))
+    return own.select("_own", "_id").join(split, "_id").select("_own.*", "split_id")
 
 
 def split_dataframe(

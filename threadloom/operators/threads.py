@@ -1,7 +1,8 @@
 """What threads do over time: activity, lifetime, replies, references.
 
-A thread may hold a large part of all posts, so nothing here sorts a whole
-thread in one task; orders within a thread are cut into hours.
+A thread, or an hour of it, may hold a large part of all posts, so nothing here
+sorts one in a single task: counts are by thread and hour, and posts are compared
+in blocks of one global order.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import POST_REFERENCE
+from threadloom.operators.ordering import numbered
+
+#: posts in one block of the global order
+GAP_BLOCK = 100_000
 
 # How far back the windows of a report reach, in hours.
 LOOKBACKS = {"24h": 24, "72h": 72, "7d": 7 * 24, "30d": 30 * 24}
@@ -53,35 +58,29 @@ def lifetime(
 
 def reply_gaps(
     df: DataFrame, key: str, thread_col: str = "thread_id", time_col: str = "posted_date_time",
-    unit: str = "hour",
+    block: int = GAP_BLOCK,
 ) -> DataFrame:
     """Seconds since the thread's previous post; null for its first.
 
-    Posts are ordered within (thread, hour). The last post time of the hour
-    before, taken from a small table of hours, enters each hour as a row of
-    its own, so no task sees a whole thread. A faster board takes a smaller
-    ``unit``.
+    Posts get a place in the order of thread, time and key, and are compared
+    with the one before in blocks of that order. The last post of a block enters
+    the next as a row of its own. So neither a thread nor an hour of it, however
+    busy, is one task's.
     """
-    timed = df.filter(F.col(time_col).isNotNull()).withColumn(
-        "_hour", F.date_trunc(unit, F.col(time_col).cast("timestamp"))
-    )
-    hours = timed.groupBy(thread_col, "_hour").agg(F.max(time_col).alias("_last"))
-    following = F.lead("_hour").over(W.partitionBy(thread_col).orderBy("_hour"))
-    carried = (
-        hours.withColumn("_hour", following)
-        .filter(F.col("_hour").isNotNull())
-        .select(thread_col, "_hour", F.col("_last").alias(time_col), F.lit(True).alias("_carried"))
-    )
-    rows = timed.withColumn("_carried", F.lit(False)).unionByName(
-        carried, allowMissingColumns=True
-    )
-    # a carried row is never later than the posts of its hour, and goes first
-    order = W.partitionBy(thread_col, "_hour").orderBy(
-        F.col(time_col), F.desc("_carried"), F.col(key)
+    timed = df.filter(F.col(time_col).isNotNull())
+    placed = numbered(timed, [thread_col, time_col, key])
+    at = F.floor(F.col("_place") / block)
+    ends = placed.filter((F.col("_place") + 1) % block == 0)
+    carried = ends.select(
+        thread_col, time_col, "_place", (at + 1).alias("_block"), F.lit(True).alias("_carried")
     )
+    rows = placed.withColumns({"_block": at, "_carried": F.lit(False)})
+    rows = rows.unionByName(carried, allowMissingColumns=True)
+    order = W.partitionBy("_block").orderBy("_place")
+    same = F.lag(thread_col).over(order).eqNullSafe(F.col(thread_col))
     gap = (_micros(F.col(time_col)) - _micros(F.lag(time_col).over(order))) / 1e6
     return (
-        rows.withColumn("gap_seconds", gap)
+        rows.withColumn("gap_seconds", F.when(same, gap))
         .filter(~F.col("_carried"))
         .select(*df.columns, "gap_seconds")
     )
