@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import read, sql_embed, stub_embed
+from catalog.base import read, shown, sql_embed, sql_shown, stub_embed
 from threadloom.operators import similarity
 from threadloom.operators.models import embed_texts
 
@@ -33,9 +33,9 @@ def sim_top_threads(spark, sf):
 
 
 def sim_many_queries(spark, sf):
-    """Every vector of the table as a query."""
+    """Every fiftieth vector of the table as a query."""
     v = read(spark, sf, "embeddings")
-    queries = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     found = similarity.top_threads(v, queries, 5, "vec_id", "label", ["label"])
     return found.select(
         "query_id", "vec_id", "label", F.round("similarity", 6).alias("similarity"), "rank"
@@ -52,8 +52,7 @@ def emb_texts(spark, sf):
     e = embed_texts(d, "text", [("broken", broken), ("stub", stub_embed)], 64, attempts=1)
     return e.select(
         "doc_id",
-        F.size("embedding").alias("width"),
-        F.round(F.get("embedding", F.lit(3)).cast("double"), 5).alias("fourth"),
+        shown("embedding").alias("vector"),
         F.col("embedding_model").alias("model"),
         F.try_element_at("embedding_usage", F.lit("prompt_tokens")).alias("tokens"),
     )
@@ -69,11 +68,10 @@ _SCORED = f"""scored AS (SELECT e.vec_id, e.label, {_COS} AS s
 
 
 def threads_sql(k: int, by: str, source: str) -> str:
-    return f"""pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}
-            ORDER BY round(s, 9) DESC, vec_id) AS r FROM {source}) WHERE r <= {4 * k}),
-        firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}, label ORDER BY r) AS f
-            FROM pool) WHERE f = 1),
-        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY r) AS INT) AS rank FROM firsts)"""
+    return f"""firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}, label
+            ORDER BY round(s, 9) DESC, vec_id) AS f FROM {source}) WHERE f = 1),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY {by}
+            ORDER BY round(s, 9) DESC, vec_id) AS INT) AS rank FROM firsts)"""
 
 
 ORACLES = {
@@ -84,9 +82,8 @@ ORACLES = {
     "sim_top_threads": f"""WITH {_SCORED}, one AS (SELECT *, 0 AS q FROM scored), {threads_sql(8, 'q', 'one')}
         SELECT vec_id, label, round(round(s, 9), 6) AS similarity, rank FROM ranked WHERE rank <= 8""",
     "sim_many_queries": f"""WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_COS} AS s
-          FROM embeddings e, embeddings q), {threads_sql(5, 'query_id', 'pairs')}
+          FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0), {threads_sql(5, 'query_id', 'pairs')}
         SELECT query_id, vec_id, label, round(round(s, 9), 6) AS similarity, rank FROM ranked WHERE rank <= 5""",
-    "emb_texts": f"""SELECT doc_id, 8 AS width,
-        round(CAST({sql_embed('text')}[4] AS DOUBLE), 5) AS fourth, 'stub' AS model,
+    "emb_texts": f"""SELECT doc_id, {sql_shown(sql_embed('text'))} AS vector, 'stub' AS model,
         CAST(greatest(1, length(text) // 4) AS BIGINT) AS tokens FROM documents""",
 }

@@ -35,27 +35,45 @@ def test_zero_vector_is_last(spark):
     assert got[-1].id == 5 and got[-1].similarity is None
 
 
-def test_threads_need_the_larger_pool(spark):
+def best_threads(vectors, query, k, thread):
+    seen, want = set(), []
+    for i in ranked(vectors, query):
+        if thread(i) not in seen and len(want) < k:
+            seen.add(thread(i))
+            want.append(i)
+    return want
+
+
+def test_threads(spark):
     vectors, df = table(spark)
     query = vectors[1]
-    order = ranked(vectors, query)
     for k in (1, 5, 20, 60):
-        seen, want = set(), []
-        for i in order[: 4 * k]:
-            if i % 40 not in seen and len(want) < k:
-                seen.add(i % 40)
-                want.append(i)
+        want = best_threads(vectors, query, k, lambda i: i % 40)
+        assert len(want) == min(k, 40)
         got = similarity.top_threads(df, query, k, "id", "thread", ["thread"]).orderBy("rank")
         assert [r.id for r in got.collect()] == want
 
 
+def test_hot_thread(spark):
+    """One thread holds all the nearest rows: k threads are found all the same."""
+    vectors, df = table(spark)
+    query = vectors[1]
+    order = ranked(vectors, query)
+    hot = set(order[:300])
+    df = df.withColumn("thread", F.when(F.col("id").isin(*hot), "hot").otherwise(F.col("thread")))
+    want = best_threads(vectors, query, 20, lambda i: "hot" if i in hot else i % 40)
+    for parts in (1, 9):
+        got = similarity.top_threads(df.repartition(parts), query, 20, "id", "thread", ["thread"])
+        assert [r.id for r in got.orderBy("rank").collect()] == want
+
+
 def test_query_blocks(spark, monkeypatch):
     vectors, df = table(spark)
     queries = df.filter("id < 9 and id <> 5").select(F.col("id").alias("query_id"), "embedding")
     whole = similarity.top_threads(df, queries, 3, "id", "thread", ["thread"]).collect()
     monkeypatch.setattr(similarity, "BLOCK_NUMBERS", 12)
     monkeypatch.setattr(similarity, "CELLS", 20)
-    monkeypatch.setattr(similarity, "PLAN_BLOCKS", 3)
+    monkeypatch.setattr(similarity, "MERGE_TASKS", 1)
     parts = similarity.top_threads(df, queries, 3, "id", "thread", ["thread"]).collect()
     key = lambda r: (r.query_id, r["rank"])
     assert sorted(whole, key=key) == sorted(parts, key=key)

@@ -6,21 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product, summed in double."""
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; null where a vector has no length."""
-    return F.try_divide(dot(a, b), norm(a) * norm(b))
-
-
 def from_text(c: Column) -> Column:
     """A vector written as ``[0.1, 0.2]`` text."""
     return F.from_json(c, "array<double>")

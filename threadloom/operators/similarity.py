@@ -2,9 +2,10 @@
 
 One pass over the vector table per block of queries. Each task multiplies its
 Arrow batches with the block's query matrix and keeps its own best ``n`` rows
-per query, so what leaves a task is small whatever the table holds; the parts
-are then merged in two ranked steps. No pair of rows is ever joined, and texts
-are fetched only for the rows that were chosen.
+per query, or the best row of each of its ``n`` best threads, so what leaves a
+task is small whatever the table holds; the parts are then merged in two ranked
+steps. No pair of rows is ever joined, and texts are fetched only for the rows
+that were chosen.
 
 Similarities are rounded to nine places before they are compared, so that
 copies of a vector tie whichever batch they sit in; ties go to the smaller key.
@@ -13,7 +14,6 @@ copies of a vector tie whichever batch they sit in; ties go to the smaller key.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -35,10 +35,8 @@ BLOCK_NUMBERS = 8_000_000
 BLOCK_BEST = 2_000_000
 #: similarities a task holds at a time
 CELLS = 4_000_000
-#: first merge step: groups of tasks
-MERGE_GROUPS = 64
-#: query blocks that one plan holds
-PLAN_BLOCKS = 4
+#: first merge step: tasks whose results meet; their groups grow with the table
+MERGE_TASKS = 256
 
 
 def score(df: DataFrame, query: Sequence[float], embedding_col: str = "embedding") -> DataFrame:
@@ -64,13 +62,22 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
         return matrix / length
 
 
-def _first_n(found: pa.Table, n: int) -> pa.Table:
-    """Best ``n`` rows per query: by similarity, zero vectors last, then by key."""
+def _first_n(found: pa.Table, n: int, by_thread: bool) -> pa.Table:
+    """Best ``n`` rows per query: by similarity, zero vectors last, then by key.
+
+    ``by_thread`` counts only the best row of each thread.
+    """
     order = pc.sort_indices(
         found,
         sort_keys=[("query", "ascending"), ("rank_by", "descending"), ("key", "ascending")],
     )
     found = found.take(order)
+    if by_thread:
+        threads = found["thread"].combine_chunks().dictionary_encode("encode")
+        codes = threads.indices.to_numpy(zero_copy_only=False).astype("int64")
+        pairs = found["query"].to_numpy().astype("int64") * (len(threads.dictionary) + 1) + codes
+        _, firsts = np.unique(pairs, return_index=True)
+        found = found.take(pa.array(np.sort(firsts)))
     query = found["query"].to_numpy()
     starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else []
     place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
@@ -87,8 +94,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.nan_to_num(whole)
 
 
-def _part_best(ids: pa.Array, queries: np.ndarray, n: int):
-    """Task function: best rows of one partition for every query."""
+def _part_best(ids: pa.Array, queries: np.ndarray, n: int, by_thread: bool):
+    """Task function: best rows, or threads, of one partition for every query."""
     unit = _unit(queries)
     width = queries.shape[1]
     step = max(1, CELLS // max(1, len(queries)))
@@ -114,7 +121,8 @@ def _part_best(ids: pa.Array, queries: np.ndarray, n: int):
                         "rank_by": pa.array(rank_by[query, row]),
                     }
                 )
-                best = _first_n(found if best is None else pa.concat_tables([best, found]), n)
+                found = found if best is None else pa.concat_tables([best, found])
+                best = _first_n(found, n, by_thread)
                 held = best["query"].to_numpy()
                 counts = np.bincount(held, minlength=len(unit))
                 ends = np.cumsum(counts) - 1
@@ -134,10 +142,15 @@ def _top_rows(
     queries: np.ndarray,
     n: int,
     key: str,
-    thread_col: str,
+    thread_col: str | None,
     vec_col: str,
 ) -> DataFrame:
-    """(query_id, key, thread, similarity, rank): best ``n`` rows per query of a block."""
+    """(query_id, key, thread, similarity, rank): best ``n`` rows per query of a block.
+
+    With a thread column, the best row of each of the ``n`` best threads.
+    """
+    by_thread = thread_col is not None
+    thread_col = thread_col or key
     schema = T.StructType(
         [
             T.StructField("query_id", id_type),
@@ -147,12 +160,22 @@ def _top_rows(
         ]
     )
     narrow = df.select(key, thread_col, vec_col)
-    parts = narrow.mapInArrow(_part_best(ids, queries, n), schema)
+    parts = narrow.mapInArrow(_part_best(ids, queries, n, by_thread), schema)
+    parts = parts.withColumn("_task", F.spark_partition_id())
     best = [F.desc("rank_by"), F.asc("key")]
-    group = F.spark_partition_id() % MERGE_GROUPS
+    if by_thread:
+        # a thread's best row over all tasks: counted off before rows meet
+        least = F.min(F.struct((-F.col("rank_by")).alias("r"), "key", "_task"))
+        parts = parts.groupBy("query_id", "thread").agg(least.alias("b")).select(
+            "query_id",
+            F.col("b.key").alias("key"),
+            "thread",
+            (-F.col("b.r")).alias("rank_by"),
+            F.col("b._task").alias("_task"),
+        )
     grouped = W.partitionBy("query_id", "_group").orderBy(*best)
     merged = (
-        parts.withColumn("_group", group)
+        parts.withColumn("_group", F.floor(F.col("_task") / MERGE_TASKS))
         .withColumn("_rn", F.row_number().over(grouped))
         .filter(F.col("_rn") <= n)
         .withColumn("_rn", F.row_number().over(W.partitionBy("query_id").orderBy(*best)))
@@ -203,24 +226,11 @@ def top_similar(
 ) -> DataFrame:
     """The ``n`` rows most similar to one query, with ``similarity`` and ``rank``."""
     ids, matrix = _one(query)
-    top = _top_rows(df, ids, T.IntegerType(), matrix, n, key, key, embedding_col)
+    top = _top_rows(df, ids, T.IntegerType(), matrix, n, key, None, embedding_col)
     top = top.drop("query_id")
     return _with_rows(df, top, key, list(columns), n)
 
 
-def _best_threads(top: DataFrame, k: int) -> DataFrame:
-    """First row of each thread, and of these the first k per query."""
-    first = W.partitionBy("query_id", "thread").orderBy("rank")
-    threads = W.partitionBy("query_id").orderBy("rank")
-    return (
-        top.withColumn("_first", F.row_number().over(first))
-        .filter(F.col("_first") == 1)
-        .withColumn("rank", F.row_number().over(threads))
-        .filter(F.col("rank") <= k)
-        .drop("_first")
-    )
-
-
 def top_threads(
     df: DataFrame,
     queries: DataFrame | Sequence[float],
@@ -234,28 +244,30 @@ def top_threads(
 ) -> DataFrame:
     """The best row of each of the ``k`` most similar threads, per query.
 
-    Threads are looked for among the 4k most similar rows, so a query may get
-    fewer than k. ``queries`` is one vector, or a table of ids and vectors.
+    ``queries`` is one vector, or a stored table of ids and vectors. Its blocks
+    make one pass each, and what a pass finds is stored, so a plan holds one
+    block however many there are.
     """
-    given = isinstance(queries, DataFrame)
-    id_type = queries.schema[query_id].dataType if given else T.IntegerType()
-    blocks = _blocks(queries, query_id, query_col, 4 * k) if given else [_one(queries)]
-    parts, asked, stored = [], 0, None
-    for at, (ids, matrix) in enumerate(blocks):
-        top = _top_rows(df, ids, id_type, matrix, 4 * k, key, thread_col, embedding_col)
-        parts.append(_best_threads(top, k))
+    if not isinstance(queries, DataFrame):
+        ids, matrix = _one(queries)
+        chosen = _top_rows(df, ids, T.IntegerType(), matrix, k, key, thread_col, embedding_col)
+        return _found(df, chosen, key, thread_col, columns, k).drop("query_id")
+    id_type = queries.schema[query_id].dataType
+    stored, asked = scratch_path(df.sparkSession, "threads"), 0
+    for ids, matrix in _blocks(queries, query_id, query_col, k):
+        top = _top_rows(df, ids, id_type, matrix, k, key, thread_col, embedding_col)
+        top.write.mode("append").parquet(stored)
         asked += len(ids)
-        if len(parts) == PLAN_BLOCKS:
-            # many blocks: store their results rather than hold all their queries
-            stored = stored or scratch_path(df.sparkSession, "threads")
-            reduce(DataFrame.unionByName, parts).write.parquet(f"{stored}/block={at}")
-            parts = []
-    if stored:
-        parts.append(df.sparkSession.read.parquet(stored).drop("block"))
-    if not parts:
+        schema = top.schema
+    if not asked:
         raise ValueError("no query has a vector")
-    chosen = reduce(DataFrame.unionByName, parts)
-    found = _with_rows(df, chosen, key, [thread_col, *columns], k * asked)
+    chosen = df.sparkSession.read.schema(schema).parquet(stored)
+    return _found(df, chosen, key, thread_col, columns, k * asked)
+
+
+def _found(
+    df: DataFrame, chosen: DataFrame, key: str, thread_col: str, columns: Sequence[str], rows: int
+) -> DataFrame:
+    found = _with_rows(df, chosen, key, [thread_col, *columns], rows)
     # rows that are copies of each other in everything may share a key
-    found = found.dropDuplicates(["query_id", key])
-    return found if given else found.drop("query_id")
+    return found.dropDuplicates(["query_id", key])
