@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.strings import SPACES
-from threadloom.session import pin_utc
+from threadloom.session import CHECKPOINT_CONF, pin_utc, use_folder
 from threadloom.sizing import spread
 
 #: white space as the library knows it, for DuckDB's regular expressions
@@ -38,8 +40,17 @@ SQL_TIME_TEXT = (
 )
 
 
+def own_folder(spark: SparkSession) -> SparkSession:
+    """A local session without a shared folder gets one; a cluster has to name it."""
+    sc = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
+    if not named and sc.master.startswith("local"):
+        use_folder(spark, tempfile.mkdtemp(prefix="threadloom-"))
+    return spark
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return pin_utc(spark).read.parquet(f"{sf}/{name}.parquet")
+    return pin_utc(own_folder(spark)).read.parquet(f"{sf}/{name}.parquet")
 
 
 def ntz(c: str | Column) -> Column:
@@ -109,7 +120,7 @@ ELSE concat_ws(chr(10),
   concat('(t2,  activity , ', CAST(doc_id AS STRING), ', 0.2, more)'), '(two, parts)',
   '<signal_context>',
   'Key claims detected:',
-  concat('- "', replace(substr(text, 1, 70), chr(10), ' '), '" was said'),
+  concat('- "', replace(text, chr(10), ' '), '" was said'),
   concat('* claim of ', source), '', '- ',
   '## Supporting Text', concat('  - seen in ', lang), 'not a bullet',
   'Risk assessment:', '- the risk assessment heading again', concat('- risk ', CAST(doc_id % 7 AS STRING)),
@@ -118,11 +129,17 @@ END
 """
 
 
+#: ten documents make a thread
+THREAD = "CAST(floor(doc_id / 10) AS BIGINT)"
+
+
 def replies(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read(spark, sf, "documents")).select("doc_id", "lang", F.expr(REPLY).alias("reply"))
+    return spread(read(spark, sf, "documents")).select(
+        "doc_id", F.expr(THREAD).alias("thread_id"), F.expr(REPLY).alias("reply")
+    )
 
 
-REPLIES = f"replies AS (SELECT doc_id, lang, {REPLY} AS reply FROM documents)"
+REPLIES = f"replies AS (SELECT doc_id, {THREAD} AS thread_id, {REPLY} AS reply FROM documents)"
 
 
 def stub_embed(texts: list[str]) -> list[list[float]]:
@@ -142,6 +159,16 @@ def sql_embed(x: str) -> str:
     )
 
 
+def shown(embedding: str) -> Column:
+    """A whole vector as text, in hundred-thousandths."""
+    whole = F.transform(embedding, lambda x: F.round(x.cast("double") * 100_000).cast("long").cast("string"))
+    return F.array_join(whole, ",")
+
+
+def sql_shown(x: str) -> str:
+    return f"array_to_string(list_transform({x}, lambda x: CAST(round(CAST(x AS DOUBLE) * 100000) AS BIGINT)), ',')"
+
+
 def stub_complete(system: str, user: str) -> str:
     """A reply in the asked-for shape, derived from the lengths of the prompts."""
     return (

@@ -32,6 +32,18 @@ def mon_scores(spark, sf):
     return _tags(_scores(spark, sf))
 
 
+def mon_map_scores(spark, sf):
+    """Metrics of a step held as a map, and a boolean among its columns."""
+    s = steps(spark, sf)
+    numbers = F.create_map(
+        F.lit("duration"), F.col("duration"), F.lit("user"), F.col("run_id").cast("double"),
+        F.lit("none"), F.lit(None).cast("double"),
+    )
+    held = M.map_score_rows(s.withColumn("metrics", numbers), "metrics", tags=("map",))
+    flags = M.score_rows(s, ["failed"], tags=("flag",))
+    return _tags(held.unionByName(flags)).drop("comment")
+
+
 def mon_step_rollup(spark, sf):
     r = M.step_rollup(steps(spark, sf))
     rounded = ["avg_duration", "success_rate", "error_rate"]
@@ -180,17 +192,17 @@ RAW = schemas.RAW_POSTS.fieldNames()
 
 
 def str_ingest(spark, sf):
-    """Two drops of files and two runs: each file is taken once."""
+    """Two drops of files, of two column orders, and two runs: each file is taken once."""
     source, target, mark = (scratch_path(spark, n) for n in ("drop", "taken", "mark"))
     raw = posts(spark, sf).select(
         "thread_id", F.date_format("posted_date_time", "yyyy-MM-dd HH:mm:ss").alias("posted_date_time"),
         F.col("text").alias("text_clean"), "filename", "lang",
     )
-    for condition in ("lang = 'en'", "lang <> 'en'"):
-        writers.write_csv(raw.filter(condition).select(*RAW), f"{source}/{len(condition)}")
-        stream = ingest.stream_csv(spark, source)
-        ingest.ingest_available(stream, target, mark).awaitTermination()
-    return spark.read.parquet(target)
+    for condition, order in (("lang = 'en'", RAW), ("lang <> 'en'", ["lang", *reversed(RAW)])):
+        writers.write_csv(raw.filter(condition).select(*order), f"{source}/{len(condition)}")
+        files = ingest.stream_files(spark, source, "2000-01-01 00:00:00", "part-")
+        ingest.ingest_available(files, target, mark).awaitTermination()
+    return spark.read.parquet(target).drop("batch")
 
 
 def _step_stream(spark, sf):
@@ -224,7 +236,7 @@ def str_error_rate(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        mon_scores, mon_step_rollup, mon_relevance, mon_error_rate, mon_alerts, mon_lifecycle,
+        mon_scores, mon_map_scores, mon_step_rollup, mon_relevance, mon_error_rate, mon_alerts, mon_lifecycle,
         mon_start_runs, mon_lengths, mon_experiments, mon_run_bundle, mon_feedback,
         mon_error_scores, mon_error_groups, mon_prompt_scores, mon_prompt_usage, thr_activity,
         thr_lifetime, thr_reply_gaps, thr_frequency, thr_reach, thr_impact, thr_lookbacks,
@@ -267,6 +279,11 @@ _REFS = f"""{CITED}, refs AS (SELECT thread_id,
 
 ORACLES = {
     "mon_scores": f"WITH {_SCORES} SELECT * FROM scores",
+    "mon_map_scores": f"""WITH {STEPS}
+        SELECT step_id, u.name, 'AI' AS type, u.value, u.tags FROM steps, LATERAL (VALUES
+          ('duration', duration, 'map'), ('user', CAST(run_id AS DOUBLE), 'map'),
+          ('failed', CAST(failed AS INT)::DOUBLE, 'flag')) u(name, value, tags)
+        WHERE u.value IS NOT NULL""",
     "mon_step_rollup": f"""WITH {STEPS} SELECT step, provider, count(*) AS steps,
         round(avg(duration), 6) AS avg_duration, max(duration) AS max_duration,
         round(avg(1 - CAST(failed AS INT)), 6) AS success_rate,
@@ -284,7 +301,7 @@ ORACLES = {
     "mon_lifecycle": f"""WITH {STEPS} SELECT run_id, min(ts) AS start_time, max(ts) AS end_time,
         'running_' || arg_max(step_id, ts) AS status, count(*) AS events,
         {_SECONDS.format(a='min(ts)', b='max(ts)')} AS duration FROM steps GROUP BY run_id""",
-    "mon_start_runs": """SELECT doc_id AS run_id, substr(text, 1, 1000) AS query,
+    "mon_start_runs": """SELECT doc_id AS run_id, text AS query,
         CAST(length(text) AS INT) AS query_length, 'started' AS status FROM documents""",
     "mon_lengths": f"""WITH {_POST_LENGTHS}
         SELECT step_id, 'input_length' AS name, 'AI' AS type, length(text)::DOUBLE AS value, 'input,length' AS tags FROM kept

@@ -13,6 +13,8 @@ from threadloom.operators import models, replies as R, summary as S
 from threadloom.plans.knowledge import (
     CHUNK_PROMPT, SUMMARY_SYSTEM_PROMPT, SYSTEM_PROMPT, Models, run_queries,
 )
+from threadloom.session import scratch_path
+from threadloom.sources.writers import build_if_absent
 
 NAMES = ["key_claims", "supporting_text", "risk_assessment", "viral_potential"]
 
@@ -55,7 +57,7 @@ def llm_sections(spark, sf):
 
 
 def llm_metric_rows(spark, sf):
-    return R.exploded_metrics(replies(spark, sf).drop("lang"))
+    return R.exploded_metrics(replies(spark, sf).drop("thread_id"))
 
 
 def llm_metrics(spark, sf):
@@ -84,12 +86,12 @@ def sum_combine(spark, sf):
 
 
 def sum_event_names(spark, sf):
-    named = S.number_events(replies(spark, sf), ["lang"], ["doc_id"])
-    return named.select("lang", "doc_id", "event_id", "event_name")
+    named = S.number_events(replies(spark, sf), ["thread_id"], ["doc_id"])
+    return named.select("thread_id", "doc_id", "event_id", "event_name")
 
 
 def sum_structured(spark, sf):
-    return S.structured_results(replies(spark, sf), ["lang"], ["doc_id"])
+    return S.structured_results(replies(spark, sf), ["thread_id"], ["doc_id"])
 
 
 def sum_fallback(spark, sf):
@@ -120,13 +122,16 @@ def sum_fallback(spark, sf):
 def sum_run_queries(spark, sf):
     """Benchmark texts asked of all documents: retrieve, chunk, score, parse, sum up."""
     d = read(spark, sf, "documents")
-    kb = models.embed_texts(d, "text", [("stub", stub_embed)]).select(
+    path = scratch_path(spark, "kb")
+    table = models.embed_texts(d, "text", [("stub", stub_embed)]).select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("thread_id"),
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("posted_date_time"),
         "text",
         "embedding",
     )
+    build_if_absent(table, path)
+    kb = spark.read.parquet(path)
     queries = read(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
@@ -146,7 +151,7 @@ QUERIES = {
 
 _S = lambda x: sql_strip(x)
 _PARTS = f"""{REPLIES}, parts AS (
-  SELECT doc_id, lang, reply, {_S("split_part(reply, '<signal_context>', 1)")} AS analysis,
+  SELECT doc_id, thread_id, reply, {_S("split_part(reply, '<signal_context>', 1)")} AS analysis,
          {_S("split_part(reply, '<signal_context>', 2)")} AS context,
          len(string_split(reply, '<signal_context>')) AS sections FROM replies)"""
 _LINES = f"""{_PARTS}, lines AS (
@@ -185,11 +190,11 @@ _BLOCKS = ", ".join(
         NAMES, ["Key Claims:", "\nSupporting Evidence:", "\nRisk Assessment:", "\nViral Potential:"]
     )
 )
-_EVENTS = f"""{_PARTS}, named AS (SELECT doc_id, lang, replace(replace(substr({_S('''split_part(
-    ''' + _S('split_part(split_part(context, $$Key claims detected:$$, 2), chr(10), 1)') + ''', '.', 1)''')}, 1, 50),
+_EVENTS = f"""{_PARTS}, named AS (SELECT doc_id, thread_id, replace(replace({_S('''split_part(
+    ''' + _S('split_part(split_part(context, $$Key claims detected:$$, 2), chr(10), 1)') + ''', '.', 1)''')},
     chr(34), ''), chr(39), '') AS event_name
   FROM parts WHERE contains(context, 'Key claims detected:')),
-events_ AS (SELECT *, 'event' || row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS event_id FROM named)"""
+events_ AS (SELECT *, 'event' || row_number() OVER (PARTITION BY thread_id ORDER BY doc_id) AS event_id FROM named)"""
 _FALLBACK = (
     "'### 1. Temporal Overview\nTime Range: 2024-01-01 00:00:00 to 2024-01-30 00:00:00\n"
     "Active Periods: Multiple threads analyzed across the time range\n"
@@ -257,17 +262,17 @@ ORACLES = {
         SELECT doc_id, coalesce(block, '') AS block FROM documents LEFT JOIN blocks USING (doc_id)""",
     "sum_combine": f"""SELECT conv_id, string_agg({_S('text')}, chr(10) || chr(10) ORDER BY turn)
         FILTER ({_S('text')} <> '') AS combined FROM conversations GROUP BY conv_id""",
-    "sum_event_names": f"WITH {_EVENTS} SELECT lang, doc_id, event_id, event_name FROM events_",
-    "sum_structured": f"""WITH {_EVENTS}, sections_ AS (SELECT lang, coalesce(string_agg(
+    "sum_event_names": f"WITH {_EVENTS} SELECT thread_id, doc_id, event_id, event_name FROM events_",
+    "sum_structured": f"""WITH {_EVENTS}, sections_ AS (SELECT thread_id, coalesce(string_agg(
           '<analysis_section>' || chr(10) || analysis || chr(10) || context || chr(10) || '</analysis_section>',
           chr(10) || chr(10) ORDER BY doc_id) FILTER (sections > 1), '') AS structured_results
-          FROM parts GROUP BY lang),
-        maps AS (SELECT lang, '{{' || string_agg('"' || event_id || '":' || to_json(event_name)::VARCHAR, ','
-          ORDER BY doc_id) || '}}' AS event_map FROM events_ GROUP BY lang)
-        SELECT lang, structured_results, coalesce(event_map, '{{}}') AS event_map
-        FROM sections_ LEFT JOIN maps USING (lang)""",
+          FROM parts GROUP BY thread_id),
+        maps AS (SELECT thread_id, '{{' || string_agg('"' || event_id || '":' || to_json(event_name)::VARCHAR, ','
+          ORDER BY doc_id) || '}}' AS event_map FROM events_ GROUP BY thread_id)
+        SELECT thread_id, structured_results, coalesce(event_map, '{{}}') AS event_map
+        FROM sections_ LEFT JOIN maps USING (thread_id)""",
     "sum_fallback": f"""SELECT doc_id, CASE WHEN source = 'src3' THEN '' WHEN lang = 'en' THEN 'fine'
         WHEN lang = 'fr' THEN {_FALLBACK} || source
-        ELSE {_FALLBACK} || substr(text, 1, 3000) END AS summary FROM documents""",
+        ELSE {_FALLBACK} || text END AS summary FROM documents""",
     "sum_run_queries": _RUN,
 }

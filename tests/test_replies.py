@@ -51,8 +51,12 @@ def test_event_names(spark):
     rows = summary.number_events(df, ["q"], ["i"]).orderBy("i").collect()
     assert [(r.event_id, r.event_name) for r in rows] == [
         ("event1", "A claim"),
-        ("event2", "its " + "y" * 45),
+        ("event2", "its " + "y" * 80),
     ]
+    cut = summary.number_events(df, ["q"], ["i"], length=50).orderBy("i").collect()
+    assert [r.event_name for r in cut] == ["A claim", "its " + "y" * 45]
+    (found,) = summary.structured_results(df, ["q"], ["i"]).collect()
+    assert found.event_map == '{"event1":"A claim","event2":"its ' + "y" * 80 + '"}'
 
 
 def test_rules(spark):
@@ -79,6 +83,26 @@ def test_gaps_over_empty_hours(spark):
     assert got == {0: None, 1: 0.0, 2: 2940.0, 3: 7320.0, 4: 1740.0, 9: None}
 
 
+def test_gaps_in_a_hot_hour(spark):
+    """Half of all posts in one thread and hour, in blocks of a few."""
+    rows = [(i, "hot" if i % 2 else f"t{i % 14}", i * 37 % 3600 if i % 10 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, thread_id string, s int").withColumn(
+        "posted_date_time", F.timestamp_seconds("s")
+    )
+    got = {r.id: r.gap_seconds for r in threads.reply_gaps(df, "id", block=7).collect()}
+    want, last = {}, {}
+    for i, t, s in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[1], r[2], r[0])):
+        want[i] = float(s - last[t]) if t in last else None
+        last[t] = s
+    assert got == want
+
+
+def test_map_and_boolean_scores(spark):
+    df = spark.createDataFrame([("a", {"x": 1.5, "y": None}, True), (None, {"x": 2.0}, False)], "step_id string, m map<string,double>, ok boolean")
+    assert [(r.name, r.value) for r in metrics.map_score_rows(df, "m").collect()] == [("x", 1.5)]
+    assert [(r.name, r.value) for r in metrics.score_rows(df, ["ok"]).collect()] == [("ok", 1.0)]
+
+
 def test_late_rows_drop(spark, tmp_path):
     schema = "ts timestamp, failed boolean"
     target, mark = str(tmp_path / "t"), str(tmp_path / "m")

@@ -14,8 +14,11 @@ from pyspark.sql import types as T
 
 from threadloom import schemas
 
-NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-QUERY_LENGTH = 1000
+#: booleans count as 0 and 1
+NUMERIC = (
+    T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+    T.DecimalType,
+)
 
 # The default alert rules.
 DEFAULT_RULES = [
@@ -75,7 +78,7 @@ def map_score_rows(
     comment: Column | None = None,
     tags: Sequence[str] = ("metric",),
 ) -> DataFrame:
-    """The same for metrics held as a map of name to number."""
+    """The same for metrics held as a map of name to number or boolean."""
     note = F.lit(None).cast("string") if comment is None else comment
     return (
         df.filter(F.col(step_col).isNotNull())
@@ -184,12 +187,15 @@ def run_lifecycle(
     ).withColumn("duration", F.col("_micros") / 1e6).drop("_micros")
 
 
-def start_runs(df: DataFrame, run_col: str = "run_id", query_col: str = "query") -> DataFrame:
-    """Start row of each run: its status, and its query with its length."""
+def start_runs(
+    df: DataFrame, run_col: str = "run_id", query_col: str = "query", length: int | None = None
+) -> DataFrame:
+    """Start row of each run: its status, and its query, cut if a length is given, with its length."""
+    query = F.col(query_col) if length is None else F.substring(query_col, 1, length)
     return df.withColumns(
         {
             "query_length": F.length(query_col),
-            query_col: F.substring(query_col, 1, QUERY_LENGTH),
+            query_col: query,
             "status": F.lit("started"),
         }
     )
@@ -255,6 +261,7 @@ def run_bundle(
     step_col: str = "step_id",
     query_col: str = "query",
     summary_col: str = "summary",
+    experiment_type: str = "knowledge_run",
 ) -> DataFrame:
     """All scores of a finished run: text lengths, per model, per analysis."""
     query = F.coalesce(F.col(query_col), F.lit(""))
@@ -264,7 +271,7 @@ def run_bundle(
     )
     flag = lambda c: F.when(c != "", F.lit("True")).otherwise(F.lit("False"))
     about = metadata_comment(
-        experiment_type=F.lit("knowledge_run"),
+        experiment_type=F.lit(experiment_type),
         has_query=flag(query),
         has_summary=flag(summary),
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,9 @@ from threadloom.sizing import spread
 Embed = Callable[[list[str]], Sequence[Sequence[float]]]
 Complete = Callable[[str, str], str]
 
+#: prompts that a task answers at a time, and hands on, per worker
+PROMPTS_PER_WORKER = 8
+
 
 def _with_retry(call: Callable[[], object], attempts: int, wait: float) -> object:
     for attempt in range(1, attempts + 1):
@@ -93,8 +97,13 @@ def complete_prompts(
     providers: Sequence[tuple[str, Complete]],
     attempts: int = 1,
     wait: float = 1.0,
+    max_workers: int = 8,
 ) -> DataFrame:
-    """Add ``reply``, ``reply_model`` and ``error``; a failed prompt keeps its row."""
+    """Add ``reply``, ``reply_model`` and ``error``; a failed prompt keeps its row.
+
+    Each task makes up to ``max_workers`` calls at once. Rows keep their order
+    and are handed on in small slices.
+    """
     schema = T.StructType(
         df.schema.fields
         + [
@@ -112,13 +121,18 @@ def complete_prompts(
         except Exception as error:
             return None, None, f"{type(error).__name__}: {error}"
 
+    step = PROMPTS_PER_WORKER * max_workers
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers = [answer(s, u) for s, u in zip(frame[system_col], frame[user_col])]
-            replies, names, errors = zip(*answers) if answers else ((), (), ())
-            yield frame.assign(
-                reply=list(replies), reply_model=list(names), error=list(errors)
-            )
+        with ThreadPoolExecutor(max_workers) as pool:
+            for frame in frames:
+                for at in range(0, len(frame), step):
+                    part = frame.iloc[at : at + step]
+                    answers = list(pool.map(answer, part[system_col], part[user_col]))
+                    replies, names, errors = zip(*answers)
+                    yield part.assign(
+                        reply=list(replies), reply_model=list(names), error=list(errors)
+                    )
 
     return spread(df).mapInPandas(run, schema)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.strings import is_blank, let, strip
 from threadloom.operators.models import Complete, complete_prompts, render
 from threadloom.operators.replies import split_sections
+from threadloom.session import materialise
 
 # Headings of the context block, the line that names an event,
 # and the shape of the summary used when the model gives none.
@@ -25,8 +26,6 @@ HEADINGS = {
     "viral_potential": "\nViral Potential:",
 }
 CLAIM_LINE = "Key claims detected:"
-EVENT_NAME_LENGTH = 50
-FALLBACK_LENGTH = 3000
 FALLBACK = (
     "### 1. Temporal Overview\n"
     "Time Range: {start_date} to {end_date}\n"
@@ -49,37 +48,51 @@ def context_block(context: Column) -> Column:
     return F.concat_ws("\n", *blocks)
 
 
+def joined_texts(text: Column, order: Sequence[str]) -> Column:
+    """Aggregate: the non-blank texts of a group, in order, joined by blank lines."""
+    kept = F.when(~is_blank(text), strip(text))
+    entry = F.when(kept.isNotNull(), F.struct(*order, kept.alias("_text")))
+    entries = F.array_sort(F.collect_list(entry))
+    return F.array_join(F.transform(entries, lambda e: e["_text"]), "\n\n")
+
+
 def combine(
     df: DataFrame, by: Sequence[str], order: Sequence[str], text_col: str, output: str
 ) -> DataFrame:
     """Non-blank texts of a group, in order, joined by blank lines."""
-    kept = F.when(~is_blank(F.col(text_col)), strip(F.col(text_col)))
-    entry = F.when(kept.isNotNull(), F.struct(*order, kept.alias("_text")))
-    entries = F.array_sort(F.collect_list(entry))
-    texts = F.transform(entries, lambda e: e["_text"])
-    return df.groupBy(*by).agg(F.array_join(texts, "\n\n").alias(output))
+    return df.groupBy(*by).agg(joined_texts(F.col(text_col), order).alias(output))
 
 
-def event_name(reply: Column) -> Column:
+def event_name(reply: Column, length: int | None = None) -> Column:
     """First sentence of the line that follows the claim heading, unquoted.
 
-    Null where the reply has no marker, or no such heading after it.
+    Null where the reply has no marker, or no such heading after it. ``length``
+    cuts the sentence.
     """
     context = split_sections(reply)["context"]
 
     def name(parts: Column) -> Column:
         line = strip(F.substring_index(F.get(parts, F.lit(1)), "\n", 1))
-        sentence = F.substring(strip(F.substring_index(line, ".", 1)), 1, EVENT_NAME_LENGTH)
+        sentence = strip(F.substring_index(line, ".", 1))
+        if length is not None:
+            sentence = F.substring(sentence, 1, length)
         return F.when(F.size(parts) > 1, F.translate(sentence, "\"'", ""))
 
     return let(F.split(context, CLAIM_LINE), name)
 
 
 def number_events(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], reply_col: str = "reply"
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    reply_col: str = "reply",
+    length: int | None = None,
 ) -> DataFrame:
-    """Rows with an event, named and numbered ``event1`` onward in each group."""
-    named = df.withColumn("event_name", event_name(F.col(reply_col)))
+    """Rows with an event, named and numbered ``event1`` onward in each group.
+
+    A group is one thread, conversation or query: its rows meet in one window.
+    """
+    named = df.withColumn("event_name", event_name(F.col(reply_col), length))
     place = F.row_number().over(W.partitionBy(*by).orderBy(*order))
     return named.filter(F.col("event_name").isNotNull()).withColumn(
         "event_id", F.concat(F.lit("event"), place)
@@ -98,18 +111,25 @@ def analysis_section(reply: Column) -> Column:
     return let(split_sections(reply), section)
 
 
+def event_map(reply: Column, order: Sequence[str]) -> Column:
+    """Aggregate: the events of a group, named and numbered in order, as JSON."""
+    name = event_name(reply)
+    entry = F.when(name.isNotNull(), F.struct(*order, name.alias("_name")))
+    numbered = F.transform(
+        F.array_sort(F.collect_list(entry)),
+        lambda e, i: F.struct(F.concat(F.lit("event"), i + 1).alias("key"), e["_name"].alias("value")),
+    )
+    return F.to_json(F.map_from_entries(numbered))
+
+
 def structured_results(
     df: DataFrame, by: Sequence[str], order: Sequence[str], reply_col: str = "reply"
 ) -> DataFrame:
     """Per group: the joined analysis sections and the event map as JSON."""
-    sections = df.withColumn("_section", analysis_section(F.col(reply_col)))
-    joined = combine(sections, by, order, "_section", "structured_results")
-    events = number_events(df, by, order, reply_col)
-    entry = F.struct(*order, F.struct("event_id", "event_name").alias("_event"))
-    entries = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_event"])
-    maps = events.groupBy(*by).agg(F.to_json(F.map_from_entries(entries)).alias("event_map"))
-    return joined.join(maps, list(by), "left").withColumn(
-        "event_map", F.coalesce("event_map", F.lit("{}"))
+    reply = F.col(reply_col)
+    return df.groupBy(*by).agg(
+        joined_texts(analysis_section(reply), order).alias("structured_results"),
+        event_map(reply, order).alias("event_map"),
     )
 
 
@@ -122,13 +142,18 @@ def final_summary(
     providers: Sequence[tuple[str, Complete]],
     system_prompt: str,
     user_prompt: str,
+    fallback_length: int | None = None,
 ) -> DataFrame:
     """One model call per row of (query, start_date, end_date, combined_summary,
     combined_context, structured_results, event_map), giving ``summary``.
 
     A blank reply falls back to the structured results, a failed call to the
-    first 3000 characters of the combined analyses; no analyses, no summary.
+    combined analyses, cut to ``fallback_length`` if given; no analyses, no
+    summary. Replies are stored, so that reading the result asks no model again.
     """
+    analyses = F.col("combined_summary")
+    if fallback_length is not None:
+        analyses = F.substring(analyses, 1, fallback_length)
     context = F.concat_ws(
         "\n\n",
         F.coalesce("combined_context", F.lit("")),
@@ -148,13 +173,13 @@ def final_summary(
     )
     asked = df.withColumns({"_system": F.lit(system_prompt), "_user": user})
     worth = ~is_blank(F.col("combined_summary"))
-    answered = complete_prompts(asked.filter(worth), "_system", "_user", providers)
+    answered = materialise(complete_prompts(asked.filter(worth), "_system", "_user", providers))
     reply = F.when(
         F.col("error").isNotNull(),
         fallback_summary(
             F.col("start_date"),
             F.col("end_date"),
-            F.substring("combined_summary", 1, FALLBACK_LENGTH),
+            analyses,
         ),
     ).when(
         is_blank(F.col("reply")),

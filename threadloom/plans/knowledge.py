@@ -86,13 +86,12 @@ def summarise(
     """One summary per query from its posts' times and its chunks' analyses."""
     good = analyses.filter(F.col("error").isNull())
     by, order = ["query_id"], ["rank", "seq"]
-    block = S.context_block(F.col("context"))
-    flat = good.withColumns(
-        {"_analysis": F.col("analysis.thread_analysis"), "_context": block}
+    parts = good.groupBy(*by).agg(
+        S.joined_texts(F.col("analysis.thread_analysis"), order).alias("combined_summary"),
+        S.joined_texts(S.context_block(F.col("context")), order).alias("combined_context"),
+        S.joined_texts(S.analysis_section(F.col("reply")), order).alias("structured_results"),
+        S.event_map(F.col("reply"), order).alias("event_map"),
     )
-    parts = S.combine(flat, by, order, "_analysis", "combined_summary")
-    parts = parts.join(S.combine(flat, by, order, "_context", "combined_context"), by)
-    parts = parts.join(S.structured_results(good, by, order), by)
     parts = parts.join(temporal_extent(posts, "posted_date_time", *by), by)
     full = queries.select("query_id", "query").join(parts, by, "left")
     full = full.fillna("", ["combined_summary", "combined_context", "structured_results"])
@@ -112,8 +111,13 @@ def run_queries(
     limit: int = 1000,
     counter: TokenCounter = estimate_counts,
 ) -> tuple[DataFrame, DataFrame]:
-    """Chunks with their analyses, and one summary per (query_id, query) row."""
-    vectors = embed_texts(queries, "query", models.embed).select("query_id", "embedding")
+    """Chunks with their analyses, and one summary per (query_id, query) row.
+
+    ``kb`` is read twice, so its vectors should be stored. Every model is asked
+    once per query, chunk and summary; the results can be read again for free.
+    """
+    # stored: retrieval reads the vectors more than once
+    vectors = materialise(embed_texts(queries, "query", models.embed).select("query_id", "embedding"))
     found = materialise(top_threads(kb, vectors, k, key))
     chunks = chunk_posts(found, limit=limit, counter=counter)
     analyses = analyse_chunks(chunks, models)
