@@ -58,8 +58,12 @@ def flt_drop_null_dates(spark, sf):
     return filters.drop_null_dates(e, "t", "ts").select("event_id", ntz("t").alias("t"))
 
 
+#: whole texts, and short ones with white space that only counts untrimmed
+PADDED = "CASE WHEN turn % 3 > 0 THEN concat(' ', text) ELSE concat(role, repeat(' ', CAST(turn * 4 AS INT))) END"
+
+
 def flt_min_length(spark, sf):
-    c = read(spark, sf, "conversations").withColumn("text", F.expr("concat(' ', substr(text, 1, turn * 8 + 10))"))
+    c = read(spark, sf, "conversations").withColumn("text", F.expr(PADDED))
     return filters.long_enough(filters.long_enough(c, "text", 20), "text", 20, trimmed=True)
 
 
@@ -70,7 +74,7 @@ def flt_non_blank(spark, sf):
     return filters.non_blank(d, "text")
 
 
-VALID_TEXT = "concat('<content>old</content> <content>', chr(10), substr(text, 1, doc_id % 60), '</content> end')"
+VALID_TEXT = "concat('<content>old</content> <content>', chr(10), CASE WHEN doc_id % 3 > 0 THEN text ELSE source END, '</content> end')"
 
 
 def flt_valid_chunk(spark, sf):
@@ -179,7 +183,7 @@ ORACLES = {
         AND (event_type <> 'click' OR s >= TIMESTAMP '2024-01-10')
         AND (event_type = 'view' OR s <= TIMESTAMP '2024-01-20'), false) AS inside FROM times""",
     "flt_drop_null_dates": f"WITH {TIMES} SELECT event_id, s AS t FROM times WHERE event_type <> 'error'",
-    "flt_min_length": f"""WITH c AS (SELECT * REPLACE (concat(' ', substr(text, 1, turn * 8 + 10)) AS text)
+    "flt_min_length": f"""WITH c AS (SELECT * REPLACE ({PADDED} AS text)
         FROM conversations)
         SELECT * FROM c WHERE length(text) >= 20 AND length({sql_strip('text')}) >= 20""",
     "flt_non_blank": "SELECT doc_id, text FROM documents WHERE lang NOT IN ('de', 'fr')",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import POSTS, ntz, posts, read, sql_embed, stub_embed
+from catalog.base import POSTS, ntz, posts, read, shown, sql_embed, sql_shown, stub_embed
 from threadloom.functions.text import expand_contractions
 from threadloom.functions.lexicons import CONTRACTIONS
 from threadloom.operators.models import embed_texts
@@ -48,11 +48,21 @@ def src_subsets(spark, sf):
     path = scratch_path(spark, "subsets")
     raw = _raw(spark, sf)
     split = stratified_split(raw.select("doc_id", *RAW), "filename", "doc_id", fraction=0.25)
-    writers.write_subsets(split.drop("doc_id"), path)
+    writers.write_subsets(split.drop("doc_id"), path, "csv")
     writers.write_csv(raw.drop("filename"), f"{path}/subset=other_subset.csv")
     return readers.read_subsets(spark, path)
 
 
+def src_subsets_parquet(spark, sf):
+    """The same with the default format."""
+    path = scratch_path(spark, "subsets")
+    raw = _raw(spark, sf)
+    split = stratified_split(raw.select("doc_id", *RAW), "filename", "doc_id", fraction=0.25)
+    writers.write_subsets(split.drop("doc_id"), path)
+    raw.drop("filename").write.parquet(f"{path}/subset=other_subset.parquet")
+    return readers.read_subsets(spark, path)
+
+
 def src_typed_tables(spark, sf):
     """One table through CSV and through Parquet, by declared type."""
     table = read(spark, sf, "customer")
@@ -78,13 +88,16 @@ def src_json(spark, sf):
 
 def src_row_count(spark, sf):
     path = scratch_path(spark, "count")
-    read(spark, sf, "events").write.partitionBy("event_type").parquet(path)
-    return readers.count_total_rows(spark, path).select("total_rows")
+    events = read(spark, sf, "events").repartition("event_type")
+    # a file per type
+    events.write.partitionBy("event_type").parquet(path)
+    return readers.count_total_rows(spark, path)
 
 
 def _kb(spark, sf):
     vectors = read(spark, sf, "embeddings")
-    return posts(spark, sf).join(vectors, F.col("doc_id") == F.col("vec_id")).select(
+    # a document without a vector is part of the base
+    return posts(spark, sf).join(vectors, F.col("doc_id") == F.col("vec_id"), "left").select(
         "thread_id",
         F.date_format("posted_date_time", "yyyy-MM-dd HH:mm:ss").alias("posted_date_time"),
         F.col("text").alias("text_clean"),
@@ -97,13 +110,11 @@ def src_knowledge_base(spark, sf):
     path = scratch_path(spark, "kb-csv")
     writers.write_csv(_kb(spark, sf), path)
     kb = readers.read_knowledge_base(spark, path, "csv")
-    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
     return kb.select(
         "thread_id",
         ntz("posted_date_time").alias("posted_date_time"),
         "text",
-        F.size("embedding").alias("width"),
-        F.round(total, 4).alias("total"),
+        shown("embedding").alias("vector"),
     )
 
 
@@ -146,7 +157,7 @@ def snk_build_if_absent(spark, sf):
     writers.build_if_absent(first, path)
     writers.build_if_absent(first.withColumn("doc_id", F.lit(-1).cast("long")), path)
     return spark.read.parquet(path).select(
-        "doc_id", F.round(F.get("embedding", F.lit(7)).cast("double"), 5).alias("last")
+        "doc_id", shown("embedding").alias("vector")
     )
 
 
@@ -168,24 +179,28 @@ def snk_missing_only(spark, sf):
 
 
 def emb_knowledge_base(spark, sf):
-    """Subsets to an embedded knowledge base."""
-    subsets, kb = scratch_path(spark, "kb-in"), scratch_path(spark, "kb-out")
+    """Subsets of either format to an embedded knowledge base."""
     raw = _raw(spark, sf).select("doc_id", *RAW)
     split = stratified_split(raw, "filename", "doc_id", fraction=0.5)
-    writers.write_subsets(split.drop("doc_id"), subsets)
-    build_knowledge_base(spark, subsets, kb, [("stub", stub_embed)], batch_size=50)
-    return spark.read.parquet(kb).select(
+    bases = []
+    for kind in ("parquet", "csv"):
+        subsets, kb = scratch_path(spark, "kb-in"), scratch_path(spark, "kb-out")
+        writers.write_subsets(split.drop("doc_id"), subsets, kind)
+        build_knowledge_base(spark, subsets, kb, [("stub", stub_embed)], batch_size=50)
+        bases.append(spark.read.parquet(kb).withColumn("kind", F.lit(kind)))
+    return bases[0].unionByName(bases[1]).select(
+        "kind",
         "thread_id",
         ntz("posted_date_time").alias("posted_date_time"),
         "text",
-        F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"),
+        shown("embedding").alias("vector"),
     )
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        src_new_csv, src_subsets, src_typed_tables, src_json, src_row_count, src_knowledge_base,
+        src_new_csv, src_subsets, src_subsets_parquet, src_typed_tables, src_json, src_row_count, src_knowledge_base,
         src_lexicon, snk_csv, snk_subsets, snk_build_if_absent, snk_replace, snk_missing_only,
         emb_knowledge_base,
     )
@@ -209,30 +224,33 @@ ORACLES = {
     "src_new_csv": f"""WITH {RAW_SQL} SELECT {_RAW_COLUMNS},
         CASE WHEN lang <> 'en' THEN lang END AS lang FROM raw""",
     "src_subsets": f"WITH {RAW_SQL} SELECT {_RAW_COLUMNS} FROM raw",
+    "src_subsets_parquet": f"WITH {RAW_SQL} SELECT {_RAW_COLUMNS} FROM raw",
     "src_typed_tables": """SELECT *, 'csv' AS kind FROM customer
         UNION ALL SELECT *, 'parquet' AS kind FROM customer""",
     "src_json": "SELECT item_id, text FROM benchmark",
-    "src_row_count": "SELECT count(*) AS total_rows FROM events",
+    "src_row_count": "SELECT count(DISTINCT event_type) AS files, count(*) AS total_rows FROM events",
     "src_knowledge_base": f"""WITH {POSTS}
         SELECT thread_id, date_trunc('second', posted_date_time) AS posted_date_time, text,
-               len(embedding)::INT AS width, round(list_sum(embedding::DOUBLE[]), 4) AS total
-        FROM posts JOIN embeddings ON doc_id = vec_id WHERE length(text) >= 20""",
+               {sql_shown('embedding')} AS vector
+        FROM posts LEFT JOIN embeddings ON doc_id = vec_id WHERE length(text) >= 20""",
     "src_lexicon": _lexicon_sql(),
     "snk_csv": "SELECT * FROM events",
     "snk_subsets": """WITH ranked AS (
           SELECT doc_id, lang, md5('42|' || doc_id) AS h, count(*) OVER (PARTITION BY lang) AS n,
                  row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id)) AS rn
           FROM documents),
-        placed AS (SELECT *, row_number() OVER (ORDER BY (rn - 0.5) / n, h) - 1 AS place FROM ranked)
+        placed AS (SELECT *, row_number() OVER (ORDER BY (rn - phase) / n, h) - 1 AS place FROM
+          (SELECT *, CAST(('0x' || substr(md5('42/phase|=' || lang), 1, 12)) AS BIGINT)::DOUBLE
+            / 281474976710656::DOUBLE AS phase FROM ranked))
         SELECT doc_id, lang, 'dataset_' || (place // (SELECT CAST(floor(count(*) * 0.1) AS BIGINT)
           FROM documents) + 1) || '_subset.parquet' AS subset FROM placed""",
-    "snk_build_if_absent": f"""SELECT doc_id, round(CAST({sql_embed('text')}[8] AS DOUBLE), 5) AS last
+    "snk_build_if_absent": f"""SELECT doc_id, {sql_shown(sql_embed('text'))} AS vector
         FROM documents""",
     "snk_replace": "SELECT * FROM events",
     "snk_missing_only": """SELECT doc_id, 'kept' AS lang FROM labels UNION ALL
         SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "emb_knowledge_base": f"""WITH {RAW_SQL}
-        SELECT thread_id, CAST(posted_date_time AS TIMESTAMP) AS posted_date_time,
-               text_clean AS text, round(CAST({sql_embed('text_clean')}[1] AS DOUBLE), 5) AS first
-        FROM raw""",
+        SELECT kind, thread_id, CAST(posted_date_time AS TIMESTAMP) AS posted_date_time,
+               text_clean AS text, {sql_shown(sql_embed('text_clean'))} AS vector
+        FROM raw, (VALUES ('parquet'), ('csv')) k(kind)""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -70,6 +71,7 @@ def main() -> None:
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="threadloom-"),
     }
     spark = build_session(master="local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")

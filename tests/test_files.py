@@ -1,12 +1,14 @@
 """Readers and writers on files made by hand."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom import schemas
 from threadloom.operators.models import complete_prompts, embed_texts
+from threadloom.plans.knowledge import Models, build_knowledge_base, run_queries
 from threadloom.plans.prepare import prepare_data
 from threadloom.sources import readers, writers
 from threadloom.streaming import ingest
@@ -87,15 +89,105 @@ def test_prepare(spark, tmp_path):
     assert split.filter("posted_date_time < '2024-02-03'").count() == 0
 
 
-def test_stream_takes_each_file_once(spark, tmp_path):
+def odd_files(folder):
+    put(folder / "good.csv", f'{HEADER}\n1,t,"a, ""b""\nc",f\n')
+    put(folder / "turned.csv", "\ufefffilename,text_clean,posted_date_time,thread_id,more\r\nf,b,t,2,x\r\n")
+    put(folder / "twice.csv", "thread_id,posted_date_time,text_clean,filename,Filename\n3,t,c,f,g\n")
+    put(folder / "none.csv", "")
+    (folder / "noise.csv").write_bytes(bytes(range(256)) * 8)
+
+
+def test_odd_files_are_skipped(spark, tmp_path):
+    odd_files(tmp_path / "in")
+    paths = [str(p) for p in sorted((tmp_path / "in").iterdir())]
+    problems = {r.path.rsplit("/", 1)[1]: r.problem for r in readers.file_headers(spark, paths).collect()}
+    assert problems["good.csv"] is None and problems["turned.csv"] is None
+    assert problems["twice.csv"] == "repeated column" and problems["noise.csv"]
+    batch = readers.read_new_csv(spark, str(tmp_path / "in"))
+    assert sorted(r.thread_id for r in batch.collect()) == ["1", "2"]
+
+
+def test_header_names(spark, tmp_path):
+    put(tmp_path / "h.csv", '"a ""x"" b",c,"d,e",\n')
+    (row,) = readers.file_headers(spark, [str(tmp_path / "h.csv")]).collect()
+    assert row.header == ['a "x" b', "c", "d,e", ""]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    """Each file once, any column order, bad files left out, the batch reader's filters."""
     target, mark = str(tmp_path / "t"), str(tmp_path / "m")
+    odd_files(tmp_path / "in")
+    put(tmp_path / "in/old.csv", f"{HEADER}\n8,t,a,f\n", 1_000)
     for i in range(2):
-        put(tmp_path / f"in/{i}.csv", f"{HEADER}\n{i},t,a,f\n")
-        stream = ingest.stream_csv(spark, str(tmp_path / "in"))
-        ingest.ingest_available(stream, target, mark).awaitTermination()
-    batch = readers.read_new_csv(spark, str(tmp_path / "in"))
-    streamed = spark.read.schema(schemas.RAW_POSTS).parquet(target)
-    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+        put(tmp_path / f"in/{i}.csv", f"{HEADER}\n1{i},t,a,f\n")
+        files = ingest.stream_files(spark, str(tmp_path / "in"), "2000-01-01 00:00:00")
+        ingest.ingest_available(files, target, mark).awaitTermination()
+    batch = readers.read_new_csv(spark, str(tmp_path / "in"), "2000-01-01 00:00:00")
+    batch = batch.select(*schemas.RAW_POSTS.fieldNames())
+    streamed = spark.read.parquet(target).drop("batch")
+    assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
+    assert streamed.count() == 4
+
+
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_subsets_reach_the_knowledge_base(spark, tmp_path, kind):
+    posts = spark.createDataFrame(
+        [(str(i), "2024-01-01 00:00:00", f"text {i}", "f", i % 4) for i in range(40)],
+        "thread_id string, posted_date_time string, text_clean string, filename string, split_id int",
+    )
+    subsets, kb = str(tmp_path / "s"), str(tmp_path / "kb")
+    writers.write_subsets(posts, subsets, kind)
+    embed = [("stub", lambda texts: [[float(len(t))] for t in texts])]
+    assert build_knowledge_base(spark, subsets, kb, embed)
+    assert spark.read.parquet(kb).count() == 40
+    assert not build_knowledge_base(spark, subsets, kb, embed)
+    other = "csv" if kind == "parquet" else "parquet"
+    with pytest.raises(ValueError):
+        readers.read_subsets(spark, subsets, other)
+    writers.write_subsets(posts, f"{subsets}/more", other)
+    assert readers.read_subsets(spark, subsets).count() == 40
+
+
+def test_models_are_asked_once(spark):
+    calls = {n: spark.sparkContext.accumulator(0) for n in ("embed", "chunk", "summary")}
+
+    def embed(texts):
+        calls["embed"].add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def chunk(system, user):
+        calls["chunk"].add(1)
+        return "(t, a, 1, 1)\n<signal_context>\nKey claims detected:\n- c"
+
+    def summarize(system, user):
+        calls["summary"].add(1)
+        return "done"
+
+    kb = spark.createDataFrame(
+        [(i, f"t{i % 9}", f"some longer words of post number {i}. And another sentence here.", [float(i), 1.0]) for i in range(40)],
+        "id long, thread_id string, text string, embedding array<float>",
+    ).withColumn("posted_date_time", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    queries = spark.createDataFrame([(i, "q" * (i + 1)) for i in range(8)], "query_id long, query string")
+    models = Models([("m", embed)], [("m", chunk)], [("m", summarize)])
+    analyses, summaries = run_queries(kb, queries, models, k=2)
+    for _ in range(2):
+        assert summaries.count() == 8 and len(summaries.collect()) == 8
+        chunks = analyses.count()
+    assert calls["embed"].value == 8 and calls["summary"].value == 8
+    assert calls["chunk"].value == chunks > 0
+
+
+def test_model_calls_overlap(spark):
+    def slow(system, user):
+        time.sleep(0.2)
+        return user
+
+    df = spark.range(16).select(F.col("id").cast("string").alias("u"), F.lit("s").alias("s")).coalesce(1)
+    df = spark.createDataFrame(df.collect(), df.schema)
+    started = time.perf_counter()
+    rows = complete_prompts(df, "s", "u", [("m", slow)], max_workers=16).collect()
+    assert all(r.reply == r.u for r in rows) and len(rows) == 16
+    assert time.perf_counter() - started < 16 * 0.2
 
 
 def test_models_retry_and_fall_back(spark):

@@ -44,7 +44,7 @@ def prepare_data(
     filter_date: str | None = None,
     sample_size: int = 1000,
     name_contains: str | None = None,
-    file_format: str = "csv",
+    file_format: str = "parquet",
     seed: int = 42,
 ) -> DataFrame:
     """Ingest files newer than a date, keep a copy, sample, split and write subsets."""

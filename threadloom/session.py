@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,28 +32,32 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def use_folder(spark: SparkSession, path: str) -> None:
+    """Name the shared folder of a session that was started without one."""
+    spark.sparkContext.setCheckpointDir(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
-
-    Only a local master may fall back to a temporary folder; on a cluster the
-    setting must be there, since executors do not share a local disk.
-    """
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder every executor can reach, as the cluster or the caller names it."""
+    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="threadloom-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    return named.rstrip("/")
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/threadloom-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, in the application's own part of it."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete what this application wrote under its scratch folder; results read from it are gone."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:

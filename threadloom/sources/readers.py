@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import csv
 import json
-from collections import defaultdict
+import logging
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +25,10 @@ CSV_WRITE_OPTIONS = {
     "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
     "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
 }
-HEADER_READERS = 32
+#: a quoted or plain field of a header line, with what ends it
+HEADER_FIELD = r'(?:^|,)("(?:[^"]|"")*"|[^,"]*)'
+
+LOG = logging.getLogger(__name__)
 
 
 def list_files(
@@ -61,27 +62,52 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return len(fs.globStatus(target) or []) > 0
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
-    """Column names in a file's first line, or nothing for a file without one."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-    finally:
-        stream.close()
-    names = next(csv.reader([line.lstrip("﻿")]), []) if line else []
-    return tuple(names) or None
+def _names(line: Column) -> Column:
+    """Column names in a header line."""
+
+    def plain(name: Column) -> Column:
+        inner = F.when(name.rlike('^".*"$'), F.substring(name, F.lit(2), F.length(name) - 2))
+        return F.replace(F.coalesce(inner, name), F.lit('""'), F.lit('"'))
+
+    bare = F.regexp_replace(line, "^\ufeff|\r$", "")
+    return F.transform(F.regexp_extract_all(bare, F.lit(HEADER_FIELD), F.lit(1)), plain)
+
+
+def file_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, header, problem) of CSV files: their first lines, read on executors.
+
+    ``problem`` says why a file cannot be read by name; else it is null. A file
+    without a line, or one that cannot be read, is not there.
+    """
+    lines = spark.read.option("ignoreCorruptFiles", "true").text(paths)
+    opening = lines.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("at"),
+        "value",
+    ).filter("at = 0")
+    # the first block of a file is one task's, in order
+    first = opening.groupBy("path").agg(F.first("value").alias("line"))
+    named = first.select("path", _names(F.col("line")).alias("header"))
+    lower = F.transform("header", F.lower)
+    repeated = F.size(F.array_distinct(lower)) < F.size(lower)
+    garbled = F.exists("header", lambda c: (c == "") | c.rlike("[\\p{Cntrl}\ufffd]"))
+    problem = F.when(F.size("header") == 0, "no header").when(repeated, "repeated column").when(
+        garbled, "unreadable header"
+    )
+    return named.withColumn("problem", problem)
 
 
 def _by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by their header; only first lines are read."""
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(HEADER_READERS) as pool:
-        for path, header in zip(paths, pool.map(lambda p: _header(spark, p), paths)):
-            if header:
-                groups[header].append(path)
+    """Readable files grouped by their header; others are logged and left out."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    if not paths:
+        return groups
+    found = file_headers(spark, paths).groupBy("header", "problem").agg(F.collect_list("path").alias("paths"))
+    for row in found.toLocalIterator():
+        if row.problem:
+            LOG.warning("skipped %d files (%s): %s", len(row.paths), row.problem, row.paths[:5])
+        else:
+            groups[tuple(row.header)] = row.paths
     return groups
 
 
@@ -91,7 +117,8 @@ def _read_group(
     """Files with one header. All columns are read as text unless the schema types them."""
     known = {f.name: f.dataType for f in schema.fields}
     own = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header])
-    return spark.read.options(**CSV_OPTIONS).schema(own).csv(paths)
+    reader = spark.read.options(**CSV_OPTIONS).option("ignoreCorruptFiles", "true")
+    return reader.schema(own).csv(paths)
 
 
 def read_new_csv(
@@ -104,11 +131,24 @@ def read_new_csv(
 ) -> DataFrame:
     """Rows of CSV files changed after an instant, aligned by column name.
 
-    Files of one header are read together and the groups united by name. Files
-    without a header are skipped; with no file left the result is empty.
+    With no readable file the result is empty; see ``read_csv_files``.
     """
     files = list_files(spark, path, "*.csv", modified_after, name_contains)
     paths = [r.path for r in files.select("path").toLocalIterator()]
+    return read_csv_files(spark, paths, schema, with_file)
+
+
+def read_csv_files(
+    spark: SparkSession,
+    paths: list[str],
+    schema: T.StructType = schemas.RAW_POSTS,
+    with_file: bool = False,
+) -> DataFrame:
+    """Rows of the named CSV files, aligned by column name.
+
+    Files of one header are read together and the groups united by name. A file
+    without a header, with a repeated column or unreadable is logged and skipped.
+    """
     frames = []
     for header, group in sorted(_by_header(spark, paths).items()):
         frame = _read_group(spark, header, group, schema)
@@ -123,34 +163,51 @@ def read_new_csv(
     return result
 
 
+def _subset_formats(spark: SparkSession, directory: str) -> dict[str, str]:
+    """Formats of the subsets in a directory, with the pattern that finds them."""
+    patterns = {f: f"{directory.rstrip('/')}/*_subset.{f}" for f in ("parquet", "csv")}
+    return {f: p for f, p in patterns.items() if _path_exists(spark, p)}
+
+
 def read_subsets(
     spark: SparkSession,
     directory: str,
-    glob: str = "*_subset.csv",
+    file_format: str | None = None,
     schema: T.StructType = schemas.RAW_POSTS,
 ) -> DataFrame:
-    """The schema's columns of all subset files that have them.
+    """The schema's columns of all subsets that have them, as ``write_subsets`` leaves them.
 
-    A file lacking one is skipped whole; a missing directory is an error.
-    A subset may be a single file or a folder of part files.
+    A subset lacking a column is skipped whole; a missing directory is an
+    error, and so are subsets in another format than asked for, or in two
+    formats where none is. A subset may be a single file or a folder of parts.
     """
     if not _path_exists(spark, directory):
         raise FileNotFoundError(directory)
-    empty = spark.createDataFrame([], schema)
-    entries = f"{directory.rstrip('/')}/{glob}"
-    if not _path_exists(spark, entries):
-        return empty
-    files = list_files(spark, entries, "*.csv").select("path")
-    groups = _by_header(spark, [r.path for r in files.toLocalIterator()])
+    found = _subset_formats(spark, directory)
+    if not found:
+        return spark.createDataFrame([], schema)
+    if file_format is None and len(found) > 1:
+        raise ValueError(f"subsets in several formats: {sorted(found)}; name one")
+    if file_format is not None and file_format not in found:
+        raise ValueError(f"no {file_format} subsets, but {sorted(found)}")
+    kind = file_format or next(iter(found))
     wanted = schema.fieldNames()
-    frames = [
-        _read_group(spark, header, paths, schema).select(*wanted)
-        for header, paths in sorted(groups.items())
-        if set(wanted) <= set(header)
-    ]
-    result = empty
-    for i, frame in enumerate(frames):
-        result = frame if i == 0 else result.unionByName(frame)
+    files = list_files(spark, found[kind], f"*.{kind}").select("path")
+    if kind == "parquet":
+        # one footer per subset, not per file
+        folders = files.select(F.regexp_extract("path", r"^(.*_subset\.parquet)(/|$)", 1).alias("p")).distinct()
+        frames = [spark.read.parquet(r.p) for r in folders.orderBy("p").toLocalIterator()]
+        kept = [f.select(*wanted) for f in frames if set(wanted) <= set(f.columns)]
+    else:
+        groups = _by_header(spark, [r.path for r in files.toLocalIterator()])
+        kept = [
+            _read_group(spark, header, paths, schema).select(*wanted)
+            for header, paths in sorted(groups.items())
+            if set(wanted) <= set(header)
+        ]
+    result = kept[0] if kept else spark.createDataFrame([], schema)
+    for frame in kept[1:]:
+        result = result.unionByName(frame)
     return result
 
 

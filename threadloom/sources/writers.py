@@ -31,7 +31,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_subsets(
-    df: DataFrame, path: str, file_format: str = "csv", split_col: str = "split_id"
+    df: DataFrame, path: str, file_format: str = "parquet", split_col: str = "split_id"
 ) -> None:
     """One folder ``subset=dataset_{i}_subset.{format}`` per split, i from 1."""
     _check_format(file_format)
