@@ -129,7 +129,8 @@ def ascii_steps(options: CleanOptions = CleanOptions()) -> list:
     if options.contractions:
         steps.append(lambda c: expand_contractions(c, options.lexicon))
     if options.alphanumeric_only:
-        steps.append(drop_non_alphanumeric)
+        # the squeeze that follows makes one space of a run anyway
+        steps.append(lambda c: F.regexp_replace(c, NON_ALPHANUMERIC + "+", " "))
     steps.append(squeeze)
     return steps
 
