@@ -7,11 +7,14 @@ therefore enumerates the ball of radius one around either half (66 keys) and
 fingerprints that meet under a key are compared in full.
 
 Keys are counted before anything meets. Under a key with two fingerprints the
-pair is the least and the greatest; up to ``CROWD`` are paired within a row. A
-more crowded key is never paired: its fingerprints enumerate the ball of radius
-two in all 64 bits, where any two that meet are within four bits, so each is
-linked to the least that it meets. That way is exact as well and linear, so no
-size of group is dropped, capped or squared.
+pair is the least and the greatest. Up to ``CROWD`` are gathered in a row and
+searched for their components, each found fingerprint being compared only with
+those not found yet, so a group of near copies costs little more than its size;
+what leaves the row is a tree, never all pairs. A more crowded key is not
+gathered: its fingerprints enumerate the ball of radius two in all 64 bits,
+where any two that meet are within four bits, so each is linked to the least
+that it meets. That way is exact as well and linear, so no size of group is
+dropped, capped or squared.
 
 Defined results: null, empty and word-less texts have fingerprint zero and link
 like any other. Null keys and repeated rows are kept; a group's id is its least
@@ -29,15 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.strings import let
-from threadloom.llm import text as tx
 from threadloom.llm.components import components
 from threadloom.llm.tables import stored
+from threadloom.sizing import BROADCAST_ROWS
 
 BITS = 4
 SHINGLE = 4
 SEED = 42
-CROWD = 32
+CROWD = 8192
 #: shingles hashed at a time, which bounds the memory of a long text
 BLOCK = 1 << 16
 
@@ -109,12 +111,44 @@ def _points(fps: DataFrame) -> DataFrame:
     return rows.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("point"), "fp")
 
 
+def tree_of(group: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what links of at most ``BITS`` bits connect within one group."""
+    left, edges = np.unique(group), []
+    while len(left) > 1:
+        found, left = [int(left[0])], left[1:]
+        while found and len(left):
+            a = found.pop()
+            # of unsigned numbers: a negative one would be counted by its absolute value
+            near = np.bitwise_count((left ^ np.int64(a)).view(np.uint64)) <= BITS
+            met = left[near].tolist()
+            edges += [(a, b) for b in met]
+            found += met
+            left = left[~near]
+    return edges
+
+
+def _tree(group: Column) -> Column:
+    @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
+    def of(groups: pd.Series) -> pd.Series:
+        return pd.Series([tree_of(np.asarray(g, dtype=np.int64)) for g in groups], dtype=object)
+
+    return of(group)
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Stored keys for a join: broadcast if they are few, else merged."""
+    n = keys.count()
+    return F.broadcast(keys) if n <= BROADCAST_ROWS else keys.hint("merge")
+
+
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Edges ``a, b`` between distinct fingerprints of at most ``BITS`` differing bits.
 
     The edges connect exactly what all such pairs would connect; pairs under a
     crowded key are linked through the least fingerprint that shares a point.
     """
+    # eight bytes become sixty-six rows: deal them out first
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counted = _keys(fps).groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")
     )
@@ -122,31 +156,19 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     near = _differ(F.col("a"), F.col("b")) <= BITS
     twos = counted.where("n = 2").select("a", "b").where(near)
 
-    few = _keys(fps).join(counted.where(F.col("n").between(3, crowd)).select("key"), "key")
-    groups = few.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("g"))
-
-    def with_later(g: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                g,
-                lambda x, i: F.transform(
-                    F.filter(
-                        F.slice(g, i + 2, F.size(g)), lambda y: _differ(x, y) <= BITS
-                    ),
-                    lambda y: F.struct(x.alias("a"), y.alias("b")),
-                ),
-            )
-        )
-
-    paired = groups.select(F.explode(let(F.col("g"), with_later)).alias("p")).select("p.a", "p.b")
-
-    dense = _keys(fps).join(counted.where(F.col("n") > crowd).select("key"), "key", "left_semi")
+    few = _keys(fps).join(_small(counted.where(F.col("n").between(3, crowd)).select("key")), "key")
+    groups = few.groupBy("key").agg(F.collect_list("fp").alias("g"))
+    grown = groups.select(F.explode(_tree(F.col("g"))).alias("p")).select("p.a", "p.b")
+
+    crowded = _small(counted.where(F.col("n") > crowd).select("key"))
+    dense = _keys(fps).join(crowded, "key", "left_semi")
     dense = stored(dense.select("fp").distinct(), "dense")
-    edges = twos.unionByName(paired)
+    edges = twos.unionByName(grown)
     if not dense.isEmpty():
         points = _points(dense)
         hubs = points.groupBy("point").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n"))
-        met = points.join(hubs.where("n > 1").select("point", "hub"), "point")
+        # an exploded frame looks small to the planner
+        met = points.join(hubs.where("n > 1").select("point", "hub").hint("merge"), "point")
         stars = met.select(F.col("hub").alias("a"), F.col("fp").alias("b")).where("a <> b")
         edges = edges.unionByName(stars.where(near))
     return edges.distinct()
