@@ -10,14 +10,14 @@ import numpy as np
 
 from threadloom.llm.html_blocks import Block, blocks
 
-PATH_SIZE = 128
+PATH_SIZE = 320
 WORD_SIZE = 32
 NUMBERS = 7
 INPUT = PATH_SIZE + WORD_SIZE + NUMBERS
 HIDDEN = 16
 #: pages made up to learn from, and passes over them
-TRAIN_PAGES = 900
-PASSES = 8
+TRAIN_PAGES = 1400
+PASSES = 6
 #: share of pages that are learned from without their words
 WORDLESS = 0.35
 SEED = 3

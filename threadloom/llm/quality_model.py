@@ -179,7 +179,8 @@ def fit_network(positive: np.ndarray, unlabelled: np.ndarray, seed: int = SEED,
     grid = np.quantile(both, np.linspace(0, 1, 33), axis=0).T
     grid = np.maximum.accumulate(grid, axis=1) + np.arange(33) * 1e-9
     net = _new(grid, rng)
-    pos, unl = net.scaled(positive), net.scaled(unlabelled)
+    pos = rng.permutation(net.scaled(positive))
+    unl = rng.permutation(net.scaled(unlabelled))
     # the prior comes from a plain P-against-U network, judged on halves it has not seen
     half_p, half_u = len(pos) // 2, len(unl) // 2
     if half_p and half_u:
