@@ -35,45 +35,82 @@ from threadloom.llm.tables import stored
 
 CAPACITY = 2048
 CLOSING_ID = 0
-#: words kept with their ids in a worker, and the longest that is kept
-KEPT_WORDS = 200_000
+#: words, and word stems, kept with their ids in a worker
+KEPT_WORDS = 600_000
+KEPT_STEMS = 600_000
 KEPT_LENGTH = 40
-#: texts encoded at a time
+#: texts encoded at a time, and stems put into one line
 SLICE = 64
+LINE = 500
 
 Encoder = Callable[[list[str]], list[bytes]]
 
+#: punctuation that may follow a stem; an apostrophe may begin a piece of its own
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 
 def word_encoder(path: str) -> Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, word by word.
 
-    For tokenizers whose rules never look across white space (their pieces hold
-    none): a space or line break then ends a word for certain, and a word that
-    was met before need not be encoded again.
+    For tokenizers in lower case whose rules never look across white space and
+    take runs of letters and runs of punctuation as pieces of their own. A space
+    or line break then ends a word for certain, and a word or stem met before
+    need not be encoded again. New stems go through the tokenizer by the line;
+    its word-end mark tells them apart. Any other word is encoded by itself.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    kept: dict[str, bytes] = {}
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    for token, i in vocabulary.items():
+        ends[i] = token.endswith("</w>")
+    words: dict[str, bytes] = {}
+    stems: dict[str, bytes] = {}
+
+    def learn_stems(fresh: list[str]) -> None:
+        for at in range(0, len(fresh), LINE):
+            line = fresh[at : at + LINE]
+            (found,) = tokenizer.encode_batch_fast([" ".join(line)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            if len(stops) != len(line):
+                raise ValueError("a stem was not encoded as one piece")
+            raw = ids.tobytes()
+            stems.update(zip(line, map(raw.__getitem__, map(slice, [0, *stops], stops))))
+
+    def learn(fresh: set[str]) -> None:
+        plain, others, wanted, marks = [], [], set(), set()
+        for w in fresh:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ"):
+                mark = w[len(stem) :]
+                stem = stem.lower()
+                plain.append((w, stem, mark))
+                wanted.add(stem)
+                marks.add(mark)
+            else:
+                others.append(w)
+        learn_stems([s for s in wanted if s not in stems])
+        others += marks.difference(words)
+        found = tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        words.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(others, found))
+        words.update([(w, stems[stem] + words[mark]) for w, stem, mark in plain])
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for words in split for w in words if w not in kept})
-        found = tokenizer.encode_batch(fresh, add_special_tokens=False)
-        new = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(fresh, found)}
-        if len(kept) + len(new) > KEPT_WORDS:
-            known = {w: kept[w] for words in split for w in words if w in kept}
-            kept.clear()
-            kept.update(known)
-        short = {w: ids for w, ids in new.items() if len(w) <= KEPT_LENGTH}
-        kept.update(short)
-        long = {w: ids for w, ids in new.items() if len(w) > KEPT_LENGTH}
-
-        def ids_of(w: str) -> bytes:
-            ids = kept.get(w)
-            return long[w] if ids is None else ids
-
-        return [b"".join(map(ids_of, words)) for words in split]
+        fresh = set().union(*split).difference(words)
+        learn(fresh)
+        known = words.__getitem__
+        ids = [b"".join(map(known, own)) for own in split]
+        for w in [w for w in fresh if len(w) > KEPT_LENGTH]:
+            words.pop(w)
+            stems.pop(w.lower(), None)
+        if len(words) > KEPT_WORDS:
+            words.clear()
+        if len(stems) > KEPT_STEMS:
+            stems.clear()
+        return ids
 
     return encode
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import packing, sharding, simhash
-from threadloom.llm.tables import read
+from threadloom.llm.tables import per_worker, read
 
 TOKENIZER = "word_bpe_49k.json"
 #: small enough that the small test tables split, too
@@ -21,8 +21,8 @@ def tokenizer_path() -> str:
 
 
 def encoder(path: str) -> Callable[[], packing.Encoder]:
-    """Loads the tokenizer of ``path`` when first needed in a task."""
-    return lambda: packing.word_encoder(path)
+    """Loads the tokenizer of ``path`` when a worker first needs it."""
+    return lambda: per_worker(f"encoder {path}", lambda: packing.word_encoder(path))
 
 
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
