@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: documents are bags of sentences.
 
-Only documents are labelled. A sentence scores by the hashed words it holds, a
-document by the noisy-or of its sentences: it is toxic unless every sentence is
+Only documents are labelled. A sentence scores by the hashed words it holds and
+their beginnings, of which each adds to it or counts for nothing; a document by the noisy-or of its sentences: it is toxic unless every sentence is
 clean. The gradient of the document's likelihood reaches each sentence in
 proportion to its own part in it, so the offending ones are found without a
 label of their own, and the fitted model names them.
@@ -29,11 +29,16 @@ from pyspark.sql import functions as F
 from threadloom.llm.labelled import sample_keys
 
 #: bounds of the training sample
-SAMPLE = 16_000
+SAMPLE = 6_000
 MIN_DOCS = 5
+#: lengths of the beginnings of words that count beside them
+PREFIXES = (3, 5, 7)
 BUCKETS = 1 << 20
 SEED = 5
-STEPS = 120
+STEPS = 150
+#: what a weight costs in the fit that selects words, and in the one that weighs them
+COSTS = (0.5, 0.02)
+LEAST = 0.05
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -43,6 +48,11 @@ def bucket(word: str) -> int:
     return zlib.crc32(word.encode()) % BUCKETS
 
 
+def parts_of(word: str) -> list[str]:
+    """A word and its beginnings, marked as such: what may speak for toxicity."""
+    return [word, *[word[:n] + "-" for n in PREFIXES if n < len(word)]]
+
+
 def sentences(text: str | None) -> list[tuple[int, int, set[str]]]:
     """``start, stop, words`` of every sentence that has a word; words in lower case."""
     out = []
@@ -55,7 +65,7 @@ def sentences(text: str | None) -> list[tuple[int, int, set[str]]]:
 
 @dataclass
 class Model:
-    """Weights of the buckets that count, and what a sentence without any scores."""
+    """Weights of the buckets that count, none below zero, and what a sentence without any scores."""
 
     weights: dict[int, float]
     bias: float
@@ -65,7 +75,7 @@ class Model:
         kept: dict[str, float] = {}
 
         def weight(word: str) -> float:
-            value = self.weights.get(bucket(word), 0.0)
+            value = sum(self.weights.get(bucket(p), 0.0) for p in parts_of(word))
             if len(kept) < 500_000:
                 kept[word] = value
             return value
@@ -92,18 +102,9 @@ def noisy_or(logits: np.ndarray) -> float:
     return float(-np.expm1(-_softplus(logits).sum())) if len(logits) else 0.0
 
 
-def fit_model(
-    ids: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels: np.ndarray, steps: int = STEPS
-) -> Model:
-    """Weights from word ``ids`` with their sentence, each sentence's document, and its label."""
-    order, inverse = np.unique(ids, return_inverse=True)
-    pairs = np.unique(np.stack([inverse, document[sentence]]), axis=1)
-    often = np.bincount(pairs[0], minlength=len(order)) >= min(MIN_DOCS, max(2, len(labels) // 20))
-    place = np.cumsum(often) - 1
-    use = often[inverse]
-    word, at = place[inverse[use]], sentence[use]
-    n_words, n_sentences, n_docs = int(often.sum()), len(document), len(labels)
-    w, bias = np.zeros(n_words), -6.0
+def _descend(word, at, document, labels, w, bias: float, cost: float, steps: int):
+    """Adam on the documents' likelihood; weights stay at zero or above."""
+    n_words, n_sentences, n_docs = len(w), len(document), len(labels)
     m, v, mb, vb = np.zeros(n_words), np.zeros(n_words), 0.0, 0.0
     for step in range(1, steps + 1):
         z = bias + np.bincount(at, weights=w[word], minlength=n_sentences)
@@ -111,16 +112,41 @@ def fit_model(
         # d(-log likelihood)/d(total): 1 for clean documents, -1/(e^total - 1) for toxic ones
         pull = np.where(labels == 1, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)
         g = pull[document] * (0.5 * (1 + np.tanh(0.5 * z)))
-        gw = np.bincount(word, weights=g[at], minlength=n_words) + 0.3 * w
+        # a weight costs its size, so words that explain little go to zero
+        gw = np.bincount(word, weights=g[at], minlength=n_words) + cost
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, b = 1 - 0.9**step, 1 - 0.99**step
         rate = 0.4 * (1 - step / (steps + 1)) + 0.01
-        w -= rate * (m / a) / (np.sqrt(v / b) + 1e-6)
+        w = np.maximum(w - rate * (m / a) / (np.sqrt(v / b) + 1e-6), 0.0)
         bias -= 0.3 * rate * (mb / a) / (np.sqrt(vb / b) + 1e-6)
-    buckets = order[often]
-    return Model({int(k): float(x) for k, x in zip(buckets, w) if abs(x) > 1e-3}, float(bias))
+    return w, bias
+
+
+def fit_model(
+    ids: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels: np.ndarray, steps: int = STEPS
+) -> Model:
+    """Weights from word ``ids`` with their sentence, each sentence's document, and its label.
+
+    A dear fit selects the words that explain something, a cheap one weighs them.
+    """
+    order, inverse = np.unique(ids, return_inverse=True)
+    # documents of a word: each pair counted once
+    pairs = inverse * np.int64(len(labels)) + document[sentence]
+    pairs = np.unique(pairs) // len(labels)
+    use = np.bincount(pairs, minlength=len(order)) >= min(MIN_DOCS, max(2, len(labels) // 20))
+    del pairs
+    w, bias = np.zeros(len(order)), -6.0
+    for cost in COSTS:
+        place = np.cumsum(use) - 1
+        kept = use[inverse]
+        word, at = place[inverse[kept]].astype(np.int32), sentence[kept].astype(np.int32)
+        own, bias = _descend(word, at, document, labels, w[use], bias, cost, steps)
+        w = np.zeros(len(order))
+        w[use] = own
+        use = w > LEAST
+    return Model({int(k): float(x) for k, x in zip(order[use], w[use])}, float(bias))
 
 
 def fit(
@@ -141,7 +167,7 @@ def fit(
     def bag(texts: pd.Series) -> pd.DataFrame:
         ids, lengths = [], []
         for t in texts:
-            found = [sorted(map(bucket, words)) for _, _, words in sentences(t)]
+            found = [sorted({bucket(p) for w in words for p in parts_of(w)}) for _, _, words in sentences(t)]
             lengths.append(np.array([len(f) for f in found], dtype="<i4").tobytes())
             ids.append(np.array([i for f in found for i in f], dtype="<i4").tobytes())
         return pd.DataFrame({"ids": ids, "lengths": lengths})
