@@ -31,4 +31,5 @@ def prose(seed: int, n: int) -> str:
     rng = random.Random(seed)
     vocabulary = ["the", "of", "and", "river", "stone", "quiet", "über", "niño", "walks", "under", "bright", "morning"]
     vocabulary += [f"word{i}" for i in range(400)]
-    return " ".join(rng.choice(vocabulary) + ("." if rng.random() < 0.1 else "") for _ in range(n))
+    common = ["the", "of", "and", "der", "la"]
+    return " ".join(rng.choice(vocabulary if rng.random() < 0.7 else common) + ("." if rng.random() < 0.1 else "") for _ in range(n))

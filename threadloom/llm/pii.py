@@ -2,8 +2,9 @@
 
 Base kinds (mail and network addresses, cards, international phones) are exact
 patterns with checks and always count. Further generators propose loose spans
-in what the base kinds leave over: any long run of digits and separators,
-spelled-out mail addresses, account numbers. Boosted trees, fitted here on
+in what the base kinds leave over: any long run of digits and separators, the
+parts of such a run that look like a number of their own, spelled-out mail
+addresses, account numbers. Their spans overlap. Boosted trees, fitted here on
 generated contexts, score each proposal by its format and its surroundings; a
 cut per kind, calibrated on contexts kept out of the fit, selects.
 
@@ -29,7 +30,7 @@ from threadloom.functions.strings import let
 from threadloom.llm import text as tx
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("number", "spelled", "account")
+MORE_KINDS = ("number", "spelled", "account", "digits", "formatted")
 KINDS = BASE_KINDS + MORE_KINDS
 CONTEXT = 24
 
@@ -55,6 +56,9 @@ SPELLED = (
     r"(?i)[a-z0-9._%+-]{2,40}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[a-z0-9-]{2,40}"
     r"\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[a-z]{2,10}"
 )
+#: parts of longer runs, which overlap the spans of ``NUMBER``
+DIGITS = r"(?<![0-9])[0-9]{13,19}(?![0-9])"
+FORMATTED = r"(?:\+[0-9]{1,3}[\x20.-]?)?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"
 ACCOUNT = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}"
 
 #: words before a number that speak for or against a person's number
@@ -124,6 +128,8 @@ def candidates(text: Column) -> Column:
         of("number", r"[(0-9][0-9\x20().-]{5}", NUMBER),
         of("spelled", r"(?i)(?:\(|\[|\x20)dot(?:\)|\]|\x20)", SPELLED),
         of("account", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", ACCOUNT),
+        of("digits", r"[0-9]{13}", DIGITS),
+        of("formatted", r"\([0-9]{2,4}\)", FORMATTED),
     )
 
 
@@ -198,6 +204,12 @@ def _generated(rows: int, seed: int) -> list[dict]:
     def d(n: int) -> str:
         return "".join(rng.choice("0123456789") for _ in range(n))
 
+    def card(right: bool) -> str:
+        body = d(rng.choice([12, 14, 15, 15, 15]))
+        worths = [int(c) * (2 - i % 2) for i, c in enumerate(reversed(body))]
+        check = -sum(w - 9 if w > 9 else w for w in worths) % 10
+        return body + str(check if right else (check + rng.randint(1, 9)) % 10)
+
     def word() -> str:
         return "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8)))
 
@@ -237,6 +249,10 @@ def _generated(rows: int, seed: int) -> list[dict]:
                 ("number", phone, plain() + rng.choice(["$", "€", "#", "x"]), 0),
                 ("account", account, rng.choice(["iban ", "account ", plain()]), 1),
                 ("account", code, rng.choice([*anti, plain()]), 0),
+                ("digits", card(True), plain(), 1),
+                ("digits", card(False), plain(), 0),
+                ("formatted", f"{rng.choice(['+1 ', '+49 ', ''])}({d(3)}) {d(3)}-{d(4)}", plain(), 1),
+                ("formatted", f"({d(3)}) {d(3)} {d(4)}", rng.choice(anti), 0),
                 ("spelled", spelled, plain(), 1),
                 ("spelled", phrase, plain(), 0),
             ]
@@ -294,10 +310,14 @@ def fit(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 7) -> Trees:
 
 
 def _cut(scored: list[tuple[float, float]]) -> float:
-    """The lowest probability from which on the precision is kept; none selects if there is none."""
-    best, right = 2.0, 0
-    for n, (p, label) in enumerate(sorted(scored, reverse=True), 1):
-        right += label
+    """The lowest probability from which on the precision is kept; none selects if there is none.
+
+    Candidates of equal probability are selected together or not at all.
+    """
+    best, right, n = 2.0, 0, 0
+    for p in sorted({p for p, _ in scored}, reverse=True):
+        tied = [label for q, label in scored if q == p]
+        right, n = right + sum(tied), n + len(tied)
         if right >= PRECISION * n:
             best = p
     return best
