@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.labelled import sample_keys
 
 #: bounds of the training sample
-SAMPLE = 6_000
+SAMPLE = 4_000
 MIN_DOCS = 5
 #: lengths of the beginnings of words that count beside them
 PREFIXES = (3, 5, 7)
