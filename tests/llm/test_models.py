@@ -31,6 +31,21 @@ def test_blocks_of_a_broken_page():
     assert blocks(None) == [] and blocks("") == [] and [b.text for b in blocks("plain")] == ["plain"]
 
 
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ('<svg class="i"/><p>one</p><svg></svg><p>two', ["one", "two"]),
+        ('<svg-icon name="x"></svg-icon><p>one</p><template-x><p>two</template-x>', ["one", "two"]),
+        ("<p>so <math><mi>x</mi></math> is <object data='y'>four</object>.</p>", ["so x is four."]),
+        ("<p>a<svg><title>t</title><svg><text>no</text></svg><foreignObject><div>no</div></foreignObject>no</svg> b", ["a b"]),
+        ("<svg><path d='M0'><p>one</p><svg><text>no</text></svg><p>two", ["one", "two"]),
+        ("<script>no</script ><style>no</style><template><p>no</template>one", ["one"]),
+    ],
+)
+def test_blocks_keep_text_beside_what_is_skipped(inner, want):
+    assert [b.text for b in blocks(f"<body><article>{inner}</article></body>")] == want
+
+
 def test_labels_of_made_pages():
     net = html_model.fit()
     rows = html_model.learning_rows(150, 12345)

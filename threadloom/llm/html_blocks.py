@@ -23,10 +23,16 @@ CLOSES = {
 #: any block ends an open paragraph
 ENDS_PARAGRAPH = BLOCK_TAGS - {"button", "iframe", "option", "select", "textarea", "video", "audio"}
 
+#: HTML tags that end a drawing left open; its own labels may be HTML inside these elements
+ENDS_DRAWING = ENDS_PARAGRAPH - {"title"} | set(
+    "b big br code em embed i img meta nobr ruby s small span strike strong sub sup tt u var".split()
+)
+LABELS = frozenset(("foreignobject", "desc", "title"))
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|template|noscript|svg|math|object)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|template)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
     r"|<[!?/][^>]*+>",
@@ -58,8 +64,9 @@ def blocks(page: str | None) -> list[Block]:
 
     A block is the text between two boundaries of block elements; a line break
     inside counts as white space, and white space is one space. Comments,
-    scripts, styles and the head's title are not text. Unclosed and misnested
-    tags are closed as browsers close them: by a parent's end or a next sibling.
+    scripts, styles, templates, drawings and the head's title are not text.
+    Unclosed and misnested tags are closed as browsers close them: by a parent's
+    end or a next sibling, a drawing also by an HTML tag that cannot stand in it.
     """
     page = page or ""
     out: list[Block] = []
@@ -67,6 +74,7 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     links: list[str] = []
     in_link = 0
+    drawing = labels = 0
 
     def flush() -> None:
         if parts:
@@ -80,7 +88,7 @@ def blocks(page: str | None) -> list[Block]:
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not drawing:
             parts.append(page[at : m.start()])
             if in_link:
                 links.append(page[at : m.start()])
@@ -90,6 +98,18 @@ def blocks(page: str | None) -> list[Block]:
             continue
         name = name.lower()
         closing = m.group(2) or m.group(5)
+        if drawing or name == "svg":
+            # as in browsers, a drawing or a part of it may close itself
+            empty = (m.group(4) or m.group(7) or "").endswith("/")
+            if name == "svg":
+                drawing = max(drawing - 1, 0) if closing else drawing + (not empty)
+                labels = labels if drawing else 0
+                continue
+            if name in LABELS:
+                labels = max(labels - 1, 0) if closing else labels + (not empty)
+            if labels or closing or name not in ENDS_DRAWING:
+                continue
+            drawing = 0
         if name == "a":
             in_link = 0 if closing else 1
         elif name == "br":
@@ -108,7 +128,7 @@ def blocks(page: str | None) -> list[Block]:
                 stack.append((name, _names(attributes) if attributes else ()))
                 if name == "body":
                     stack[:] = [s for s in stack if s[0] not in ("head", "title")]
-    if at < len(page):
+    if at < len(page) and not drawing:
         parts.append(page[at:])
     flush()
     return out
