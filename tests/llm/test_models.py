@@ -46,6 +46,19 @@ def test_blocks_keep_text_beside_what_is_skipped(inner, want):
     assert [b.text for b in blocks(f"<body><article>{inner}</article></body>")] == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<head><title>t</title><article><p>text", [("text", ("article", "p"))]),
+        ("<html><head><title>t</title><meta a>text<p>more", [("text", ("html",)), ("more", ("html", "p"))]),
+        ("<head><span>text</span><title>t</title>", [("text", ())]),
+        ("<head><title>t <p>u</title><noscript><link></noscript></head><body><p>x", [("x", ("body", "p"))]),
+    ],
+)
+def test_blocks_of_a_head_left_open(page, want):
+    assert [(b.text, b.path) for b in blocks(page)] == want
+
+
 def test_labels_of_made_pages():
     net = html_model.fit()
     rows = html_model.learning_rows(150, 12345)

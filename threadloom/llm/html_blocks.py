@@ -76,9 +76,16 @@ def blocks(page: str | None) -> list[Block]:
     in_link = 0
     drawing = labels = 0
 
+    def end_head() -> None:
+        """What cannot stand in a head ends it; both of its tags may be left out."""
+        if not any(name == "title" for name, _ in stack):
+            stack[:] = [s for s in stack if s[0] != "head"]
+
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
+            if text:
+                end_head()
             if text and not any(name in ("head", "title") for name, _ in stack):
                 path = tuple(t for name, names in stack for t in (name, *names))
                 chars = len(" ".join(html.unescape("".join(links)).split())) if links else 0
@@ -124,6 +131,8 @@ def blocks(page: str | None) -> list[Block]:
                 closes = CLOSES.get(name, set()) | ({"p"} if name in ENDS_PARAGRAPH else set())
                 while stack and stack[-1][0] in closes:
                     stack.pop()
+                if name not in ("html", "head", "title"):
+                    end_head()
                 attributes = m.group(4) or m.group(7) or ""
                 stack.append((name, _names(attributes) if attributes else ()))
                 if name == "body":
