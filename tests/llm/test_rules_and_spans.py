@@ -119,6 +119,37 @@ def test_trees_add_what_speaks_of_a_person_and_little_else(spark):
     assert not any(s["kind"] in ("card", "phone") for i in range(len(good)) for s in rows[i]["base"])
 
 
+NUMBER_LISTS = [
+    "x {} y\n",
+    "x {} {} y\n",
+    "12 {} y",
+    "2024-01-05 {} y",
+    "x {0} {0} 2024-01-05 {0} 7 {0} {0} {0} {0} {0} y",
+    "x {0}  {0}        {0}                          {0} y",
+    "x {0} - {0} . {0}) ({0} y",
+]
+
+
+def test_every_number_of_a_list_is_proposed(spark):
+    numbers = ["555-123-4567", "555.123.4567", "555 123 4567", "123-45-6789", "030 1234 5678", "555-1234", "1-555-123-4567", "(436) 555-8670"]
+    texts = [t.format(*[n] * 9) for t in NUMBER_LISTS for n in numbers]
+    df = documents(spark, list(enumerate(texts)))
+    for r in df.select("doc_id", "text", pii.candidates(F.col("text")).alias("c")).collect():
+        number = numbers[r["doc_id"] % len(numbers)]
+        places = {(c["start"], c["stop"]) for c in r["c"]}
+        for m in re.finditer(re.escape(number), r["text"]):
+            assert m.span() in places, (r["text"], m.span())
+        assert all(r["text"][c["start"] : c["stop"]] == c["match"] for c in r["c"])
+
+
+def test_lists_of_numbers_are_redacted(spark):
+    texts = ["555-123-4567 555-987-6543", "2024-01-05 123-45-6789", "12 555-123-4567", "x " + "555-123-4567 " * 2000, "((" * 50_000]
+    texts += ["call (436) 555-8670 (436) 555-8671 (436) 555-8672", "1" * 30_000, "1 ." * 10_000]
+    out = [r["text"] for r in pii.redact(documents(spark, list(enumerate(texts)))).collect()]
+    for r in (*out[:4], out[5]):
+        assert not re.search("[0-9]{4}$|555|6789", r), r[:80]
+
+
 def test_cut_takes_ties_together():
     assert pii._cut([(0.9, 1.0), (0.9, 0.0), (0.5, 1.0)]) == 2.0
     assert pii._cut([(0.9, 1.0)] * 99 + [(0.5, 0.0)]) == 0.5

@@ -51,7 +51,15 @@ CARD_LONG = r"[0-9](?:[\x20-]?+[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 #: loose generators
-NUMBER = r"[(0-9][0-9\x20().-]{5,22}[0-9]"
+RUN_LEAST = 7
+#: a whole run, however long; 22 separators or more between two digits part runs
+NUMBER = r"[(0-9](?:[\x20().-]{0,21}+[0-9])++"
+#: numbers of their own inside runs, each overlapping the others: what blanks part, and three or
+#: two groups of usual lengths, the short one not out of a longer chain
+TOKEN = r"(?<![0-9).-])(?:\([0-9]{1,4}\)|[0-9])(?:[().-]{0,4}+[0-9])++"
+THREE = r"(?<![0-9])[0-9]{3}[\x20.-](?:[0-9]{3}|[0-9]{4}(?=[\x20.-][0-9]{4}))[\x20.-][0-9]{4}(?![0-9])"
+SOCIAL = r"(?<![0-9])[0-9]{3}[\x20.-][0-9]{2}[\x20.-][0-9]{4}(?![0-9])"
+TWO = r"(?<![0-9])(?<![0-9][.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])"
 SPELLED = (
     r"(?i)[a-z0-9._%+-]{2,40}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[a-z0-9-]{2,40}"
     r"\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[a-z]{2,10}"
@@ -110,8 +118,8 @@ def base_spans(text: Column) -> dict[str, Column]:
 def candidates(text: Column) -> Column:
     """Loose proposals as named spans with their context; ``text`` without its base spans."""
 
-    def of(kind: str, hint: str, pattern: str) -> Column:
-        spans = tx.spans_if(text, text.rlike(hint), pattern, context=CONTEXT)
+    def of(kind: str, hint: str, pattern: str, keep=None) -> Column:
+        spans = tx.spans_if(text, text.rlike(hint), pattern, keep, context=CONTEXT)
         return F.transform(
             spans,
             lambda s: F.struct(
@@ -124,8 +132,16 @@ def candidates(text: Column) -> Column:
             ),
         )
 
+    def long(match: Column) -> Column:
+        return F.length(match) >= RUN_LEAST
+
+    run = r"[(0-9][0-9\x20().-]{5}"
     return F.concat(
-        of("number", r"[(0-9][0-9\x20().-]{5}", NUMBER),
+        of("number", run, NUMBER, long),
+        of("number", run, TOKEN, long),
+        of("number", run, THREE),
+        of("number", run, SOCIAL),
+        of("number", run, TWO),
         of("spelled", r"(?i)(?:\(|\[|\x20)dot(?:\)|\]|\x20)", SPELLED),
         of("account", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", ACCOUNT),
         of("digits", r"[0-9]{13}", DIGITS),
@@ -352,7 +368,7 @@ def found(text: Column, trees: Trees) -> Column:
             ),
         )
         base = F.concat(*[_by_kind(kinds[k], k, i) for i, k in enumerate(BASE_KINDS)])
-        return F.struct(base.alias("base"), F.array_sort(named).alias("more"))
+        return F.struct(base.alias("base"), F.array_sort(F.array_distinct(named)).alias("more"))
 
     spans = base_spans(text)
     return let(F.struct(*[spans[k].alias(k) for k in BASE_KINDS]), with_base)
