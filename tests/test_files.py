@@ -1,5 +1,6 @@
 """Readers and writers on files made by hand."""
 
+import gzip
 import os
 import time
 
@@ -107,6 +108,24 @@ def test_odd_files_are_skipped(spark, tmp_path):
     assert sorted(r.thread_id for r in batch.collect()) == ["1", "2"]
 
 
+def test_cut_files_are_not_read_in_part(spark, tmp_path, caplog):
+    rows = "".join(f"{i},t,{os.urandom(20).hex()},f\n" for i in range(20_000))
+    whole = gzip.compress(f"{HEADER}\n{rows}".encode())
+    (tmp_path / "cut.csv.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "stub.csv.gz").write_bytes(whole[:12])
+    put(tmp_path / "a b.csv", f"{HEADER}\n1,t,a,f\n")
+    put(tmp_path / "none.csv", "")
+    paths = {p.name: str(p) for p in tmp_path.iterdir()}
+    with pytest.raises(Exception):
+        readers.read_csv_files(spark, [paths["cut.csv.gz"]]).collect()
+    caplog.clear()
+    groups = readers._by_header(spark, list(paths.values()))
+    assert len(groups) == 1
+    logged = " ".join(r.getMessage() for r in caplog.records)
+    assert paths["stub.csv.gz"] in logged and paths["none.csv"] in logged
+    assert "cut.csv.gz" not in logged and "a b.csv" not in logged
+
+
 def test_header_names(spark, tmp_path):
     put(tmp_path / "h.csv", '"a ""x"" b",c,"d,e",\n')
     (row,) = readers.file_headers(spark, [str(tmp_path / "h.csv")]).collect()

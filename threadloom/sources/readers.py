@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,21 +105,31 @@ def _by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], l
     if not paths:
         return groups
     found = file_headers(spark, paths).groupBy("header", "problem").agg(F.collect_list("path").alias("paths"))
+    # one side writes file:/x, the other file:///x with escapes
+    plain = lambda p: re.sub("^(?:file:)?/+", "/", unquote(p))
+    missing = {plain(p): p for p in paths}
     for row in found.toLocalIterator():
+        for p in row.paths:
+            missing.pop(plain(p), None)
         if row.problem:
             LOG.warning("skipped %d files (%s): %s", len(row.paths), row.problem, row.paths[:5])
         else:
             groups[tuple(row.header)] = row.paths
+    if missing:
+        LOG.warning("skipped %d files (empty or unreadable): %s", len(missing), sorted(missing.values()))
     return groups
 
 
 def _read_group(
     spark: SparkSession, header: Sequence[str], paths: list[str], schema: T.StructType
 ) -> DataFrame:
-    """Files with one header. All columns are read as text unless the schema types them."""
+    """Files with one header. All columns are read as text unless the schema types them.
+
+    A read error is retried with its task and then fails the job: no row is lost unseen.
+    """
     known = {f.name: f.dataType for f in schema.fields}
     own = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header])
-    reader = spark.read.options(**CSV_OPTIONS).option("ignoreCorruptFiles", "true")
+    reader = spark.read.options(**CSV_OPTIONS).option("ignoreCorruptFiles", "false")
     return reader.schema(own).csv(paths)
 
 
