@@ -3,6 +3,12 @@
 Every stage takes the documents its predecessor kept, from Parquet, and returns
 documents of the same columns; the last returns the pieces of sequences. Texts
 that a stage changes get their new length where the table has ``n_chars``.
+
+Defined results: each stage treats null and empty texts, null and repeated keys
+as its operator says; the quality rules reject null and empty texts, so later
+stages meet none of them. Rows that repeat key and text are one document after
+the second stage. An empty table gives no sequences. Columns that the operators
+do not know pass through to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, minhash, packing, pii, quality_rules
+from threadloom.llm import decontaminate, packing, pii, quality_rules, simhash
 from threadloom.llm.packing_queries import encoder, tokenizer_path
 from threadloom.llm.tables import own_folder, read, stored
 
@@ -29,9 +35,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    """The first document of every group of near-duplicates: four-word fingerprints within four bits."""
     own_folder(spark)
-    return minhash.keep_first(docs)
+    return simhash.keep_first(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +73,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: fingerprints, fitted trees and token ids are not SQL's to express; tests hold the stages
-#: against brute force
+#: fingerprints, fitted trees and token ids are not SQL's to express
 ORACLE_SQL = None
