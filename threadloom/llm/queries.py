@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from threadloom.llm import model_queries, native_queries, packing_queries
+from threadloom.llm import model_queries, native_queries, packing_queries, vector_queries
 
-MODULES = (model_queries, native_queries, packing_queries)
+MODULES = (model_queries, native_queries, packing_queries, vector_queries)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 QUERIES["pipeline"] = corpus_pipeline.run
