@@ -110,7 +110,7 @@ def rank_one(values: np.ndarray, vectors: np.ndarray, v: np.ndarray) -> tuple[np
     active = np.abs(z) * np.sqrt(size) > tol
     kept = np.flatnonzero(active)
     if len(kept) > 1 and (np.diff(values[kept]) * np.abs(z[kept[1:]] * z[kept[:-1]]) <= tol * (z[kept[1:]] ** 2 + z[kept[:-1]] ** 2)).any():
-        vectors, z = vectors.copy(), z.copy()
+        values, vectors, z = values.copy(), vectors.copy(), z.copy()
         last = kept[0]
         for j in kept[1:]:
             r = np.hypot(z[last], z[j])
@@ -118,6 +118,9 @@ def rank_one(values: np.ndarray, vectors: np.ndarray, v: np.ndarray) -> tuple[np
             if (values[j] - values[last]) * abs(c * s) <= tol:
                 vectors[:, [last, j]] = vectors[:, [last, j]] @ np.array([[c, s], [-s, c]])
                 z[last], z[j] = 0.0, r
+                # the rotation turns the values, too; what it leaves beside them is within the tolerance
+                a, b = values[last], values[j]
+                values[last], values[j] = a * c * c + b * s * s, a * s * s + b * c * c
                 active[last] = False
             last = j
         kept = np.flatnonzero(active)
