@@ -43,6 +43,17 @@ def src_new_csv(spark, sf):
     return readers.read_new_csv(spark, path, "2000-01-01 00:00:00", "board_").select(*RAW, "lang")
 
 
+def src_csv_ranges(spark, sf):
+    """CSV files read by byte ranges, with line breaks, commas and quotes in their fields."""
+    path = scratch_path(spark, "csv-large")
+    texts = read(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit('He said: "'), F.col("text"), F.lit('",\n\n"ok"')).alias("text"), "source"
+    )
+    writers.write_csv(texts, path)
+    rows = readers.read_new_csv(spark, path, schema=texts.schema, split_bytes=0)
+    return rows.select("doc_id", "text", "source")
+
+
 def src_subsets(spark, sf):
     """Subsets read back, the ones lacking a column skipped whole."""
     path = scratch_path(spark, "subsets")
@@ -200,7 +211,7 @@ def emb_knowledge_base(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        src_new_csv, src_subsets, src_subsets_parquet, src_typed_tables, src_json, src_row_count, src_knowledge_base,
+        src_new_csv, src_csv_ranges, src_subsets, src_subsets_parquet, src_typed_tables, src_json, src_row_count, src_knowledge_base,
         src_lexicon, snk_csv, snk_subsets, snk_build_if_absent, snk_replace, snk_missing_only,
         emb_knowledge_base,
     )
@@ -223,6 +234,8 @@ SELECT doc_id, array_to_string(list_transform({sql_words(CONTRACTED)},
 ORACLES = {
     "src_new_csv": f"""WITH {RAW_SQL} SELECT {_RAW_COLUMNS},
         CASE WHEN lang <> 'en' THEN lang END AS lang FROM raw""",
+    "src_csv_ranges": """SELECT doc_id, 'He said: "' || text || '",' || chr(10) || chr(10) || '"ok"' AS text,
+        source FROM documents""",
     "src_subsets": f"WITH {RAW_SQL} SELECT {_RAW_COLUMNS} FROM raw",
     "src_subsets_parquet": f"WITH {RAW_SQL} SELECT {_RAW_COLUMNS} FROM raw",
     "src_typed_tables": """SELECT *, 'csv' AS kind FROM customer

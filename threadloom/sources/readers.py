@@ -16,6 +16,7 @@ from threadloom import schemas
 from threadloom.functions import dates, vectors
 from threadloom.functions.strings import min_length
 from threadloom.operators.filters import rename_positionally
+from threadloom.sources import ranges
 
 #: post text holds line breaks and doubled quotes
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
@@ -30,6 +31,9 @@ CSV_WRITE_OPTIONS = {
 #: a quoted or plain field of a header line, with what ends it
 HEADER_FIELD = r'(?:^|,)("(?:[^"]|"")*"|[^,"]*)'
 
+#: a CSV file above this length is cut into ranges
+SPLIT_BYTES = 256 * 1024 * 1024
+
 LOG = logging.getLogger(__name__)
 
 
@@ -76,7 +80,7 @@ def _names(line: Column) -> Column:
 
 
 def file_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, header, problem) of CSV files: their first lines, read on executors.
+    """(path, length, header, problem) of CSV files: their first lines, read on executors.
 
     ``problem`` says why a file cannot be read by name; else it is null. A file
     without a line, or one that cannot be read, is not there.
@@ -84,37 +88,48 @@ def file_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
     lines = spark.read.option("ignoreCorruptFiles", "true").text(paths)
     opening = lines.select(
         F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("length"),
         F.col("_metadata.file_block_start").alias("at"),
         "value",
     ).filter("at = 0")
     # the first block of a file is one task's, in order
-    first = opening.groupBy("path").agg(F.first("value").alias("line"))
-    named = first.select("path", _names(F.col("line")).alias("header"))
+    first = opening.groupBy("path").agg(F.first("length").alias("length"), F.first("value").alias("line"))
+    named = first.select("path", "length", _names(F.col("line")).alias("header"), F.col("line").alias("_line"))
     lower = F.transform("header", F.lower)
     repeated = F.size(F.array_distinct(lower)) < F.size(lower)
     garbled = F.exists("header", lambda c: (c == "") | c.rlike("[\\p{Cntrl}\ufffd]"))
     problem = F.when(F.size("header") == 0, "no header").when(repeated, "repeated column").when(
         garbled, "unreadable header"
     )
-    return named.withColumn("problem", problem)
+    # a header that goes on in the next line is the whole-file reader's
+    one_line = F.length(F.regexp_replace("_line", '[^"]', "")) % 2 == 0
+    return named.withColumns({"problem": problem, "one_line": one_line}).drop("_line")
+
 
+def _plain(path: str) -> str:
+    """One spelling of a path: file:/x, file:///x and escapes are the same."""
+    return re.sub("^(?:file:)?/+", "/", unquote(path))
 
-def _by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Readable files grouped by their header; others are logged and left out."""
-    groups: dict[tuple[str, ...], list[str]] = {}
+
+def _by_header(
+    spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES
+) -> dict[tuple[tuple[str, ...], bool], list[str]]:
+    """Readable files by their header and whether to cut them; others are logged and left out."""
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = {}
     if not paths:
         return groups
-    found = file_headers(spark, paths).groupBy("header", "problem").agg(F.collect_list("path").alias("paths"))
-    # one side writes file:/x, the other file:///x with escapes
-    plain = lambda p: re.sub("^(?:file:)?/+", "/", unquote(p))
-    missing = {plain(p): p for p in paths}
+    plain_text = F.lower("path").endswith(".csv")
+    large = F.col("one_line") & plain_text & (F.col("length") > split_bytes)
+    found = file_headers(spark, paths).groupBy("header", "problem", large.alias("large"))
+    found = found.agg(F.collect_list("path").alias("paths"))
+    missing = {_plain(p): p for p in paths}
     for row in found.toLocalIterator():
-        for p in row.paths:
-            missing.pop(plain(p), None)
+        # by the names they were given: escapes are not for reading
+        given = [missing.pop(_plain(p), p) for p in row.paths]
         if row.problem:
-            LOG.warning("skipped %d files (%s): %s", len(row.paths), row.problem, row.paths[:5])
+            LOG.warning("skipped %d files (%s): %s", len(given), row.problem, given[:5])
         else:
-            groups[tuple(row.header)] = row.paths
+            groups[tuple(row.header), row.large] = given
     if missing:
         LOG.warning("skipped %d files (empty or unreadable): %s", len(missing), sorted(missing.values()))
     return groups
@@ -133,6 +148,30 @@ def _read_group(
     return reader.schema(own).csv(paths)
 
 
+def _read_groups(
+    spark: SparkSession, paths: list[str], schema: T.StructType, split_bytes: int, wanted: Sequence[str] = ()
+) -> list[DataFrame]:
+    """A frame with ``_file`` for each header that has the wanted columns, and each way to read it."""
+    frames = []
+    for (header, large), group in sorted(_by_header(spark, paths, split_bytes).items()):
+        if not set(wanted) <= set(header):
+            continue
+        if large:
+            scanned, small = ranges.scan_ranges(spark, group)
+            regular = {_plain(r.path): r.returns for r in ranges.regular_files(scanned).collect()}
+            for returns in (False, True):
+                alike = [p for p in group if regular.get(_plain(p)) is returns]
+                if alike:
+                    frames.append(ranges.rows_of(spark, alike, header, schema, returns, scanned, small))
+            group = [p for p in group if _plain(p) not in regular]
+            if group:
+                LOG.warning("%d large files are read whole (quotes within fields): %s", len(group), group[:5])
+        if group:
+            frame = _read_group(spark, header, group, schema)
+            frames.append(frame.withColumn("_file", F.col("_metadata.file_path")))
+    return frames
+
+
 def read_new_csv(
     spark: SparkSession,
     path: str,
@@ -140,6 +179,7 @@ def read_new_csv(
     name_contains: str | None = None,
     schema: T.StructType = schemas.RAW_POSTS,
     with_file: bool = False,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """Rows of CSV files changed after an instant, aligned by column name.
 
@@ -147,7 +187,7 @@ def read_new_csv(
     """
     files = list_files(spark, path, "*.csv", modified_after, name_contains)
     paths = [r.path for r in files.select("path").toLocalIterator()]
-    return read_csv_files(spark, paths, schema, with_file)
+    return read_csv_files(spark, paths, schema, with_file, split_bytes)
 
 
 def read_csv_files(
@@ -155,24 +195,22 @@ def read_csv_files(
     paths: list[str],
     schema: T.StructType = schemas.RAW_POSTS,
     with_file: bool = False,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """Rows of the named CSV files, aligned by column name.
 
     Files of one header are read together and the groups united by name. A file
     without a header, with a repeated column or unreadable is logged and skipped.
+    One above ``split_bytes`` is read by several tasks, with the same rows, if
+    its name ends with ``.csv`` and its quotes stand only around fields.
     """
-    frames = []
-    for header, group in sorted(_by_header(spark, paths).items()):
-        frame = _read_group(spark, header, group, schema)
-        if with_file:
-            frame = frame.withColumn("_file", F.col("_metadata.file_path"))
-        frames.append(frame)
+    frames = _read_groups(spark, paths, schema, split_bytes)
     if not frames:
         return spark.createDataFrame([], schema)
     result = frames[0]
     for frame in frames[1:]:
         result = result.unionByName(frame, allowMissingColumns=True)
-    return result
+    return result if with_file else result.drop("_file")
 
 
 def _subset_formats(spark: SparkSession, directory: str) -> dict[str, str]:
@@ -211,12 +249,8 @@ def read_subsets(
         frames = [spark.read.parquet(r.p) for r in folders.orderBy("p").toLocalIterator()]
         kept = [f.select(*wanted) for f in frames if set(wanted) <= set(f.columns)]
     else:
-        groups = _by_header(spark, [r.path for r in files.toLocalIterator()])
-        kept = [
-            _read_group(spark, header, paths, schema).select(*wanted)
-            for header, paths in sorted(groups.items())
-            if set(wanted) <= set(header)
-        ]
+        paths = [r.path for r in files.toLocalIterator()]
+        kept = [f.select(*wanted) for f in _read_groups(spark, paths, schema, SPLIT_BYTES, wanted)]
     result = kept[0] if kept else spark.createDataFrame([], schema)
     for frame in kept[1:]:
         result = result.unionByName(frame)
