@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -226,11 +227,30 @@ def test_plan_places_every_piece_once(seed):
     assert plan.n_sequences <= 1.02 * lengths.sum() / capacity + 2
 
 
+def encoded(load, texts):
+    return [np.frombuffer(b, dtype="<u4").tolist() for _, b in packing._encoded(pa.array(texts, pa.string()), load)]
+
+
 def test_kept_words_stay_bounded(monkeypatch):
     load = packing.word_encoder(tokenizer_path())
     monkeypatch.setattr(packing, "KEPT_WORDS", 3)
-    monkeypatch.setattr(packing, "KEPT_STEMS", 2)
     monkeypatch.setattr(packing, "LINE", 2)
-    texts = ["one two three four five", "five six seven", "one " + "long" * 30]
+    texts = ["one two three four five", None, "five six seven", "one " + "long" * 30]
     for _ in range(3):
-        assert [np.frombuffer(b, dtype="<u4").tolist() for b in load(texts)] == [encode(t) for t in texts]
+        assert encoded(load, texts) == [encode(t or "") for t in texts]
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    load = packing.word_encoder(tokenizer_path())
+    monkeypatch.setattr(packing, "SLICE_BYTES", 50)
+    texts = [prose(1, 200), "", "one two", "x" * 500, prose(2, 4), "y" * 60 + " z", " " * 300]
+    assert encoded(load, texts) == [encode(t) for t in texts]
+
+
+def test_odd_characters_get_the_tokenizers_ids():
+    load = packing.word_encoder(tokenizer_path())
+    rng = random.Random(8)
+    signs = list("abcdzABZ  \n\t\r\x0b\x0c.,'!\"<|>[]\\-^0159éÉßÿµªº×÷éİŉдж\xa0\u2028\x00\x1c\x85🙂ﬁⅧ²ǅK\u0301\u0308")
+    signs += ["'s", "'t", "'ll", "<|endoftext|>", "<|startoftext|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(25))) for _ in range(8000)]
+    assert encoded(load, texts) == [e.ids for e in tokenizer().encode_batch_fast(texts, add_special_tokens=False)]

@@ -23,10 +23,12 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,18 +37,63 @@ from threadloom.llm.tables import stored
 
 CAPACITY = 2048
 CLOSING_ID = 0
-#: words, and word stems, kept with their ids in a worker
-KEPT_WORDS = 600_000
-KEPT_STEMS = 600_000
-KEPT_LENGTH = 40
-#: texts encoded at a time, and stems put into one line
-SLICE = 64
-LINE = 500
-
-Encoder = Callable[[list[str]], list[bytes]]
-
-#: punctuation that may follow a stem; an apostrophe may begin a piece of its own
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: words and stems, and ids of theirs, that a worker keeps
+KEPT_WORDS = 1_000_000
+KEPT_IDS = 8_000_000
+#: rows of pieces handed on at a time
+ROWS = 4096
+#: bytes of texts encoded at a time; longer ones are encoded in parts
+SLICE_BYTES = 4 << 20
+#: stems put into one line
+LINE = 100
+
+Encoder = Callable[[pa.Array], list[bytes]]
+
+#: letters of a stem, and punctuation that may follow it; an apostrophe may begin a piece of its own
+LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+MARKS = r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
+PLAIN_WORD = f"^(?P<stem>[{LETTERS}]+)(?P<mark>[{MARKS}]*)$"
+
+
+class _Pool:
+    """Token ids of many words, one after the other, each found by its row."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {"": 0}
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.start, self.length = np.zeros(1 << 12, dtype="int64"), np.zeros(1 << 12, dtype="int64")
+        self.used = 0
+
+    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first, n = len(self.rows), len(words)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + n > len(self.start):
+            self.start, self.length = (np.concatenate([c, np.zeros_like(c)]) for c in (self.start, self.length))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[first : first + n] = self.used + np.cumsum(lengths) - lengths
+        self.length[first : first + n] = lengths
+        self.used += len(ids)
+        self.rows.update(zip(words, range(first, first + n)))
+
+    def spelled(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows in order, and where each row's end."""
+        lengths = self.length[rows]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.start[rows] - ends + lengths, lengths) + np.arange(total)], ends
+
+
+def _parts(text: str) -> list[str]:
+    """A text in parts of bounded length, cut at spaces; a longer word stays whole."""
+    parts, at = [], 0
+    while len(text) - at > SLICE_BYTES:
+        cut = text.find(" ", at + SLICE_BYTES)
+        if cut < 0:
+            break
+        parts.append(text[at:cut])
+        at = cut
+    return [*parts, text[at:]]
 
 
 def word_encoder(path: str) -> Encoder:
@@ -57,6 +104,7 @@ def word_encoder(path: str) -> Encoder:
     or line break then ends a word for certain, and a word or stem met before
     need not be encoded again. New stems go through the tokenizer by the line;
     its word-end mark tells them apart. Any other word is encoded by itself.
+    Words are told apart, and their ids put together, by columns.
     """
     from tokenizers import Tokenizer
 
@@ -65,56 +113,71 @@ def word_encoder(path: str) -> Encoder:
     ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
     for token, i in vocabulary.items():
         ends[i] = token.endswith("</w>")
-    words: dict[str, bytes] = {}
-    stems: dict[str, bytes] = {}
+    pool = _Pool()
 
     def learn_stems(fresh: list[str]) -> None:
-        for at in range(0, len(fresh), LINE):
-            line = fresh[at : at + LINE]
-            (found,) = tokenizer.encode_batch_fast([" ".join(line)], add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
-            stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-            if len(stops) != len(line):
-                raise ValueError("a stem was not encoded as one piece")
-            raw = ids.tobytes()
-            stems.update(zip(line, map(raw.__getitem__, map(slice, [0, *stops], stops))))
-
-    def learn(fresh: set[str]) -> None:
-        plain, others, wanted, marks = [], [], set(), set()
-        for w in fresh:
-            stem = w.rstrip(MARKS)
-            if stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ"):
-                mark = w[len(stem) :]
-                stem = stem.lower()
-                plain.append((w, stem, mark))
-                wanted.add(stem)
-                marks.add(mark)
-            else:
-                others.append(w)
-        learn_stems([s for s in wanted if s not in stems])
-        others += marks.difference(words)
-        found = tokenizer.encode_batch_fast(others, add_special_tokens=False)
-        words.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(others, found))
-        words.update([(w, stems[stem] + words[mark]) for w, stem, mark in plain])
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = set().union(*split).difference(words)
-        learn(fresh)
-        known = words.__getitem__
-        ids = [b"".join(map(known, own)) for own in split]
-        for w in [w for w in fresh if len(w) > KEPT_LENGTH]:
-            words.pop(w)
-            stems.pop(w.lower(), None)
-        if len(words) > KEPT_WORDS:
-            words.clear()
-        if len(stems) > KEPT_STEMS:
-            stems.clear()
-        return ids
+        lines = [" ".join(fresh[at : at + LINE]) for at in range(0, len(fresh), LINE)]
+        found = [e.ids for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), dtype="<u4")
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) != len(fresh):
+            raise ValueError("a stem was not encoded as one piece")
+        pool.add(fresh, ids, np.diff(stops, prepend=0))
+
+    def learn_others(fresh: list[str]) -> None:
+        found = [e.ids for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        lengths = np.array([len(ids) for ids in found], dtype="int64")
+        pool.add(fresh, np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(lengths.sum())), lengths)
+
+    def rows_of(words: pa.Array, learn: Callable[[list[str]], None]) -> np.ndarray:
+        """Rows of words, each distinct one looked up once."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = [w for w in distinct if w not in pool.rows]
+        if fresh:
+            learn(fresh)
+        rows = np.fromiter(map(pool.rows.__getitem__, distinct), dtype="int64", count=len(distinct))
+        return rows[coded.indices.to_numpy()]
+
+    def encode(texts: pa.Array) -> list[bytes]:
+        if len(pool.rows) > KEPT_WORDS or pool.used > KEPT_IDS:
+            pool.__init__()
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        found = pc.extract_regex(words, PLAIN_WORD)
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        stem, mark = np.zeros(len(words), dtype="int64"), np.zeros(len(words), dtype="int64")
+        parts = found.filter(pa.array(plain))
+        stem[plain] = rows_of(pc.utf8_lower(parts.field("stem")), learn_stems)
+        mark[plain] = rows_of(parts.field("mark"), learn_others)
+        stem[~plain] = rows_of(words.filter(pa.array(~plain)), learn_others)
+        which = coded.indices.to_numpy()
+        ids, stops = pool.spelled(np.stack([stem[which], mark[which]], axis=1).ravel())
+        # two rows for each word
+        bounds = np.concatenate([[0], stops])[2 * split.offsets.to_numpy()]
+        raw, at = ids.tobytes(), (4 * bounds).tolist()
+        return [raw[i:j] for i, j in zip(at, at[1:])]
 
     return encode
 
 
+def _encoded(texts: pa.Array, encode: Encoder) -> Iterator[tuple[int, bytes]]:
+    """(place, ids) of each text, some megabytes at a time; a null text is empty."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64")
+    first = 0
+    while first < len(texts):
+        many = int(np.searchsorted(np.cumsum(sizes[first:]), SLICE_BYTES, side="right"))
+        if many:
+            rows = pc.fill_null(texts.slice(first, many), "")
+            yield from enumerate(encode(rows), first)
+        else:
+            many = 1
+            parts = _parts(texts[first].as_py())
+            yield first, b"".join(encode(pa.array([p], pa.large_string()))[0] for p in parts)
+        first += many
+
+
 def pieces(
     docs: DataFrame,
     load: Callable[[], Encoder],
@@ -141,6 +204,11 @@ def pieces(
     )
     closing = int(CLOSING_ID).to_bytes(4, "little")
 
+    def rows(batch: pa.RecordBatch, taken: list[int], out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken)), *columns], names=schema.names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -148,33 +216,22 @@ def pieces(
         ranks: dict[int, int] = {}
         encode = None
         for batch in batches:
-            for first in range(0, batch.num_rows, SLICE):
-                rows = batch.slice(first, SLICE)
-                encode = encode or load()
-                taken, out = [], []
-                texts = [t or "" for t in rows.column(1).to_pylist()]
-                for i, ids in enumerate(encode(texts)):
-                    ids += closing
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        length = len(own) // 4
-                        rank = ranks.get(length, 0)
-                        ranks[length] = rank + 1
-                        taken.append(i)
-                        out.append((piece, at // 4, length, zlib.crc32(own), part, rank))
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column(0).take(pa.array(taken)),
-                        pa.array(columns[0], pa.int32()),
-                        pa.array(columns[1], pa.int64()),
-                        pa.array(columns[2], pa.int64()),
-                        pa.array(columns[3], pa.int64()),
-                        pa.array(columns[4], pa.int32()),
-                        pa.array(columns[5], pa.int64()),
-                    ],
-                    names=["key", "piece", "start", "length", "ids_crc32", "part", "rank"],
-                )
+            encode = encode or load()
+            taken, out = [], []
+            for i, ids in _encoded(batch.column(1), encode):
+                ids += closing
+                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    own = ids[at : at + 4 * capacity]
+                    length = len(own) // 4
+                    rank = ranks.get(length, 0)
+                    ranks[length] = rank + 1
+                    taken.append(i)
+                    out.append((piece, at // 4, length, zlib.crc32(own), part, rank))
+                if len(out) >= ROWS:
+                    yield rows(batch, taken, out)
+                    taken, out = [], []
+            if out:
+                yield rows(batch, taken, out)
 
     return own.mapInArrow(cut, schema)
 
