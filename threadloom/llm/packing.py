@@ -38,14 +38,15 @@ from threadloom.llm.tables import stored
 CAPACITY = 2048
 CLOSING_ID = 0
 #: words and stems, and ids of theirs, that a worker keeps
-KEPT_WORDS = 1_000_000
-KEPT_IDS = 8_000_000
+KEPT_WORDS = 300_000
+KEPT_IDS = 3_000_000
 #: rows of pieces handed on at a time
 ROWS = 4096
 #: bytes of texts encoded at a time; longer ones are encoded in parts
-SLICE_BYTES = 4 << 20
-#: stems put into one line
+SLICE_BYTES = 2 << 20
+#: stems put into one line, and words and stems taught at a time: the tokenizer's answers are large
 LINE = 100
+TAUGHT = 5000
 
 Encoder = Callable[[pa.Array], list[bytes]]
 
@@ -134,8 +135,8 @@ def word_encoder(path: str) -> Encoder:
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         fresh = [w for w in distinct if w not in pool.rows]
-        if fresh:
-            learn(fresh)
+        for at in range(0, len(fresh), TAUGHT):
+            learn(fresh[at : at + TAUGHT])
         rows = np.fromiter(map(pool.rows.__getitem__, distinct), dtype="int64", count=len(distinct))
         return rows[coded.indices.to_numpy()]
 
