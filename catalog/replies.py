@@ -10,6 +10,7 @@ from catalog.base import (
 from catalog.cleaning import VALID_SQL, clean_chunk_sql, framed_sql, packed_sql
 from catalog.retrieval import threads_sql
 from threadloom.operators import models, replies as R, summary as S
+from threadloom.operators.ledger import REPLIES as ANSWERS, complete_once, question_key, read_ledger
 from threadloom.plans.knowledge import (
     CHUNK_PROMPT, SUMMARY_SYSTEM_PROMPT, SYSTEM_PROMPT, Models, run_queries,
 )
@@ -38,6 +39,26 @@ def llm_complete(spark, sf):
     return done.select("doc_id", "reply", F.col("reply_model").alias("model"), "error")
 
 
+def llm_ledger(spark, sf):
+    """English documents first, then all through the same ledger; and how often each prompt is entered."""
+
+    def provider(system: str, user: str) -> str:
+        if user.startswith("de:"):
+            raise ValueError("no German")
+        return stub_complete(system, user)
+
+    d = read(spark, sf, "documents").select(
+        "doc_id", "lang", F.lit("be brief").alias("system"), F.concat_ws(":", "lang", "text").alias("user")
+    )
+    path = scratch_path(spark, "answers")
+    for asked in (d.where("lang = 'en'"), d):
+        done = complete_once(asked, "system", "user", [("stub", provider)], path)
+    key = question_key([F.col("system"), F.col("user")], ["stub"], {})
+    entries = read_ledger(spark, path, ANSWERS).groupBy("_key").agg(F.count(F.lit(1)).alias("entries"))
+    counted = done.withColumn("_key", key).join(entries, "_key")
+    return counted.select("doc_id", "reply", F.col("reply_model").alias("model"), "error", "entries")
+
+
 def llm_render(spark, sf):
     template = "Q {query} in {place}: {content} / {query} {unknown}"
     d = read(spark, sf, "documents")
@@ -241,6 +262,12 @@ ORACLES = {
           || 'Key claims detected:' || chr(10) || '- 8 characters of system prompt' END AS reply,
         CASE WHEN lang <> 'de' THEN 'stub' END AS model,
         CASE WHEN lang = 'de' THEN 'ValueError: no German' END AS error FROM documents""",
+    "llm_ledger": """SELECT doc_id, CASE WHEN lang <> 'de' THEN '(t, prompt_length, '
+          || (length(text) + length(lang) + 1) || ', 0.9)' || chr(10) || '<signal_context>' || chr(10)
+          || 'Key claims detected:' || chr(10) || '- 8 characters of system prompt' END AS reply,
+        CASE WHEN lang <> 'de' THEN 'stub' END AS model,
+        CASE WHEN lang = 'de' THEN 'ValueError: no German' END AS error,
+        CAST(1 AS BIGINT) AS entries FROM documents""",
     "llm_render": """SELECT doc_id, 'Q {content}' || source || ' in ' || lang || ': ' || text
         || ' / {content}' || source || ' {unknown}' AS prompt FROM documents""",
     "llm_sections": f"""WITH {_PARTS} SELECT doc_id, analysis, context, CAST(sections AS INT) AS sections

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from catalog.base import read, shown, sql_embed, sql_shown, stub_embed
 from threadloom.operators import similarity
+from threadloom.operators.ledger import embed_once
 from threadloom.operators.models import embed_texts
+from threadloom.session import scratch_path
 
 
 def _first_vector(vectors):
@@ -58,8 +60,19 @@ def emb_texts(spark, sf):
     )
 
 
+def emb_ledger(spark, sf):
+    """Texts of labelled documents first, then all, and those without a text, through one ledger."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    labelled = docs.join(read(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    missing = docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    path = scratch_path(spark, "vectors")
+    for asked in (labelled, docs.unionByName(missing)):
+        done = embed_once(asked, "text", [("stub", stub_embed)], path)
+    return done.select("doc_id", shown("embedding").alias("vector"), F.col("embedding_model").alias("model"))
+
+
 QUERIES = {
-    f.__name__: f for f in (sim_score, sim_top, sim_top_threads, sim_many_queries, emb_texts)
+    f.__name__: f for f in (sim_score, sim_top, sim_top_threads, sim_many_queries, emb_texts, emb_ledger)
 }
 
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -84,6 +97,8 @@ ORACLES = {
     "sim_many_queries": f"""WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_COS} AS s
           FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0), {threads_sql(5, 'query_id', 'pairs')}
         SELECT query_id, vec_id, label, round(round(s, 9), 6) AS similarity, rank FROM ranked WHERE rank <= 5""",
+    "emb_ledger": f"""SELECT doc_id, {sql_shown(sql_embed('text'))} AS vector, 'stub' AS model FROM documents
+        UNION ALL SELECT -doc_id - 1, NULL, NULL FROM documents""",
     "emb_texts": f"""SELECT doc_id, {sql_shown(sql_embed('text'))} AS vector, 'stub' AS model,
         CAST(greatest(1, length(text) // 4) AS BIGINT) AS tokens FROM documents""",
 }

@@ -22,6 +22,8 @@ from threadloom.sizing import spread
 Embed = Callable[[list[str]], Sequence[Sequence[float]]]
 Complete = Callable[[str, str], str]
 
+ADDED = ("embedding", "embedding_model", "embedding_usage")
+
 #: prompts that a task answers at a time, and hands on, per worker
 PROMPTS_PER_WORKER = 8
 
@@ -56,11 +58,13 @@ def embed_texts(
     batch_size: int = 100,
     attempts: int = 3,
     wait: float = 1.0,
+    dealt: bool = False,
 ) -> DataFrame:
     """Add ``embedding``, ``embedding_model`` and ``embedding_usage``.
 
-    One call per ``batch_size`` texts. A batch no provider can embed fails the
-    task, and after Spark's own retries the job.
+    One call per ``batch_size`` texts. A null text is not sent and gets nulls.
+    A batch no provider can embed fails the task, and after Spark's own retries
+    the job. ``dealt`` says that the rows are in tasks of the caller's choice.
     """
     schema = T.StructType(
         df.schema.fields
@@ -76,18 +80,19 @@ def embed_texts(
         for frame in frames:
             for at in range(0, len(frame), batch_size):
                 part = frame.iloc[at : at + batch_size]
-                texts = part[text_col].tolist()
-                name, vectors = _first_answer(providers, (texts,), attempts, wait)
+                given = part[text_col].notna().tolist()
+                texts = part[text_col].dropna().tolist()
+                name, vectors = _first_answer(providers, (texts,), attempts, wait) if texts else (None, [])
                 if len(vectors) != len(texts):
                     raise ValueError(f"{len(texts)} texts, {len(vectors)} vectors")
-                usage = [{"prompt_tokens": max(1, len(t) // 4)} for t in texts]
-                yield part.assign(
-                    embedding=[list(map(float, v)) for v in vectors],
-                    embedding_model=name,
-                    embedding_usage=usage,
+                found = (
+                    (list(map(float, v)), name, {"prompt_tokens": max(1, len(t) // 4)})
+                    for t, v in zip(texts, vectors)
                 )
+                columns = zip(*[next(found) if g else (None, None, None) for g in given])
+                yield part.assign(**dict(zip(ADDED, columns)))
 
-    return spread(df).mapInPandas(run, schema)
+    return (df if dealt else spread(df)).mapInPandas(run, schema)
 
 
 def complete_prompts(
@@ -98,11 +103,13 @@ def complete_prompts(
     attempts: int = 1,
     wait: float = 1.0,
     max_workers: int = 8,
+    dealt: bool = False,
 ) -> DataFrame:
     """Add ``reply``, ``reply_model`` and ``error``; a failed prompt keeps its row.
 
     Each task makes up to ``max_workers`` calls at once. Rows keep their order
-    and are handed on in small slices.
+    and are handed on in small slices. ``dealt`` says that they are in tasks of
+    the caller's choice.
     """
     schema = T.StructType(
         df.schema.fields
@@ -134,7 +141,7 @@ def complete_prompts(
                         reply=list(replies), reply_model=list(names), error=list(errors)
                     )
 
-    return spread(df).mapInPandas(run, schema)
+    return (df if dealt else spread(df)).mapInPandas(run, schema)
 
 
 def render(template: str, **values: Column) -> Column:

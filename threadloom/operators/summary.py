@@ -6,7 +6,7 @@ Their number is bounded by retrieval: k threads' chunks per query.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -143,6 +143,7 @@ def final_summary(
     system_prompt: str,
     user_prompt: str,
     fallback_length: int | None = None,
+    complete: Callable[..., DataFrame] = complete_prompts,
 ) -> DataFrame:
     """One model call per row of (query, start_date, end_date, combined_summary,
     combined_context, structured_results, event_map), giving ``summary``.
@@ -150,6 +151,7 @@ def final_summary(
     A blank reply falls back to the structured results, a failed call to the
     combined analyses, cut to ``fallback_length`` if given; no analyses, no
     summary. Replies are stored, so that reading the result asks no model again.
+    ``complete`` stands in for ``complete_prompts``, say with a ledger.
     """
     analyses = F.col("combined_summary")
     if fallback_length is not None:
@@ -173,7 +175,7 @@ def final_summary(
     )
     asked = df.withColumns({"_system": F.lit(system_prompt), "_user": user})
     worth = ~is_blank(F.col("combined_summary"))
-    answered = materialise(complete_prompts(asked.filter(worth), "_system", "_user", providers))
+    answered = materialise(complete(asked.filter(worth), "_system", "_user", providers))
     reply = F.when(
         F.col("error").isNotNull(),
         fallback_summary(

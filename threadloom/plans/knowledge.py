@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,14 @@ from threadloom.functions.hashing import row_hash
 from threadloom.functions.tokens import TokenCounter, estimate_counts
 from threadloom.operators import summary as S
 from threadloom.operators.chunking import chunk_posts
+from threadloom.operators.ledger import complete_once, embed_once
 from threadloom.operators.models import Complete, Embed, complete_prompts, embed_texts, render
 from threadloom.operators.replies import parse_replies
 from threadloom.operators.similarity import top_threads
 from threadloom.operators.times import temporal_extent
 from threadloom.session import materialise
 from threadloom.sources.readers import read_knowledge_base, read_subsets
-from threadloom.sources.writers import build_if_absent
+from threadloom.sources.writers import build_if_absent, has_rows
 
 SYSTEM_PROMPT = (
     "You read chunks of message-board posts and report early signals. First give lines of "
@@ -35,7 +37,12 @@ SUMMARY_PROMPT = (
 
 @dataclass(frozen=True)
 class Models:
-    """Functions that stand for models, in order of preference, and their prompts."""
+    """Functions that stand for models, in order of preference, and their prompts.
+
+    With a ``ledger``, a folder, what they answer is kept there and never asked
+    for again, by this job or a later one; ``parameters`` tell answers apart
+    that the same models give under other settings.
+    """
 
     embed: Sequence[tuple[str, Embed]]
     complete: Sequence[tuple[str, Complete]]
@@ -44,6 +51,13 @@ class Models:
     chunk_prompt: str = CHUNK_PROMPT
     summary_system_prompt: str = SUMMARY_SYSTEM_PROMPT
     summary_prompt: str = SUMMARY_PROMPT
+    ledger: str | None = None
+    parameters: dict[str, object] = field(default_factory=dict)
+
+    def completer(self) -> Callable[..., DataFrame]:
+        if self.ledger is None:
+            return complete_prompts
+        return partial(complete_once, ledger=f"{self.ledger}/replies", parameters=self.parameters)
 
 
 def build_knowledge_base(
@@ -52,10 +66,22 @@ def build_knowledge_base(
     knowledge_base: str,
     embed: Sequence[tuple[str, Embed]],
     batch_size: int = 100,
+    ledger: str | None = None,
+    parameters: dict[str, object] | None = None,
 ) -> bool:
-    """Embed all subset posts into a Parquet table, unless it is there already."""
+    """Embed all subset posts into a Parquet table, unless it is there already.
+
+    A post without a text gets no vector. With a ``ledger``, a build that broke
+    off asks only for what is missing.
+    """
+    if ledger is not None and has_rows(spark, knowledge_base):
+        return False
     posts = read_subsets(spark, subsets)
-    embedded = embed_texts(posts, "text_clean", embed, batch_size)
+    if ledger is None:
+        embedded = embed_texts(posts, "text_clean", embed, batch_size)
+    else:
+        store = f"{ledger}/vectors"
+        embedded = embed_once(posts, "text_clean", embed, store, parameters or {}, batch_size)
     table = embedded.select(
         "thread_id",
         F.col("posted_date_time").try_cast("timestamp").alias("posted_date_time"),
@@ -76,7 +102,7 @@ def analyse_chunks(chunks: DataFrame, models: Models) -> DataFrame:
             "_user": render(models.chunk_prompt, content=F.col("text")),
         }
     )
-    replies = complete_prompts(prompted, "_system", "_user", models.complete)
+    replies = models.completer()(prompted, "_system", "_user", models.complete)
     return parse_replies(materialise(replies.drop("_system", "_user")))
 
 
@@ -98,7 +124,7 @@ def summarise(
     full = full.fillna("{}", ["event_map"])
     providers = models.summarize or models.complete
     return S.final_summary(
-        full, providers, models.summary_system_prompt, models.summary_prompt
+        full, providers, models.summary_system_prompt, models.summary_prompt, complete=models.completer()
     )
 
 
@@ -134,7 +160,9 @@ def run_knowledge(
     batch_size: int = 100,
 ) -> tuple[DataFrame, DataFrame]:
     """Build the knowledge base where needed, then answer one query from it."""
-    build_knowledge_base(spark, subsets, knowledge_base, models.embed, batch_size)
+    build_knowledge_base(
+        spark, subsets, knowledge_base, models.embed, batch_size, models.ledger, models.parameters
+    )
     kb = read_knowledge_base(spark, knowledge_base)
     kb = kb.withColumn("id", row_hash(["thread_id", "posted_date_time", "text"], 0))
     queries = spark.createDataFrame([(0, query)], "query_id long, query string")
