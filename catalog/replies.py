@@ -164,7 +164,7 @@ def sum_run_queries(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        llm_complete, llm_render, llm_sections, llm_metric_rows, llm_metrics, llm_context,
+        llm_complete, llm_ledger, llm_render, llm_sections, llm_metric_rows, llm_metrics, llm_context,
         llm_sizes, sum_context_block, sum_combine, sum_event_names, sum_structured, sum_fallback,
         sum_run_queries,
     )
