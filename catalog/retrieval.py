@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import read, shown, sql_embed, sql_shown, stub_embed
 from threadloom.operators import similarity
+from threadloom.operators.cells import build_index, top_threads_in_cells
 from threadloom.operators.ledger import embed_once
 from threadloom.operators.models import embed_texts
 from threadloom.session import scratch_path
@@ -44,6 +45,17 @@ def sim_many_queries(spark, sf):
     )
 
 
+def sim_cells(spark, sf):
+    """The same queries, each the best row of its three best threads, from an index of cells."""
+    v = read(spark, sf, "embeddings")
+    queries = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = build_index(v, scratch_path(spark, "cells"), "vec_id", "label")
+    found, _ = top_threads_in_cells(v, index, queries, 3, ["label"])
+    return found.select(
+        "query_id", "vec_id", "label", F.round("similarity", 6).alias("similarity"), "rank"
+    )
+
+
 def emb_texts(spark, sf):
     """Batched embedding with a provider that always fails before one that works."""
 
@@ -72,7 +84,8 @@ def emb_ledger(spark, sf):
 
 
 QUERIES = {
-    f.__name__: f for f in (sim_score, sim_top, sim_top_threads, sim_many_queries, emb_texts, emb_ledger)
+    f.__name__: f
+    for f in (sim_score, sim_top, sim_top_threads, sim_many_queries, sim_cells, emb_texts, emb_ledger)
 }
 
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -97,6 +110,9 @@ ORACLES = {
     "sim_many_queries": f"""WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_COS} AS s
           FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0), {threads_sql(5, 'query_id', 'pairs')}
         SELECT query_id, vec_id, label, round(round(s, 9), 6) AS similarity, rank FROM ranked WHERE rank <= 5""",
+    "sim_cells": f"""WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_COS} AS s
+          FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0), {threads_sql(3, 'query_id', 'pairs')}
+        SELECT query_id, vec_id, label, round(round(s, 9), 6) AS similarity, rank FROM ranked WHERE rank <= 3""",
     "emb_ledger": f"""SELECT doc_id, {sql_shown(sql_embed('text'))} AS vector, 'stub' AS model FROM documents
         UNION ALL SELECT -doc_id - 1, NULL, NULL FROM documents""",
     "emb_texts": f"""SELECT doc_id, {sql_shown(sql_embed('text'))} AS vector, 'stub' AS model,

@@ -161,7 +161,11 @@ def _top_rows(
     )
     narrow = df.select(key, thread_col, vec_col)
     parts = narrow.mapInArrow(_part_best(ids, queries, n, by_thread), schema)
-    parts = parts.withColumn("_task", F.spark_partition_id())
+    return _merged(parts.withColumn("_task", F.spark_partition_id()), n, by_thread)
+
+
+def _merged(parts: DataFrame, n: int, by_thread: bool) -> DataFrame:
+    """The best ``n`` rows, or threads, of what tasks found, with ``similarity`` and ``rank``."""
     best = [F.desc("rank_by"), F.asc("key")]
     if by_thread:
         # a thread's best row over all tasks: counted off before rows meet
@@ -195,14 +199,14 @@ def _one(query: Sequence[float]) -> tuple[pa.Array, np.ndarray]:
 
 
 def _blocks(
-    queries: DataFrame, query_id: str, vec_col: str, n: int
+    queries: DataFrame, query_id: str, vec_col: str, n: int, most: int = BLOCK_NUMBERS
 ) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Query ids and vectors in blocks of bounded size, read one block at a time."""
     given = queries.select(query_id, vec_col).filter(F.col(vec_col).isNotNull())
     first = given.first()
     if first is None:
         return
-    size = max(1, min(BLOCK_NUMBERS // max(1, len(first[1])), BLOCK_BEST // n))
+    size = max(1, min(BLOCK_NUMBERS // max(1, len(first[1])), BLOCK_BEST // n, most))
     kind = to_arrow_type(queries.schema[query_id].dataType)
     rows = given.toLocalIterator()
     while block := list(islice(rows, size)):
