@@ -162,6 +162,17 @@ def test_shards_of_one_key_with_most_rows(spark):
     assert sharding.assign(empty(spark), 1000).count() == 0
 
 
+def test_shards_of_documents_above_the_limit(spark):
+    """Each is a shard of its own: without a key, or with the same one."""
+    texts = [(None, "a" * 50), (None, "b" * 60), (5, "c" * 40), (5, "d" * 45), (5, "d" * 45), (6, "e" * 90), (None, "f" * 3), (5, "g" * 3)]
+    rows = sharding.assign(documents(spark, texts).repartition(3), 30).collect()
+    assert len(rows) == len(texts)
+    sizes = shards_hold(rows, 30)
+    alone = [r for r in rows if r["n_bytes"] > 30]
+    assert len({r["shard"] for r in alone}) == len(alone) == 6
+    assert all(r["shard_docs"] == 1 and r["shard_bytes"] == r["n_bytes"] for r in alone) and None not in sizes
+
+
 @functools.cache
 def tokenizer():
     from tokenizers import Tokenizer

@@ -9,11 +9,12 @@ the documents by equality.
 
 Documents whose whole hashes agree cannot be told apart by more bits. If their
 bucket is still too large, it becomes a chain of pages that each keep the
-limit. A single document above the limit is a shard of its own.
+limit. A single document above the limit is a shard of its own, whatever its key.
 
 Defined results: null text has no bytes, a null key hashes as the empty string;
-repeated rows are placed like any other; an empty table gives an empty result;
-other columns are not read.
+repeated rows and keys are placed like any other, each above the limit in a
+shard of its own; an empty table gives an empty result; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -89,20 +90,37 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     return placed.withColumn("page", page.cast("bigint"))
 
 
+def _alone(rows: DataFrame) -> DataFrame:
+    """Documents above the limit, numbered from 0 among those of one key, to tell their shards apart.
+
+    A number is a count within a task on top of those of the tasks before.
+    """
+    digest = F.sha2(F.coalesce(F.col("key").cast("string"), F.lit("")), 256)
+    rows = rows.withColumns({"digest": digest, "part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    rows = stored(rows, "alone")
+    within = F.row_number().over(Window.partitionBy("digest", "part").orderBy("at")) - 1
+    counts = rows.groupBy("digest", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("digest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("digest", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.withColumn("within", within).join(base, ["digest", "part"]).withColumn("number", F.col("base") + F.col("within"))
+
+
 def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``key``, ``n_bytes``, ``shard``, ``depth``, ``shard_bytes``, ``shard_docs``.
 
-    ``shard`` is the bucket's bits, with ``-page`` for a chain and ``-alone``
-    for a document above the limit.
+    ``shard`` is the bucket's bits, with ``-page`` for a chain and ``-alone``,
+    the key's digest and, among documents of one key, a number for a document
+    above the limit.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
     rows = docs.select(F.col(key).alias("key"), size.alias("n_bytes"), key_hash(F.col(key)).alias("h"))
     rows = stored(rows, "sizes")
     columns = ["key", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs"]
-    alone = rows.where(F.col("n_bytes") > limit).select(
+    number = F.when(F.col("number") > 0, F.concat(F.lit("-"), "number")).otherwise("")
+    alone = _alone(rows.where(F.col("n_bytes") > limit)).select(
         "key",
         "n_bytes",
-        F.concat(_bits(F.col("h"), F.lit(HASH_BITS)), F.lit("-alone-"), F.sha2(F.col("key").cast("string"), 256)).alias("shard"),
+        F.concat(_bits(F.col("h"), F.lit(HASH_BITS)), F.lit("-alone-"), "digest", number).alias("shard"),
         F.lit(HASH_BITS).alias("depth"),
         F.col("n_bytes").alias("shard_bytes"),
         F.lit(1).cast("bigint").alias("shard_docs"),
