@@ -210,6 +210,21 @@ def test_secrets_by_hand_and_ledger(spark, tmp_path):
     assert "hunter22" not in str(spark.read.parquet(ledger).collect())
 
 
+def test_a_text_of_many_paths_is_scanned_once_through_a_filled_ledger(spark, tmp_path):
+    ledger, hot = str(tmp_path / "ledger"), "token = hotsecret1 " + prose(1, 30)
+    rows = [(i, f"password: abcdef{i}") for i in range(60)] + [(100 + i, hot) for i in range(40)]
+    secrets.scan(documents(spark, rows[:30]), ledger).count()
+    got = secrets.scan(documents(spark, rows).repartition(7), ledger).collect()
+    alone = secrets.scan(documents(spark, rows), str(tmp_path / "other")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, alone)) and len(got) == 100
+    assert all(len(r["spans"]) == 1 for r in got)
+    entries = spark.read.parquet(ledger).groupBy("blob").count()
+    assert entries.count() == 61 and entries.where("count > 1").count() == 0
+    # what is joined with the ledger are distinct texts: none is sent twice by a task
+    plan = secrets.unseen_blobs(documents(spark, rows), ledger)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate", plan.index("Join"))
+
+
 def test_further_secrets_and_redaction(spark):
     pem = "-----BEGIN RSA PRIVATE KEY-----\nAbc+/=\nxyz\n-----END RSA PRIVATE KEY-----"
     text = f"é ghp_{'a1' * 18} and {pem} xoxb-12345678901 end"

@@ -132,23 +132,28 @@ def find(text: Column, rules: tuple[Rule, ...], todo: Column | None = None) -> C
     return F.concat(*[one(rank, rule) for rank, rule in enumerate(rules)])
 
 
-def update_ledger(
+def unseen_blobs(
     versions: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES
-) -> None:
-    """Scan all unseen pairs of blob and rule version and append them to the ledger."""
+) -> DataFrame:
+    """``blob, text, todo``: distinct texts with the rule versions they were not scanned by."""
     spark = versions.sparkSession
     wanted = F.array(*[F.lit(r.version) for r in rules])
     blobs = versions.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    blobs = blobs.withColumn("blob", blob_name(F.col("text")))
+    # before the join, so that a text that many paths hold is sent once by each task
+    blobs = blobs.withColumn("blob", blob_name(F.col("text"))).dropDuplicates(["blob"])
     seen = read_ledger(spark, ledger)
     if seen is None:
-        unseen = blobs.dropDuplicates(["blob"]).withColumn("todo", wanted)
-    else:
-        done = seen.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("done"))
-        todo = F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>")))
-        unseen = blobs.join(done, "blob", "left").withColumn("todo", todo)
-        unseen = unseen.where(F.size("todo") > 0).dropDuplicates(["blob"])
-    scanned = unseen.select(
+        return blobs.withColumn("todo", wanted)
+    done = seen.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("done"))
+    todo = F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>")))
+    return blobs.join(done, "blob", "left").withColumn("todo", todo).where(F.size("todo") > 0)
+
+
+def update_ledger(
+    versions: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES
+) -> None:
+    """Scan all unseen pairs of blob and rule version and append them to the ledger."""
+    scanned = unseen_blobs(versions, ledger, text, rules).select(
         "blob",
         F.col("todo").alias("rules"),
         let(F.col("text"), lambda t: find(t, rules, F.col("todo"))).alias("found"),
