@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.labelled import sample_keys
+from threadloom.llm.labelled import sample_keys, sampled_texts
 
 #: bounds of the training sample
 POSITIVES = 8_000
@@ -207,9 +207,8 @@ def fit(
     trusted = sample_keys(positives, key, max_positives, seed).withColumn("p", F.lit(True))
     any_kind = sample_keys(docs, key, max_unlabelled, seed + 1).withColumn("u", F.lit(True))
     roles = trusted.join(any_kind, "key", "full")  # bounded by the two sample sizes
-    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    picked = own.join(F.broadcast(roles), "key").select("key", "p", "u", features(F.col("text")).alias("x"))
-    rows = picked.toPandas().drop_duplicates("key").sort_values("key")
+    picked = sampled_texts(docs, key, text, roles).select("key", "p", "u", features(F.col("text")).alias("x"))
+    rows = picked.toPandas().sort_values("key")
     if rows.empty or not rows["p"].any():
         return None
     x = np.array(rows["x"].tolist())

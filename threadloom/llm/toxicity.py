@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.labelled import sample_keys
+from threadloom.llm.labelled import sample_keys, sampled_texts
 
 #: bounds of the training sample
 SAMPLE = 4_000
@@ -161,7 +161,6 @@ def fit(
     """Fits on at most ``size`` documents with a label of 0 or 1."""
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("y IN (0, 1)")
     picked = sample_keys(known, "key", size, seed).join(known, "key").groupBy("key").agg(F.max("y").alias("y"))
-    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     @F.pandas_udf("struct<ids:binary,lengths:binary>")
     def bag(texts: pd.Series) -> pd.DataFrame:
@@ -172,9 +171,8 @@ def fit(
             ids.append(np.array([i for f in found for i in f], dtype="<i4").tobytes())
         return pd.DataFrame({"ids": ids, "lengths": lengths})
 
-    # a bounded number of keys and labels
-    rows = own.join(F.broadcast(picked), "key").select("key", "y", bag("text").alias("b"))
-    rows = rows.select("key", "y", "b.ids", "b.lengths").toPandas().drop_duplicates("key").sort_values("key")
+    rows = sampled_texts(docs, key, text, picked).select("key", "y", bag("text").alias("b"))
+    rows = rows.select("key", "y", "b.ids", "b.lengths").toPandas().sort_values("key")
     if rows.empty or not rows["y"].any():
         return None
     lengths = [np.frombuffer(b, dtype="<i4") for b in rows["lengths"]]
