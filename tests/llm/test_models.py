@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import documents, empty, prose, with_clashes
 from threadloom.llm import html_extract, html_model, quality_model, toxicity
 from threadloom.llm.html_blocks import blocks
-from threadloom.llm.labelled import fold
+from threadloom.llm.labelled import fold, sampled_texts
 from threadloom.llm.model_queries import op1_main_text, op2_quality, op4_toxicity
 
 SF_DIR = "/root/testdata/sf0.1"
@@ -40,6 +41,9 @@ def test_blocks_of_a_broken_page():
         ("<p>a<svg><title>t</title><svg><text>no</text></svg><foreignObject><div>no</div></foreignObject>no</svg> b", ["a b"]),
         ("<svg><path d='M0'><p>one</p><svg><text>no</text></svg><p>two", ["one", "two"]),
         ("<script>no</script ><style>no</style><template><p>no</template>one", ["one"]),
+        ("<p>one <noscript>Please enable <b>JavaScript</b></noscript>two<p>three", ["one two", "three"]),
+        ("<noscript><p>only</p>this</noscript><script>no</script>", ["only", "this"]),
+        ("<p>one<NoScript><p>two", ["one", "two"]),
     ],
 )
 def test_blocks_keep_text_beside_what_is_skipped(inner, want):
@@ -175,3 +179,19 @@ def test_fold_of_a_key(spark):
     rows = spark.createDataFrame([(n,) for n in range(50)] + [(None,)], "k long")
     for r in rows.select("k", fold(F.col("k"), 4).alias("f")).collect():
         assert r["f"] == zlib.crc32(b"" if r["k"] is None else str(r["k"]).encode()) % 4
+
+
+def test_keys_of_many_documents_teach_by_one_text(spark):
+    """A sampled key brings one row, the same however the rows lie."""
+    rows = [(7, f"text {i}") for i in range(500)] + [(7, None), (8, "b"), (None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = spark.createDataFrame([(7, 1), (8, 0), (9, 1)], "key long, y int")
+    least = min((t for i, t in rows if i == 7 and t), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    for parts in (1, 6):
+        got = sampled_texts(docs.repartition(parts), "doc_id", "text", keys)
+        assert got.columns == ["key", "y", "text"]
+        found = {tuple(r) for r in got.collect()}
+        # a null digest comes first
+        assert found == {(7, 1, None), (8, 0, "b")}
+        without = sampled_texts(docs.where("text IS NOT NULL").repartition(parts), "doc_id", "text", keys)
+        assert {tuple(r) for r in without.collect()} == {(7, 1, least), (8, 0, "b")}

@@ -38,6 +38,7 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
+_NO_SCRIPT_END = re.compile(r"</noscript\s*>", re.I)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -67,6 +68,7 @@ def blocks(page: str | None) -> list[Block]:
     scripts, styles, templates, drawings and the head's title are not text.
     Unclosed and misnested tags are closed as browsers close them: by a parent's
     end or a next sibling, a drawing also by an HTML tag that cannot stand in it.
+    What stands in for scripts is text only on a page without any other.
     """
     page = page or ""
     out: list[Block] = []
@@ -93,8 +95,12 @@ def blocks(page: str | None) -> list[Block]:
             parts.clear()
             links.clear()
 
-    at = 0
+    at = skipped = 0
+    stand_ins: list[str] = []
     for m in _TOKEN.finditer(page):
+        if m.start() < skipped:
+            at = max(at, m.end())
+            continue
         if m.start() > at and not drawing:
             parts.append(page[at : m.start()])
             if in_link:
@@ -105,6 +111,10 @@ def blocks(page: str | None) -> list[Block]:
             continue
         name = name.lower()
         closing = m.group(2) or m.group(5)
+        if name == "noscript" and not closing and (end := _NO_SCRIPT_END.search(page, at)):
+            stand_ins.append(page[at : end.start()])
+            at = skipped = end.end()
+            continue
         if drawing or name == "svg":
             # as in browsers, a drawing or a part of it may close itself
             empty = (m.group(4) or m.group(7) or "").endswith("/")
@@ -140,4 +150,4 @@ def blocks(page: str | None) -> list[Block]:
     if at < len(page) and not drawing:
         parts.append(page[at:])
     flush()
-    return out
+    return out if out or not stand_ins else blocks("\n".join(stand_ins))
