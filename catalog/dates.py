@@ -104,6 +104,18 @@ def dt_local_to_utc(spark, sf):
     return e.select("event_id", ntz("ts").alias("ts"))
 
 
+def dt_clock_changes(spark, sf):
+    """The events' hours on a night of either clock change: which are no or two instants, and both readings."""
+    e = read(spark, sf, "events")
+    night = F.when(F.col("event_type") == "click", F.lit("2024-03-10")).otherwise(F.lit("2024-11-03"))
+    local = F.concat_ws(" ", night, F.date_format("ts", "HH:mm:ss")).cast("timestamp")
+    found = times.clock_problems(e.select("event_id", local.alias("local")), "local")
+    found = found.withColumns({"earlier": F.col("local"), "later": F.col("local")})
+    for c in ("earlier", "later"):
+        found = times.localize_to_utc(found, c, on_change=c)
+    return found.select("event_id", "clock_problem", ntz("earlier").alias("earlier"), ntz("later").alias("later"))
+
+
 def dt_shift_hours(spark, sf):
     e = times.shift_back(read(spark, sf, "events"), "ts", hours=5)
     return e.select("event_id", ntz("ts").alias("ts"))
@@ -164,7 +176,7 @@ QUERIES = {
     for f in (
         flt_after_date, flt_date_range, flt_date_range_text, flt_open_range, flt_drop_null_dates,
         flt_min_length, flt_non_blank, flt_valid_chunk, prj_rename, prj_temporal_wrap, dt_parse,
-        dt_local_to_utc, dt_shift_hours, dt_format_dates, dt_add_days, dt_subtract_days,
+        dt_local_to_utc, dt_clock_changes, dt_shift_hours, dt_format_dates, dt_add_days, dt_subtract_days,
         dt_hour_key, dt_to_text, dt_safe_parse, dt_standardize, dt_extent,
     )
 }
@@ -199,6 +211,13 @@ ORACLES = {
         FROM posts""",
     "dt_parse": f"WITH {TIMES} SELECT event_id, {PARSED} AS t FROM times",
     "dt_local_to_utc": "SELECT event_id, ts + INTERVAL 5 HOUR AS ts FROM events",
+    "dt_clock_changes": """WITH l AS (SELECT event_id, event_type = 'click' AS spring, hour(ts) AS h,
+          (CASE WHEN event_type = 'click' THEN DATE '2024-03-10' ELSE DATE '2024-11-03' END)
+          + CAST(date_trunc('second', ts) AS TIME) AS local FROM events),
+        p AS (SELECT *, CASE WHEN spring AND h = 2 THEN 'non-existent' WHEN NOT spring AND h = 1 THEN 'ambiguous' END
+          AS clock_problem, CASE WHEN (spring AND h < 2) OR (NOT spring AND h > 1) THEN 5 ELSE 4 END AS hours FROM l)
+        SELECT event_id, clock_problem, local + to_hours(hours) AS earlier,
+          local + to_hours(hours + CASE WHEN clock_problem IS NULL THEN 0 ELSE 1 END) AS later FROM p""",
     "dt_shift_hours": "SELECT event_id, ts - INTERVAL 5 HOUR AS ts FROM events",
     "dt_format_dates": f"""WITH {TIMES} SELECT event_id, ts AS posted_date_time,
         strftime(s - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS collected_date_time,

@@ -174,7 +174,10 @@ def evaluate_rules(scores: DataFrame, rules: Sequence[tuple] = tuple(DEFAULT_RUL
 def run_lifecycle(
     events: DataFrame, run_col: str = "run_id", status_col: str = "status", ts_col: str = "ts"
 ) -> DataFrame:
-    """Start, end, duration in seconds and last status of each run."""
+    """Start, end, duration in seconds and last status of each run.
+
+    Of events at the same instant, a start comes first, then the order of names.
+    """
     start, end = F.min(ts_col), F.max(ts_col)
     return events.groupBy(run_col).agg(
         start.alias("start_time"),
@@ -182,7 +185,7 @@ def run_lifecycle(
         (
             F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
         ).alias("_micros"),
-        F.max_by(status_col, ts_col).alias("status"),
+        F.max_by(status_col, F.struct(F.col(ts_col), F.col(status_col) != "started", F.col(status_col))).alias("status"),
         F.count(F.lit(1)).alias("events"),
     ).withColumn("duration", F.col("_micros") / 1e6).drop("_micros")
 
@@ -317,10 +320,10 @@ def error_scores(
 
 
 def error_groups(df: DataFrame, type_col: str, message_col: str, ts_col: str) -> DataFrame:
-    """Count, and the latest message and time, per error type."""
+    """Count, and the latest message and time, per error type; of messages at one instant, the greatest."""
     return df.groupBy(type_col).agg(
         F.count(F.lit(1)).alias("errors"),
-        F.max_by(message_col, ts_col).alias("last_message"),
+        F.max_by(message_col, F.struct(ts_col, message_col)).alias("last_message"),
         F.max(ts_col).alias("last_seen"),
     )
 

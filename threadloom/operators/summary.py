@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.strings import is_blank, let, strip
 from threadloom.operators.models import Complete, complete_prompts, render
+from threadloom.operators.ordering import numbered
 from threadloom.operators.replies import split_sections
 from threadloom.session import materialise
+from threadloom.sizing import broadcast_measured
 
 # Headings of the context block, the line that names an event,
 # and the shape of the summary used when the model gives none.
@@ -90,13 +91,16 @@ def number_events(
 ) -> DataFrame:
     """Rows with an event, named and numbered ``event1`` onward in each group.
 
-    A group is one thread, conversation or query: its rows meet in one window.
+    A row's number is its place in the order of all groups less that of its
+    group's first row, so a group of any size is numbered by many tasks.
     """
     named = df.withColumn("event_name", event_name(F.col(reply_col), length))
-    place = F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    return named.filter(F.col("event_name").isNotNull()).withColumn(
-        "event_id", F.concat(F.lit("event"), place)
-    )
+    placed = numbered(named.filter(F.col("event_name").isNotNull()), [*by, *order])
+    firsts = placed.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.min("_place").alias("_first"))
+    same = [placed[c].eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    place = F.col("_place") - F.col("_first") + 1
+    joined = placed.join(broadcast_measured(firsts), same)
+    return joined.select(*named.columns, F.concat(F.lit("event"), place).alias("event_id"))
 
 
 def analysis_section(reply: Column) -> Column:

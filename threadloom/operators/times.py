@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.functions import dates
+from threadloom.functions import dates, zones
 from threadloom.operators.filters import after_date
 
 
@@ -15,8 +15,22 @@ def parse_times(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: dates.to_time(F.col(c)) for c in columns})
 
 
-def localize_to_utc(df: DataFrame, *columns: str, zone: str = "America/New_York") -> DataFrame:
-    return df.withColumns({c: dates.local_to_utc(F.col(c), zone) for c in columns})
+def localize_to_utc(
+    df: DataFrame, *columns: str, zone: str = "America/New_York", on_change: str = "raise"
+) -> DataFrame:
+    """Naive times of a zone to naive UTC.
+
+    ``on_change`` says what becomes of times that clock changes repeat or leave
+    out: ``raise``, ``null``, ``earlier`` or ``later``.
+    """
+    changes = zones.clock_changes(df.sparkSession, zone)
+    return df.withColumns({c: zones.local_to_utc(F.col(c), zone, changes, on_change) for c in columns})
+
+
+def clock_problems(df: DataFrame, column: str, zone: str = "America/New_York") -> DataFrame:
+    """Add ``clock_problem``: ``ambiguous``, ``non-existent`` or null."""
+    changes = zones.clock_changes(df.sparkSession, zone)
+    return df.withColumn("clock_problem", zones.clock_problem(F.col(column), changes))
 
 
 def shift_back(df: DataFrame, column: str, hours: int = 0) -> DataFrame:
