@@ -11,7 +11,7 @@ from threadloom.operators.models import embed_texts
 from threadloom.operators.splitting import stratified_split
 from threadloom.plans.knowledge import build_knowledge_base
 from threadloom.session import scratch_path
-from threadloom.sources import readers, writers
+from threadloom.sources import manifests, readers, writers
 
 RAW = ["thread_id", "posted_date_time", "text_clean", "filename"]
 
@@ -189,6 +189,20 @@ def snk_missing_only(spark, sf):
     return spark.read.parquet(path)
 
 
+def snk_file_sync(spark, sf):
+    """Files of labelled documents are copied, then those of the others; and the state of each at the second time."""
+    source, target = scratch_path(spark, "files"), scratch_path(spark, "copies")
+    docs = read(spark, sf, "documents").select("doc_id", "lang", "text")
+    labelled = read(spark, sf, "labels").select("doc_id")
+    docs.join(labelled, "doc_id", "left_semi").write.json(f"{source}/labelled")
+    manifests.sync(spark, source, target)
+    docs.join(labelled, "doc_id", "left_anti").write.json(f"{source}/others")
+    states = manifests.sync(spark, source, target).select(F.substring_index("path", "/", 1).alias("part"), "state")
+    rows = spark.read.schema(docs.schema).json([f"{target}/labelled", f"{target}/others"])
+    rows = rows.withColumn("part", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    return rows.join(F.broadcast(states.distinct()), "part").select("doc_id", "lang", "text", "part", "state")
+
+
 def emb_knowledge_base(spark, sf):
     """Subsets of either format to an embedded knowledge base."""
     raw = _raw(spark, sf).select("doc_id", *RAW)
@@ -212,7 +226,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_new_csv, src_csv_ranges, src_subsets, src_subsets_parquet, src_typed_tables, src_json, src_row_count, src_knowledge_base,
-        src_lexicon, snk_csv, snk_subsets, snk_build_if_absent, snk_replace, snk_missing_only,
+        src_lexicon, snk_csv, snk_subsets, snk_build_if_absent, snk_replace, snk_missing_only, snk_file_sync,
         emb_knowledge_base,
     )
 }
@@ -262,6 +276,9 @@ ORACLES = {
     "snk_replace": "SELECT * FROM events",
     "snk_missing_only": """SELECT doc_id, 'kept' AS lang FROM labels UNION ALL
         SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "snk_file_sync": """SELECT doc_id, lang, text, CASE WHEN l THEN 'labelled' ELSE 'others' END AS part,
+          CASE WHEN l THEN 'same' ELSE 'missing' END AS state
+        FROM (SELECT *, doc_id IN (SELECT doc_id FROM labels) AS l FROM documents)""",
     "emb_knowledge_base": f"""WITH {RAW_SQL}
         SELECT kind, thread_id, CAST(posted_date_time AS TIMESTAMP) AS posted_date_time,
                text_clean AS text, {sql_shown(sql_embed('text_clean'))} AS vector
