@@ -11,6 +11,7 @@ from catalog.cleaning import VALID_SQL, clean_chunk_sql, framed_sql, packed_sql
 from catalog.retrieval import threads_sql
 from threadloom.operators import models, replies as R, summary as S
 from threadloom.operators.ledger import REPLIES as ANSWERS, complete_once, question_key, read_ledger
+from threadloom.operators.reduction import reduce_texts
 from threadloom.plans.knowledge import (
     CHUNK_PROMPT, SUMMARY_SYSTEM_PROMPT, SYSTEM_PROMPT, Models, run_queries,
 )
@@ -106,6 +107,21 @@ def sum_combine(spark, sf):
 
 
 
+def sum_tree(spark, sf):
+    """All documents of a language and source in one summary, by a model that adds up what it reads."""
+
+    def adder(_: str, user: str) -> str:
+        return str(sum(int(n) for n in user.split()))
+
+    def ask(prompts):
+        done = models.complete_prompts(prompts.withColumn("system", F.lit("")), "system", "text", [("adder", adder)])
+        return done.drop("system")
+
+    d = read(spark, sf, "documents").select("lang", "source", "doc_id", F.length("text").cast("string").alias("size"))
+    done = reduce_texts(d, ["lang", "source"], ["doc_id"], "size", ask, limit=100)
+    return done.select("lang", "source", F.col("summary").cast("long").alias("chars"), "failed")
+
+
 def sum_event_names(spark, sf):
     named = S.number_events(replies(spark, sf), ["thread_id"], ["doc_id"])
     return named.select("thread_id", "doc_id", "event_id", "event_name")
@@ -165,7 +181,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         llm_complete, llm_ledger, llm_render, llm_sections, llm_metric_rows, llm_metrics, llm_context,
-        llm_sizes, sum_context_block, sum_combine, sum_event_names, sum_structured, sum_fallback,
+        llm_sizes, sum_context_block, sum_combine, sum_event_names, sum_tree, sum_structured, sum_fallback,
         sum_run_queries,
     )
 }
@@ -289,6 +305,8 @@ ORACLES = {
         SELECT doc_id, coalesce(block, '') AS block FROM documents LEFT JOIN blocks USING (doc_id)""",
     "sum_combine": f"""SELECT conv_id, string_agg({_S('text')}, chr(10) || chr(10) ORDER BY turn)
         FILTER ({_S('text')} <> '') AS combined FROM conversations GROUP BY conv_id""",
+    "sum_tree": """SELECT lang, source, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS failed
+        FROM documents GROUP BY lang, source""",
     "sum_event_names": f"WITH {_EVENTS} SELECT thread_id, doc_id, event_id, event_name FROM events_",
     "sum_structured": f"""WITH {_EVENTS}, sections_ AS (SELECT thread_id, coalesce(string_agg(
           '<analysis_section>' || chr(10) || analysis || chr(10) || context || chr(10) || '</analysis_section>',
