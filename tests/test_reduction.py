@@ -17,6 +17,8 @@ def estimated(text):
 def reply(text):
     """The first and last number of a prompt and how many there are, in a text of some length."""
     numbers = re.findall(r"#\d+", text)
+    if not numbers:
+        return "pad"
     count = sum(map(int, re.findall(r"=(\d+)", text))) or len(numbers)
     return f"{numbers[0]} {numbers[-1]} ={count}" + " pad" * 20
 
