@@ -56,8 +56,8 @@ def test_three_levels_keep_order_and_limit(spark, monkeypatch):
         return asker()(prompts)
 
     got = {r.g: r for r in R.reduce_texts(df, ["g"], ["at"], "text", ask, limit=120).collect()}
-    assert {g: r.summary.split(" pad")[0] for g, r in got.items()} == want
-    assert got["a"].levels == len(seen) >= 3 and got["c"].levels == 1 and all(r.failed == 0 for r in got.values())
+    assert {g: (r.summary.split(" pad")[0], r.failed) for g, r in got.items()} == {g: (w, 0) for g, w in want.items()}
+    assert got["a"].levels == len(seen) >= 3 and got["c"].levels == 1
     # by hand: each level's prompts, packed in order
     texts = {}
     for g, at, t in sorted((r for r in rows if (r[2] or "").strip()), key=lambda r: r[1]):

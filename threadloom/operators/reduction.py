@@ -44,10 +44,13 @@ def cut_texts(df: DataFrame, text_col: str, most: int, counter: TokenCounter = e
     words = F.regexp_extract_all(F.trim(text_col), F.lit(rf"(\S{{1,{max(1, most // 4)}}}\s*)"), F.lit(1))
     split = df.withColumn("_words", words)
     split = split.withColumn("_counts", F.get(counter(F.array("_words")), F.lit(0)))
-    unit = F.transform(
-        F.arrays_zip("_words", "_counts"),
-        lambda z: F.struct(z["_words"].alias("text"), z["_counts"].alias("tokens"), F.lit(-1).alias("part")),
-    )
+
+    def unit(z: Column) -> Column:
+        # never less than a quarter of the characters: counts of words are rounded, and are to add up
+        tokens = F.greatest(z["_counts"], F.ceil(F.length(z["_words"]) / 4).cast("int"))
+        return F.struct(z["_words"].alias("text"), tokens.alias("tokens"), F.lit(-1).alias("part"))
+
+    unit = F.transform(F.arrays_zip("_words", "_counts"), unit)
     spans = split.withColumn("_units", unit).withColumn("_spans", _spans(most))
 
     def piece(span: Column) -> Column:
