@@ -76,6 +76,12 @@ def test_visible_text(spark):
     ) == ["Hi there you 3 < 5 & 6 > 4", "bare", "", None]
 
 
+def test_visible_text_leaves_open_references(spark):
+    source = "<p>a&&amp b &lt;i&gt &amp;lt; &#39;c&#39 &copy 3 &amp"
+    assert apply(spark, html.visible_text, source) == ["a&&amp b <i&gt &lt; 'c&#39 &copy 3 &amp"]
+    assert apply(spark, lambda c: html.visible_text(c, bare=True), source) == ["a&& b <i> &lt; 'c&#39 © 3 &"]
+
+
 def test_contractions(spark):
     assert apply(spark, text.expand_contractions, "I'm  sure they don't, don't DON'T") == [
         "I am sure they don't, do not DON'T"

@@ -30,7 +30,8 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
     filter down, so steps that each test their input before working on it
     would otherwise grow without bound when chained.
     """
-    return F.get(F.transform(F.array(c), f), F.lit(0))
+    # by way of a lambda, so that f may have options behind its column
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
 
 
 def chain(c: Column, steps: Iterable[Callable[[Column], Column]]) -> Column:
