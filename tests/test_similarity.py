@@ -1,6 +1,10 @@
 """Nearest rows against brute force, with ties, zero vectors and copies."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import similarity
@@ -77,3 +81,36 @@ def test_query_blocks(spark, monkeypatch):
     parts = similarity.top_threads(df, queries, 3, "id", "thread", ["thread"]).collect()
     key = lambda r: (r.query_id, r["rank"])
     assert sorted(whole, key=key) == sorted(parts, key=key)
+
+
+def test_memory_is_bounded_by_tiles():
+    """Many queries and a large batch: neither their product nor a batch's copies are held."""
+    rng = np.random.default_rng(3)
+    vectors, asked = rng.normal(size=(10_000, 16)), rng.normal(size=(1_500, 16))
+    flat = pa.ListArray.from_arrays(np.arange(0, vectors.size + 1, 16, dtype="int32"), vectors.ravel())
+    ids = pa.array(np.arange(len(vectors)))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(np.arange(len(vectors)) % 40), flat], names=["k", "t", "v"])
+    run = similarity._part_best(pa.array(np.arange(len(asked))), asked, 5, True)
+    tracemalloc.start()
+    base = pa.total_allocated_bytes()
+    most = 0
+    first_n = similarity._first_n
+
+    def watched(found, *rest):
+        nonlocal most
+        most = max(most, pa.total_allocated_bytes() - base)
+        return first_n(found, *rest)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(similarity, "_first_n", watched)
+        found = pa.Table.from_batches(run(iter([batch]))).to_pylist()
+    numpy_most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most + numpy_most < 60e6
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = np.round(unit(asked) @ unit(vectors).T, 9)
+    for q in (0, 499, 500, 501, 1_499):
+        threads = sims[q].reshape(-1, 40)
+        want = sorted(threads.max(axis=0), reverse=True)[:5]
+        assert [r["rank_by"] for r in found if r["query_id"] == q] == pytest.approx(want, abs=2e-9)
+    assert len(found) == 5 * len(asked)

@@ -31,8 +31,9 @@ from threadloom.operators.similarity import (
     BLOCK_NUMBERS,
     CELLS,
     DIGITS,
+    NO_SIMILARITY,
+    Best,
     _blocks,
-    _first_n,
     _found,
     _matrix,
     _merged,
@@ -49,8 +50,8 @@ ROUNDS = 8
 FIRST_WAVE, WAVE_GROWTH = 4, 3
 #: bounds of a block of queries, 64 MB of doubles
 BLOCK_BOUNDS = 8_000_000
-#: the cell of vectors without a direction, and its bound
-NOWHERE, NO_SIMILARITY = -1, -2.0
+#: the cell of vectors without a direction; its bound is NO_SIMILARITY
+NOWHERE = -1
 #: angles are widened by this: similarities are rounded
 SLACK = 1e-7
 
@@ -191,41 +192,14 @@ def _cells_best(ids: pa.Array, unit: np.ndarray, floors: np.ndarray, asked: dict
     """Task function: the best row of each of a query's best threads, in the cells it asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor, best, width = floors.copy(), None, unit.shape[1]
+        best = Best(unit, n, True, floors)
         for batch in batches:
             cells = batch.column(3).to_numpy()
             for cell in np.unique(cells):
                 queries = asked.get(int(cell))
-                if queries is None:
-                    continue
-                mine = batch.take(pa.array(np.flatnonzero(cells == cell)))
-                step = max(1, CELLS // len(queries))
-                for at in range(0, len(mine), step):
-                    rows = mine.slice(at, step)
-                    with np.errstate(invalid="ignore"):
-                        sims = np.round(unit[queries] @ _unit(_matrix(rows.column(2), width)).T, DIGITS)
-                    rank_by = np.where(np.isnan(sims), NO_SIMILARITY, sims)
-                    query, row = np.nonzero(rank_by >= floor[queries][:, None])
-                    if not len(query):
-                        continue
-                    taken = pa.array(row)
-                    found = pa.table(
-                        {
-                            "query": pa.array(queries[query].astype("int32")),
-                            "key": rows.column(0).take(taken),
-                            "thread": rows.column(1).take(taken),
-                            "rank_by": pa.array(rank_by[query, row]),
-                        }
-                    )
-                    best = _first_n(found if best is None else pa.concat_tables([best, found]), n, True)
-                    counts = np.bincount(best["query"].to_numpy(), minlength=len(unit))
-                    full = counts >= n
-                    last = best["rank_by"].to_numpy()[(np.cumsum(counts) - 1)[full]]
-                    # a floor from earlier waves may be higher than what this task has found
-                    floor[full] = np.maximum(floor[full], last)
-        if best is not None:
-            named = best.set_column(0, "query_id", ids.take(best["query"].combine_chunks()))
-            yield from named.combine_chunks().to_batches()
+                if queries is not None:
+                    best.add(batch.take(pa.array(np.flatnonzero(cells == cell))), queries)
+        yield from best.batches(ids)
 
     return run
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from itertools import islice
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,10 @@ DIGITS = 9
 BLOCK_NUMBERS = 8_000_000
 #: best rows a task keeps for one block of queries
 BLOCK_BEST = 2_000_000
-#: similarities a task holds at a time
-CELLS = 4_000_000
+#: similarities a task holds at a time; the first ones are all candidates, at about 100 bytes each
+CELLS = 250_000
+#: ranks behind every similarity
+NO_SIMILARITY = -2.0
 #: first merge step: tasks whose results meet; their groups grow with the table
 MERGE_TASKS = 256
 
@@ -94,43 +97,73 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.nan_to_num(whole)
 
 
+class Best:
+    """A task's best rows, or threads, for each query, of batches of (key, thread, vector).
+
+    Some queries meet some rows at a time, so that neither many queries nor large
+    batches add to what is held. A query's ``floor`` is what a row has to reach;
+    it starts where the caller says.
+    """
+
+    def __init__(self, unit: np.ndarray, n: int, by_thread: bool, floor: np.ndarray | None = None):
+        self.unit, self.n, self.by_thread = unit, n, by_thread
+        self.floor = np.full(len(unit), -np.inf) if floor is None else floor.copy()
+        self.tile = min(len(unit), max(1, isqrt(CELLS)))
+        self.kept: dict[int, pa.Table] = {}
+
+    def add(self, batch: pa.RecordBatch, queries: np.ndarray) -> None:
+        """Compare the rows with some of the queries, given by their numbers in order."""
+        step = max(1, CELLS // self.tile)
+        ends = np.flatnonzero(np.diff(queries // self.tile)) + 1
+        tiles = [q for q in np.split(queries, ends) if len(q)]
+        for at in range(0, batch.num_rows, step):
+            rows = batch.slice(at, step)
+            with np.errstate(invalid="ignore"):
+                vectors = _unit(_matrix(rows.column(2), self.unit.shape[1])).T
+            for asked in tiles:
+                with np.errstate(invalid="ignore"):
+                    sims = np.round(self.unit[asked] @ vectors, DIGITS)
+                rank_by = np.where(np.isnan(sims), NO_SIMILARITY, sims)
+                query, row = np.nonzero(rank_by >= self.floor[asked][:, None])
+                if len(query):
+                    self._keep(asked[query], rows, row, rank_by[query, row])
+
+    def _keep(self, query: np.ndarray, rows: pa.RecordBatch, row: np.ndarray, rank_by: np.ndarray) -> None:
+        first = int(query[0]) // self.tile * self.tile
+        taken = pa.array(row)
+        found = pa.table(
+            {
+                "query": pa.array(query.astype("int32")),
+                "key": rows.column(0).take(taken),
+                "thread": rows.column(1).take(taken),
+                "rank_by": pa.array(rank_by),
+            }
+        )
+        found = pa.concat_tables([self.kept[first], found]) if first in self.kept else found
+        self.kept[first] = found = _first_n(found, self.n, self.by_thread)
+        floor = self.floor[first : first + self.tile]
+        counts = np.bincount(found["query"].to_numpy() - first, minlength=len(floor))
+        full = counts >= self.n
+        last = found["rank_by"].to_numpy()[(np.cumsum(counts) - 1)[full]]
+        # a floor that was given may be higher than what this task has found
+        floor[full] = np.maximum(floor[full], last)
+
+    def batches(self, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        """What was found, with the queries' ids."""
+        for found in self.kept.values():
+            named = found.set_column(0, "query_id", ids.take(found["query"].combine_chunks()))
+            yield from named.combine_chunks().to_batches()
+
+
 def _part_best(ids: pa.Array, queries: np.ndarray, n: int, by_thread: bool):
     """Task function: best rows, or threads, of one partition for every query."""
     unit = _unit(queries)
-    width = queries.shape[1]
-    step = max(1, CELLS // max(1, len(queries)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor = np.full(len(unit), -np.inf)
-        best: pa.Table | None = None
+        best = Best(unit, n, by_thread)
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                rows = batch.slice(at, step)
-                with np.errstate(invalid="ignore"):
-                    sims = np.round(unit @ _unit(_matrix(rows.column(2), width)).T, DIGITS)
-                rank_by = np.where(np.isnan(sims), -2.0, sims)
-                query, row = np.nonzero(rank_by >= floor[:, None])
-                if not len(query):
-                    continue
-                taken = pa.array(row)
-                found = pa.table(
-                    {
-                        "query": pa.array(query.astype("int32")),
-                        "key": rows.column(0).take(taken),
-                        "thread": rows.column(1).take(taken),
-                        "rank_by": pa.array(rank_by[query, row]),
-                    }
-                )
-                found = found if best is None else pa.concat_tables([best, found])
-                best = _first_n(found, n, by_thread)
-                held = best["query"].to_numpy()
-                counts = np.bincount(held, minlength=len(unit))
-                ends = np.cumsum(counts) - 1
-                full = counts >= n
-                floor[full] = best["rank_by"].to_numpy()[ends[full]]
-        if best is not None:
-            named = best.set_column(0, "query_id", ids.take(best["query"].combine_chunks()))
-            yield from named.combine_chunks().to_batches()
+            best.add(batch, np.arange(len(unit)))
+        yield from best.batches(ids)
 
     return run
 
@@ -189,7 +222,7 @@ def _merged(parts: DataFrame, n: int, by_thread: bool) -> DataFrame:
         "query_id",
         "key",
         "thread",
-        F.when(F.col("rank_by") > -2.0, F.col("rank_by")).alias("similarity"),
+        F.when(F.col("rank_by") > NO_SIMILARITY, F.col("rank_by")).alias("similarity"),
         F.col("_rn").alias("rank"),
     )
 
