@@ -13,16 +13,22 @@ from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from threadloom.sizing import spread
 
 Embed = Callable[[list[str]], Sequence[Sequence[float]]]
 Complete = Callable[[str, str], str]
 
-ADDED = ("embedding", "embedding_model", "embedding_usage")
+EMBEDDED = [
+    T.StructField("embedding", T.ArrayType(T.FloatType(), containsNull=False)),
+    T.StructField("embedding_model", T.StringType()),
+    T.StructField("embedding_usage", T.MapType(T.StringType(), T.LongType())),
+]
 
 #: prompts that a task answers at a time, and hands on, per worker
 PROMPTS_PER_WORKER = 8
@@ -51,6 +57,37 @@ def _first_answer(
     raise failure if failure else ValueError("no provider given")
 
 
+def _answered(
+    df: DataFrame,
+    asked: Sequence[str],
+    fields: Sequence[T.StructField],
+    size: int,
+    answers: Callable[..., Sequence[Sequence]],
+) -> DataFrame:
+    """``df`` with ``fields``, of which ``answers`` makes rows from lists of the ``asked`` columns.
+
+    Of a batch only ``size`` rows at a time become Python values, and only in the
+    asked columns: a task's memory does not grow with the rows of a batch, whose
+    other columns are handed on as they came.
+    """
+    at = [df.columns.index(c) for c in asked]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    names = [*df.columns, *[f.name for f in fields]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                found = answers(*[part.column(i).to_pylist() for i in at])
+                added = [pa.array(list(c), k) for c, k in zip(zip(*found), kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=names)
+                del part
+            # gone before the next one comes
+            del batch
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+
+
 def embed_texts(
     df: DataFrame,
     text_col: str,
@@ -66,33 +103,20 @@ def embed_texts(
     A batch no provider can embed fails the task, and after Spark's own retries
     the job. ``dealt`` says that the rows are in tasks of the caller's choice.
     """
-    schema = T.StructType(
-        df.schema.fields
-        + [
-            T.StructField("embedding", T.ArrayType(T.FloatType(), containsNull=False)),
-            T.StructField("embedding_model", T.StringType()),
-            T.StructField("embedding_usage", T.MapType(T.StringType(), T.LongType())),
-        ]
-    )
     providers = list(providers)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size]
-                given = part[text_col].notna().tolist()
-                texts = part[text_col].dropna().tolist()
-                name, vectors = _first_answer(providers, (texts,), attempts, wait) if texts else (None, [])
-                if len(vectors) != len(texts):
-                    raise ValueError(f"{len(texts)} texts, {len(vectors)} vectors")
-                found = (
-                    (list(map(float, v)), name, {"prompt_tokens": max(1, len(t) // 4)})
-                    for t, v in zip(texts, vectors)
-                )
-                columns = zip(*[next(found) if g else (None, None, None) for g in given])
-                yield part.assign(**dict(zip(ADDED, columns)))
-
-    return (df if dealt else spread(df)).mapInPandas(run, schema)
+    def answers(column: list) -> list[tuple]:
+        texts = [t for t in column if t is not None]
+        name, vectors = _first_answer(providers, (texts,), attempts, wait) if texts else (None, [])
+        if len(vectors) != len(texts):
+            raise ValueError(f"{len(texts)} texts, {len(vectors)} vectors")
+        found = (
+            (list(map(float, v)), name, [("prompt_tokens", max(1, len(t) // 4))])
+            for t, v in zip(texts, vectors)
+        )
+        return [(None, None, None) if t is None else next(found) for t in column]
+
+    return _answered(df if dealt else spread(df), [text_col], EMBEDDED, batch_size, answers)
 
 
 def complete_prompts(
