@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from threadloom.operators.models import embed_texts
+from threadloom.operators.models import complete_prompts, embed_texts
 
 TEXTS = T.StructType().add("id", "long").add("text", "string")
 
@@ -32,6 +32,12 @@ def test_embedding_holds_one_call_of_texts():
     assert rows == 10_000 and most < 2e6  # the batch's texts are 30 MB
 
 
+def test_completion_holds_a_few_prompts():
+    complete = lambda system, user: str(len(user))
+    most, rows = held_while_running(lambda df: complete_prompts(df, "text", "text", [("m", complete)], dealt=True))
+    assert rows == 10_000 and most < 2e6
+
+
 def test_other_columns_come_through_as_they_were(spark):
     schema = "id int, at timestamp, big decimal(20,2), m map<string,int>, s struct<a:array<int>>, b binary, text string"
     rows = [
@@ -41,11 +47,14 @@ def test_other_columns_come_through_as_they_were(spark):
     ]
     df = spark.createDataFrame(rows, schema)
     embedded = embed_texts(df, "text", [("m", lambda texts: [[len(t)] for t in texts])], 2)
-    got = sorted(embedded.collect(), key=lambda r: (r.id is None, r.id))
+    done = complete_prompts(embedded, "text", "text", [("m", lambda s, u: s + u)])
+    got = sorted(done.collect(), key=lambda r: (r.id is None, r.id))
     assert [r[:7] for r in got] == [tuple(r) for r in sorted(df.collect(), key=lambda r: (r.id is None, r.id))]
     assert [r.embedding for r in got] == [[3.0], [5.0], None]
     assert [r.embedding_usage for r in got] == [{"prompt_tokens": 1}, {"prompt_tokens": 1}, None]
-    assert embedded.schema["embedding"].dataType == T.ArrayType(T.FloatType(), containsNull=False)
+    assert [r.reply for r in got] == ["oneone", "threethree", None]
+    assert got[2].error.startswith("TypeError")
+    assert done.schema["embedding"].dataType == T.ArrayType(T.FloatType(), containsNull=False)
 
 
 @pytest.mark.parametrize("given", [3, 1])

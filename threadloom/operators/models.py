@@ -12,7 +12,6 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,7 @@ EMBEDDED = [
     T.StructField("embedding_model", T.StringType()),
     T.StructField("embedding_usage", T.MapType(T.StringType(), T.LongType())),
 ]
+ANSWERED = [T.StructField(name, T.StringType()) for name in ("reply", "reply_model", "error")]
 
 #: prompts that a task answers at a time, and hands on, per worker
 PROMPTS_PER_WORKER = 8
@@ -135,14 +135,6 @@ def complete_prompts(
     and are handed on in small slices. ``dealt`` says that they are in tasks of
     the caller's choice.
     """
-    schema = T.StructType(
-        df.schema.fields
-        + [
-            T.StructField("reply", T.StringType()),
-            T.StructField("reply_model", T.StringType()),
-            T.StructField("error", T.StringType()),
-        ]
-    )
     providers = list(providers)
 
     def answer(system: str, user: str) -> tuple[str | None, str | None, str | None]:
@@ -152,20 +144,12 @@ def complete_prompts(
         except Exception as error:
             return None, None, f"{type(error).__name__}: {error}"
 
-    step = PROMPTS_PER_WORKER * max_workers
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answers(systems: list, users: list) -> list[tuple]:
         with ThreadPoolExecutor(max_workers) as pool:
-            for frame in frames:
-                for at in range(0, len(frame), step):
-                    part = frame.iloc[at : at + step]
-                    answers = list(pool.map(answer, part[system_col], part[user_col]))
-                    replies, names, errors = zip(*answers)
-                    yield part.assign(
-                        reply=list(replies), reply_model=list(names), error=list(errors)
-                    )
-
-    return (df if dealt else spread(df)).mapInPandas(run, schema)
+            return list(pool.map(answer, systems, users))
+
+    size = PROMPTS_PER_WORKER * max_workers
+    return _answered(df if dealt else spread(df), [system_col, user_col], ANSWERED, size, answers)
 
 
 def render(template: str, **values: Column) -> Column:
