@@ -10,7 +10,7 @@ from threadloom.functions.lexicons import CONTRACTIONS
 from threadloom.operators.models import embed_texts
 from threadloom.operators.splitting import stratified_split
 from threadloom.plans.knowledge import build_knowledge_base
-from threadloom.session import scratch_path
+from threadloom.session import scratch_path, store
 from threadloom.sources import manifests, readers, writers
 
 RAW = ["thread_id", "posted_date_time", "text_clean", "filename"]
@@ -206,7 +206,8 @@ def snk_file_sync(spark, sf):
 def emb_knowledge_base(spark, sf):
     """Subsets of either format to an embedded knowledge base."""
     raw = _raw(spark, sf).select("doc_id", *RAW)
-    split = stratified_split(raw, "filename", "doc_id", fraction=0.5)
+    # stored: it is written twice, and its texts move once
+    split = store(stratified_split(raw, "filename", "doc_id", fraction=0.5))
     bases = []
     for kind in ("parquet", "csv"):
         subsets, kb = scratch_path(spark, "kb-in"), scratch_path(spark, "kb-out")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.hashing import hash_fraction, row_digest, row_hash
 from threadloom.operators.ordering import numbered
-from threadloom.session import materialise
+from threadloom.session import store
 from threadloom.sizing import broadcast_measured
 
 Key = str | list[str]
@@ -79,7 +79,7 @@ def stratified_split(
 
     # the stratum as text with a mark, so that null is a value of its own
     stratum = F.coalesce(F.concat(F.lit("="), F.col(stratify_col).cast("string")), F.lit(""))
-    own = materialise(
+    own = store(
         df.select(
             F.struct(*df.columns).alias("_own"),
             stratum.alias("_stratum"),
